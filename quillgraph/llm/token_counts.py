@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .bpe import byte_bpe
 from .common import table, unused
@@ -45,7 +46,7 @@ def prefix_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """key, prefix_tokens array<int>: element i (from 0) is the exact token count of the first i code points.
 
     Null text counts as empty and gives [0]. The array is as long as the text plus one."""
-    schema = df.select(key).schema.add("prefix_tokens", "array<int>")
+    schema = df.select(key).schema.add("prefix_tokens", ArrayType(IntegerType()))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
