@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
+from .simhash import op10_simhash
 from .token_counts import op1_token_counts
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op7_bpe_codec": op7_bpe_codec,
+        "op10_simhash": op10_simhash,
     }
 
 
