@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
+from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .simhash import op10_simhash
 from .token_counts import op1_token_counts
 
@@ -14,10 +15,13 @@ from .token_counts import op1_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_exact_dedup": op2_exact_dedup,
         "op7_bpe_codec": op7_bpe_codec,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+    }
