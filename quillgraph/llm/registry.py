@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import op7_bpe_codec
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .simhash import op10_simhash
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op1_token_counts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op7_bpe_codec": op7_bpe_codec,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
     }
 
