@@ -15,7 +15,6 @@ import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +26,15 @@ from .common import as_bytes, table, written
 WINDOW = 10
 #: Words of a shingle at most.
 SHINGLE = 3
-#: Bytes of benchmark text up to which windows and their prefixes are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of windows up to which they and their prefixes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 # a byte of words as it is, or lower-cased; all others become spaces
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split(b" ") if False else text.translate(_WORDS).split()
+    return text.translate(_WORDS).split()
 
 
 def shingles_of(words: list[bytes], n: int) -> Iterator[bytes]:
@@ -120,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     bench = written(windows(benchmark, window, item, item_text), "windows")
     sizes, size_bytes = bench.agg(F.collect_set("size"), F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 64), F.lit(0))).first()
     sizes = sorted(sizes)
-    bounded = size_bytes <= broadcast_bytes * window  # windows overlap: each word stands in up to ``window`` of them
+    bounded = size_bytes <= broadcast_bytes
     whole = docs.select(as_bytes(F.col(text)).alias("text"))
 
     positioned = _positioned(bench)
@@ -225,8 +224,8 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-     b AS (SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
      bn AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
      bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM bn, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS u(k)),
      sizes AS (SELECT DISTINCT n FROM bw),
@@ -239,5 +238,3 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
 """
-
-_ = np

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
+from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op1_token_counts
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_decontaminate": op4_decontaminate,
+        "op6_line_dedup": op6_line_dedup,
         "op7_bpe_codec": op7_bpe_codec,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
@@ -26,4 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
+        "op4_decontaminate": OP4_SQL,
+        "op6_line_dedup": OP6_SQL,
     }
