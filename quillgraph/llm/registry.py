@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
+from .chat import OP5_SQL, op5_chat
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_text import op3_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_html_text": op3_html_text,
         "op4_decontaminate": op4_decontaminate,
+        "op5_chat": op5_chat,
         "op6_line_dedup": op6_line_dedup,
         "op7_bpe_codec": op7_bpe_codec,
         "op9_substring_dedup": op9_substring_dedup,
@@ -31,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
         "op4_decontaminate": OP4_SQL,
+        "op5_chat": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
     }
