@@ -199,13 +199,14 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of a table of ``encode``."""
+def digests(encoded: DataFrame, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 of a table of ``encode``, and its columns named in ``extra``."""
     return encoded.select(
         key,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+        *(extra or []),
     )
 
 

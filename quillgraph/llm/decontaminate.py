@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import as_bytes, table, written
+from .common import as_bytes, table, unused, written
 
 WINDOW = 10
 #: Words of a shingle at most.
@@ -219,6 +219,14 @@ def _shuffled(docs: DataFrame, prefix: DataFrame, key: str, text: str, sizes: li
     return both.select("key", "text", "spans", "items").mapInArrow(closed, schema)
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs. Of rows that share a key all go
+    if one does; rows with a null key all stay."""
+    mark = unused("key", docs)
+    found = contamination(docs, benchmark, key, **how).where("contaminated").select(F.col(key).alias(mark)).distinct()
+    return docs.join(found, docs[key] == found[mark], "left_anti")
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

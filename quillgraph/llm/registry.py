@@ -12,6 +12,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op3_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .quality import op8_quality
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op1_token_counts
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat": op5_chat,
         "op6_line_dedup": op6_line_dedup,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
     }
