@@ -7,8 +7,8 @@ nor a line that stands on all of them makes a large group.
 
 The lines over the ratio come back to the pages as one array for each host. Such an array is short by construction: each
 of its lines stands on more than ``ratio`` of the host's pages, so there are fewer than (lines of an average page) / ratio.
-Pages find their host's array in a join on host and a salt that is a hash of the page, the arrays being repeated for each
-salt; Spark broadcasts the arrays where they are small.
+The arrays are written and measured. Up to a fixed number of bytes they are broadcast and pages do not move; beyond it
+pages find their host's array in a join on host and a salt that is a hash of the page, the arrays being repeated for each.
 """
 
 from __future__ import annotations
@@ -16,19 +16,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import table, unused, written
 
 #: Share of a host's pages above which a line is boilerplate.
 RATIO = 0.1
 #: Hosts with fewer pages keep their lines: a share of a few pages says nothing.
 MIN_PAGES = 5
 SALTS = 64
+#: Bytes of boilerplate arrays up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 
-_SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_SPACE = " \t\n\v\f\r"
 
 
 def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, _SPACE, "")
+    return F.btrim(line, F.lit(_SPACE))
 
 
 def _hash(line: Column) -> Column:
@@ -46,25 +48,33 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of df with boilerplate lines taken out of ``text``; other lines and their order stay, joined by \\n.
 
     With ``counts``, two columns follow: n_lines and n_dropped (both 0 for null text). Null text stays null and counts as a
     page of its host; a text of which all lines go is empty. Pages with a null host, and those of hosts with fewer than
     ``min_pages`` pages, keep all lines. Rows that repeat a key are pages of their own. All other columns stay."""
-    lines, mark, salt = unused("lines", df), unused("host", df), unused("salt", df)
-    found = boilerplate(df, host, text, ratio, min_pages).select(F.col("host").alias(mark), F.col("lines").alias(lines), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(text), F.col(key)), F.lit(SALTS)).cast("int")).alias("page")
-    joined = salted.join(found.alias("found"), (F.col(f"page.`{host}`") == F.col(f"found.`{mark}`")) & (F.col(f"page.`{salt}`") == F.col(f"found.`{salt}`")), "left")
-    every = F.split(F.col(f"page.`{text}`"), "\n")
-    kept = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col(lines), _hash(_bare(x))), F.lit(False)))
-    clean = F.when(F.col(lines).isNull(), F.col(f"page.`{text}`")).otherwise(F.array_join(kept, "\n"))
-    n_lines, n_kept = F.coalesce(F.size(every), F.lit(0)), F.coalesce(F.size(kept), F.lit(0))
-    n_lines, n_kept = (F.when(F.col(f"page.`{text}`").isNull(), 0).otherwise(n).cast("long") for n in (n_lines, n_kept))
+    found = written(boilerplate(df, host, text, ratio, min_pages), "boilerplate")
+    n_bytes = found.agg(F.coalesce(F.sum(64 + F.octet_length("host") + 8 * F.size("lines")), F.lit(0))).first()[0]
+    page, line = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("page"), F.struct(*found.columns).alias("found")
+    own, theirs = F.col(f"page.`{host}`"), F.col("found.host")
+    if n_bytes <= broadcast_bytes:
+        joined = df.select(page).join(F.broadcast(found.select(line)), own == theirs, "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(f"page.`{text}`"), F.col(f"page.`{key}`")), F.lit(SALTS)).cast("int")
+        salted = found.select(line, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("to"))
+        joined = df.select(page).withColumn("salt", salt).join(salted, (own == theirs) & (F.col("salt") == F.col("to")), "left")
+    whole = F.col(f"page.`{text}`")
+    split = joined.select("page", "found", F.split(whole, "\n").alias("every"))
+    goes = lambda x: F.coalesce(F.array_contains("found.lines", _hash(_bare(x))), F.lit(False))
+    cut = split.withColumn("kept", F.when(F.col("found").isNull(), F.col("every")).otherwise(F.filter("every", lambda x: ~goes(x))))
+    clean = F.when(F.size("kept") == F.size("every"), whole).otherwise(F.array_join("kept", "\n"))
     out = [clean.alias(c) if c == text else F.col(f"page.`{c}`") for c in df.columns]
     if counts:
-        out += [n_lines.alias(unused("n_lines", df)), F.when(F.col(lines).isNull(), F.lit(0).cast("long")).otherwise(n_lines - n_kept).alias(unused("n_dropped", df))]
-    return joined.select(*out)
+        n_lines = F.when(whole.isNull(), 0).otherwise(F.size("every")).cast("long")
+        n_dropped = F.when(whole.isNull(), 0).otherwise(F.size("every") - F.size("kept")).cast("long")
+        out += [n_lines.alias(unused("n_lines", df)), n_dropped.alias(unused("n_dropped", df))]
+    return cut.select(*out)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
