@@ -59,32 +59,40 @@ class Words:
 
     def reset(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.vectors = np.zeros((1024, SIZE), np.float32)
-        self.bucket = np.zeros(1024, np.int32)
-
-    def _add(self, word: bytes) -> int:
-        n = len(self.row)
-        if n == len(self.vectors):
+        self.parts: tuple[dict[bytes, int], ...] = ({}, {}, {})  # hashes of shapes, beginnings and ends
+        self.vectors = np.zeros((4096, SIZE), np.float32)
+        self.bucket = np.zeros(4096, np.int32)
+
+    def _part(self, k: int, x: bytes) -> int:
+        known = self.parts[k].get(x)
+        if known is None:
+            known = self.parts[k][x] = xxhash.xxh64_intdigest(x if k else _RUN.sub(rb"\1", x), k + 1) % INDEX
+        return known
+
+    def _add(self, words: list[bytes]) -> None:
+        n, to = len(self.row), len(self.row) + len(words)
+        while to > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
             self.bucket = np.concatenate([self.bucket, np.zeros_like(self.bucket)])
-        shape = _RUN.sub(rb"\1", word.translate(_SHAPE))
-        own = xxhash.xxh64_intdigest(word)
-        picked = [own % INDEX, *(xxhash.xxh64_intdigest(x, k) % INDEX for k, x in ((1, shape), (1, shape), (2, word[:2]), (3, word[-3:])))]
-        vector = self.signs[picked].sum(0)
-        self.bucket[n] = own % BUCKETS
+        own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        part = self._part
+        picked = np.array([(part(0, w.translate(_SHAPE)), part(1, w[:2]), part(2, w[-3:])) for w in words])
+        vectors = self.signs[(own % INDEX).astype(np.int64)] + 2 * self.signs[picked[:, 0]] + self.signs[picked[:, 1]] + self.signs[picked[:, 2]]
+        self.bucket[n:to] = own % BUCKETS
         if self.contexts is not None:
-            vector = vector / max(1e-6, float(np.sqrt(vector @ vector))) + self.contexts[own % BUCKETS]
-        self.vectors[n] = vector
-        self.row[word] = n
-        return n
+            vectors = vectors / np.maximum(1e-6, np.sqrt((vectors * vectors).sum(1, keepdims=True))) + self.contexts[self.bucket[n:to]]
+        self.vectors[n:to] = vectors
+        self.row.update(zip(words, range(n, to), strict=True))
 
     def rows(self, text: bytes) -> np.ndarray:
         """Row of each word of a text. Rows of earlier texts may change."""
         if len(self.row) > CACHE_WORDS:
             self.reset()
         words = text.split()
-        get, add = self.row.get, self._add
-        return np.fromiter((r if (r := get(w)) is not None else add(w) for w in words), np.int64, len(words))
+        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def pooled(self, text: bytes) -> np.ndarray:
         rows = self.rows(text)
@@ -180,7 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             for text in batch.column(0):
                 at = words.rows(text.as_py())
-                np.add.at(sums, words.bucket[at], words.around(at))
+                if len(at):
+                    bucket = words.bucket[at]
+                    order = np.argsort(bucket, kind="stable")
+                    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                    sums[bucket[order][first]] += np.add.reduceat(words.around(at)[order], first, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()])], names=["task", "sums"])
 
     parts = rows.select("text").coalesce(FIT_TASKS).mapInArrow(contexts, "task int, sums binary").collect()
