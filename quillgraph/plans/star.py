@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..operators import graph
 
-LABELS = [*v.LABELS]
-PART = F.concat(F.lit("part#"), F.col("p_partkey").cast("string"))
 #: Edges of kinds 1 to 5 are numbered apart.
 KIND, OWN = 1_000_000_000_000, 1_000
 
 
+def part() -> Column:
+    return F.concat(F.lit("part#"), F.col("p_partkey").cast("string"))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -23,7 +25,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     p, s, n = (table(spark, sf, t) for t in ("part", "supplier", "nation"))
     text = lambda c: F.col(c).cast("string")
     parts = p.select(
-        F.col("p_partkey").alias("seq"), PART.alias("name"), F.lit("Artillery").alias("label"), F.col("p_type").alias("category"), F.concat(text("p_size"), F.lit(v.UNIT)).alias("caliber"), F.col("p_brand").alias("model"),
+        F.col("p_partkey").alias("seq"), part().alias("name"), F.lit("Artillery").alias("label"), F.col("p_type").alias("category"), F.concat(text("p_size"), F.lit(v.UNIT)).alias("caliber"), F.col("p_brand").alias("model"),
         F.col("p_name").alias("core_model"), (F.col("p_partkey") % 367).cast("int").alias("page"), F.concat(F.floor("p_retailprice").cast("string"), F.lit("米")).alias("range"), text("p_size").alias("weight"),
     )
     more = s.select((F.lit(KIND) + F.col("s_suppkey")).alias("seq"), F.col("s_name").alias("name"), F.lit("Supplier").alias("label"))
@@ -35,7 +37,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     """seq and typed edges: kind and maker of parts (base), the land of their first supplier, the lands that they were sold to
     in large lots, and their suppliers (rule). One pass over lineitem for each of the last three."""
     p, s, n, c, o, li = (table(spark, sf, t) for t in ("part", "supplier", "nation", "customer", "orders", "lineitem"))
-    made = lambda df, kind, own, relation, target, target_type, method: df.select((F.lit(kind * KIND) + F.col("p_partkey") * OWN + own).alias("seq"), PART.alias("source"), F.lit("Artillery").alias("source_type"), F.lit(relation).alias("relation"), F.col(target).alias("target"), F.lit(target_type).alias("target_type"), F.lit(method).alias("method"), F.lit("").alias("description"))
+    made = lambda df, kind, own, relation, target, target_type, method: df.select((F.lit(kind * KIND) + F.col("p_partkey") * OWN + own).alias("seq"), part().alias("source"), F.lit("Artillery").alias("source_type"), F.lit(relation).alias("relation"), F.col(target).alias("target"), F.lit(target_type).alias("target_type"), F.lit(method).alias("method"), F.lit("").alias("description"))
     lots = li.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_orderkey", "l_quantity")
     first = lots.groupBy("p_partkey").agg(F.min("l_suppkey").alias("s_suppkey")).join(s, "s_suppkey").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     sold = lots.where("l_quantity >= 49").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))

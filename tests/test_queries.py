@@ -1,6 +1,8 @@
 """Every registered query against its SQL, over the smallest tables."""
 
 import glob
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -28,6 +30,11 @@ def test_query(spark, sf, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, out.fetchall()))
 
 
+def test_entry_is_readable_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False).returncode == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
