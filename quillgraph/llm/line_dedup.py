@@ -41,7 +41,9 @@ def _hash(line: Column) -> Column:
 def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, lines (sorted array of hashes): what exceeds the ratio on each host that has such lines."""
     pages = df.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("host").isNotNull())
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "pages")
+    if totals.agg(F.coalesce(F.sum(64 + F.octet_length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        totals = F.broadcast(totals)  # else a host's lines meet in the join, which splits large hosts
     own = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: _hash(_bare(x))))
     counted = pages.select("host", F.explode(own).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n"))
     over = counted.join(totals, "host").where((F.col("pages") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("pages")))
