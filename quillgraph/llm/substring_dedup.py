@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, flat, shared_dir, table, written
-from .wordhash import run_hashes, slices, text_hashes, word_hashes
+from .wordhash import mix, run_hashes, slices, text_hashes, word_hashes
 
 WINDOW = 50
 GRAM = 25
@@ -36,6 +36,8 @@ FILTER_BITS, FILTER_MOST = 16, 1 << 26
 #: Parts in which the registered query feeds its table to the index, by doc_id.
 BATCHES = 2
 
+_ROW = np.uint64(0x9E3779B97F4A7C15)
+
 
 def _selected(hashes: np.ndarray, first: np.ndarray, gram: int, window: int) -> np.ndarray:
     """Positions of the grams that are the smallest of some window that lies within one text."""
@@ -92,7 +94,8 @@ def hashed(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 def _windows(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """w1, w2, new, doc, d1, pos: hashes of the windows that hold one of the places. df: doc, d1, new, places, text."""
+    """w1, w2, new, doc, d1, pos: hashes of the windows that hold one of the places, and where the first of equal ones
+    starts. df: doc, d1, new, places, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +115,15 @@ def _windows(df: DataFrame, window: int, gram: int) -> DataFrame:
                 if not len(pos):
                     continue
                 row = np.searchsorted(first, pos, side="right") - 1
+                w1, w2 = run_hashes(h1, window, 0)[pos], run_hashes(h2, window, 1)[pos]
+                # words said over and over give one window many times: one row stands for all of a text's equal windows
+                once = np.unique(mix(w1 + row.astype(np.uint64) * _ROW) ^ w2, return_index=True)[1]
+                w1, w2, pos, row = w1[once], w2[once], pos[once], row[once]
                 rows = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(run_hashes(h1, window, 0)[pos].view(np.int64)),
-                        pa.array(run_hashes(h2, window, 1)[pos].view(np.int64)),
+                        pa.array(w1.view(np.int64)),
+                        pa.array(w2.view(np.int64)),
                         batch.column(2).take(rows),
                         batch.column(0).take(rows),
                         batch.column(1).take(rows),
@@ -171,7 +178,8 @@ def _kept(df: DataFrame, window: int) -> DataFrame:
                     continue
                 words = batch.column(3)[k].as_py().split()
                 marks = np.zeros(len(words) + window + 1, np.int32)
-                s = np.unique(np.asarray(starts.values))
+                hashes = run_hashes(h1, window, 0)
+                s = np.flatnonzero(np.isin(hashes, hashes[np.asarray(starts.values)]))  # equal windows fare alike
                 marks[s] += 1
                 marks[s + window] -= 1
                 gone = np.cumsum(marks)[: len(words)] > 0
