@@ -63,7 +63,8 @@ def _selected(hashes: np.ndarray, first: np.ndarray, gram: int, window: int) ->
 
 
 def hashed(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, n_words, whole_sha256, d1, d2 (of all words), grams, at (position of each), a row per row of df(doc, text)."""
+    """doc, n_words, whole_sha256, d1, d2 (of all words), grams (different ones), at (where each stands first), a row per row
+    of df(doc, text)."""
     schema = "doc long, n_words long, whole_sha256 string, d1 long, d2 long, grams array<long>, at array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +75,9 @@ def hashed(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 h1, h2, first = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 grams = run_hashes(h1, gram, 0)
                 chosen = _selected(grams, first, gram, window)
+                row = np.searchsorted(first, chosen, side="right") - 1
+                once = np.unique(mix(grams[chosen] + row.astype(np.uint64) * _ROW), return_index=True)[1]
+                chosen = np.sort(chosen[once])  # equal grams of a text are found again from one
                 edge = np.searchsorted(chosen, first)
                 offsets = pa.array(edge, pa.int32())
                 whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in column[a:b].to_pylist()]
@@ -104,11 +108,13 @@ def _windows(df: DataFrame, window: int, gram: int) -> DataFrame:
             for a, b in slices(at):
                 h1, h2, first = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 right = text_hashes(h1, first, 0).view(np.int64) == d1[a:b]  # a key may stand for several texts
+                grams = run_hashes(h1, gram, 0)
                 marks = np.zeros(len(h1) + 1, np.int32)
                 for k, places in enumerate(batch.column(3)[a:b]):
                     last = first[k + 1] - window
                     if right[k] and last >= first[k]:
-                        p = np.asarray(places.values) + first[k]
+                        own = grams[first[k] : first[k + 1] - gram + 1]
+                        p = np.flatnonzero(np.isin(own, own[np.asarray(places.values)])) + first[k]
                         np.add.at(marks, np.maximum(p - (window - gram), first[k]), 1)
                         np.add.at(marks, np.minimum(p, last) + 1, -1)
                 pos = np.flatnonzero(np.cumsum(marks) > 0)
