@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Tokens of a window's own turns; a window ends before the turn that starts beyond, so one long turn may exceed it.
 BUDGET = 512
@@ -64,20 +64,22 @@ def rough_tokens(text: Column) -> Column:
 
 
 def _numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str, tokens: str | None) -> DataFrame:
-    """conv, chunk, n (from 0, in order), role, text, body (formatted), tokens, start (tokens before it)."""
-    body = formatted(F.col("role"), F.col("text"))
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), *([F.col(tokens).cast("long").alias("given")] if tokens else []))
-    rows = rows.withColumn("body", body)
-    rows = rows.withColumn("tokens", F.coalesce("given", F.lit(0)) if tokens else rough_tokens(F.col("body")))
+    """no_conv, conv, n (from 0, in order), role, text, tokens, start (tokens before it).
+
+    A null conversation is told by no_conv, so that keys are plain and one shuffle serves both the sums and their join."""
+    given = [F.col(tokens).cast("long").alias("given")] if tokens else []
+    rows = turns.select(F.col(conv).isNull().alias("no_conv"), F.coalesce(F.col(conv), F.lit(0)).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), *given)
+    rows = rows.withColumn("tokens", F.coalesce("given", F.lit(0)) if tokens else rough_tokens(formatted(F.col("role"), F.col("text"))))
     # ties of the turn number are ordered by role and text; equal rows are interchangeable
     rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1 << 40)))
-    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    key = ["no_conv", "conv", "chunk"]
+    inside = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = Window.partitionBy("no_conv", "conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(*key).agg(F.count("*").alias("turns"), F.sum("tokens").alias("sum"))
+    chunks = chunks.select(*key, F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     rows = rows.withColumn("k", F.row_number().over(inside) - 1).withColumn("upto", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("conv", "chunk").agg(F.count("*").alias("turns"), F.sum("tokens").alias("sum"))
-    chunks = chunks.select("conv", "chunk", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    held = rows.alias("r").join(chunks.alias("c"), F.col("r.conv").eqNullSafe(F.col("c.conv")) & (F.col("r.chunk") == F.col("c.chunk")))
-    return held.select("r.conv", "r.role", "r.text", "r.body", "r.tokens", (F.col("first") + F.col("k")).alias("n"), (F.col("base") + F.col("upto") - F.col("tokens")).alias("start"))
+    held = rows.join(chunks, key)
+    return held.select("no_conv", "conv", "role", "text", "tokens", (F.col("first") + F.col("k")).alias("n"), (F.col("base") + F.col("upto") - F.col("tokens")).alias("start"))
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -90,23 +92,20 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     empty. Null conversations form one. An empty table gives none."""
     if budget < 1 or history < 0:
         raise ValueError("a budget of one token at least, and no negative history")
-    rows = _numbered(turns, conv, turn, role, text, tokens)
-    own = F.floor(F.col("start") / budget)
-    rows = rows.withColumn("window", own.cast("long")).withColumn("end", F.col("start") + F.col("tokens"))
+    rows = written(_numbered(turns, conv, turn, role, text, tokens), "turns")
+    rows = rows.withColumn("window", F.floor(F.col("start") / budget).cast("long"))
     system = (F.col("n") == 0) & (F.coalesce("role", F.lit("")) == "system")
     # each window's first turn bounds its history
-    spans = rows.groupBy("conv", "window").agg(F.min("start").alias("at"))
-    # a turn can be history of the windows that start within ``history`` tokens of its end or its own start
+    spans = rows.groupBy("no_conv", "conv", "window").agg(F.min("start").alias("at")).withColumnRenamed("window", "into")
     reach = F.sequence(F.col("window") + 1, F.floor((F.col("start") + F.col("tokens") + history) / budget).cast("long") + 1)
-    repeats = rows.where(~system & (F.col("tokens") <= history)).withColumn("into", F.explode(reach)).alias("r")
-    repeats = repeats.join(spans.alias("s"), F.col("r.conv").eqNullSafe(F.col("s.conv")) & (F.col("r.into") == F.col("s.window")))
+    repeats = rows.where(~system & (F.col("tokens") <= history)).withColumn("into", F.explode(reach)).join(spans, ["no_conv", "conv", "into"])
     repeats = repeats.where((F.col("at") - F.col("start") <= history) & (F.col("start") < F.col("at")))
-    heads = rows.where(system).alias("r").join(spans.alias("s"), F.col("r.conv").eqNullSafe(F.col("s.conv")) & (F.col("s.window") > 0))
-    columns = [F.col(f"r.{c}") for c in ("conv", "n", "role", "text", "body")]
+    heads = rows.where(system).join(spans.where("into > 0"), ["no_conv", "conv"])
     learnt = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    mine = rows.select("conv", "window", "n", F.lit(2).alias("kind"), "role", "text", "body", learnt.alias("loss"))
-    others = [df.select(columns[0], F.col("s.window").alias("window"), columns[1], F.lit(kind).alias("kind"), *columns[2:], F.lit(False).alias("loss")) for df, kind in ((repeats, 1), (heads, 0))]
-    return mine.unionByName(others[0]).unionByName(others[1])
+    kinds = [(rows.withColumn("into", F.col("window")), 2, learnt), (repeats, 1, F.lit(False)), (heads, 0, F.lit(False))]
+    parts = [df.select("no_conv", "conv", F.col("into").alias("window"), "n", F.lit(kind).alias("kind"), "role", "text", loss.alias("loss")) for df, kind, loss in kinds]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select(F.when(~F.col("no_conv"), F.col("conv")).alias("conv"), "window", "n", "kind", "role", "text", formatted(F.col("role"), F.col("text")).alias("body"), "loss")
 
 
 def training_texts(parts: DataFrame) -> DataFrame:
