@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from quillgraph.llm import line_dedup
 from quillgraph.llm.line_dedup import without_boilerplate
 
@@ -46,3 +47,11 @@ def test_edge_rows(spark):
         assert got.columns == [*df.columns, "_n_lines", "n_dropped"]
         assert sorted(((r.doc_id, r.source, r.text, r["_n_lines"], r.n_dropped) for r in got.collect()), key=repr) == plain(rows, 0.4, 4)
     assert without_boilerplate(df.limit(0)).count() == 0
+
+
+def test_unique_lines_of_small_hosts_stay(spark):
+    """A line of one page is over a tenth of 5 to 9 pages, and no boilerplate in the pipeline."""
+    rows = [(100 * n + k, f"host{n}", f"menu\nline {n} {k}\nmore {n} {k}") for n in range(5, 10) for k in range(n)]
+    df = spark.createDataFrame([(k, t, "en", h, 0) for k, h, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert got == {k: t.removeprefix("menu\n") for k, _, t in rows}
