@@ -40,26 +40,31 @@ def _hash(line: Column) -> Column:
     return F.when(line != "", F.xxhash64(line, F.length(line)))
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_stands: int = 1) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_stands: int = 1, copies: bool = True) -> DataFrame:
     """host, lines (sorted array of hashes): what exceeds the ratio and stands on ``min_stands`` pages, on each host that has
-    such lines."""
+    such lines. Without ``copies``, pages of one host with equal texts (by XXH64 and length) are one page in all counts."""
     pages = df.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("host").isNotNull())
-    totals = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "pages")
+    if not copies:
+        pages = pages.withColumn("own", F.struct(F.xxhash64("text"), F.length("text")))
+    one = pages if copies else pages.select("host", "own").distinct()
+    totals = written(one.groupBy("host").agg(F.count("*").alias("pages")), "pages")
     if totals.agg(F.coalesce(F.sum(64 + F.octet_length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         totals = F.broadcast(totals)  # else a host's lines meet in the join, which splits large hosts
     own = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: _hash(_bare(x))))
-    counted = pages.select("host", F.explode(own).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n"))
+    stands = pages.select(*(c for c in pages.columns if c != "text"), F.explode(own).alias("line")).where("line is not null")
+    counted = (stands if copies else stands.distinct()).groupBy("host", "line").agg(F.count("*").alias("n"))
     over = counted.where(F.col("n") >= min_stands).join(totals, "host").where((F.col("pages") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("pages")))
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES, min_stands: int = 1) -> DataFrame:
+def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES, min_stands: int = 1, copies: bool = True) -> DataFrame:
     """The rows of df with boilerplate lines taken out of ``text``; other lines and their order stay, joined by \\n.
 
     With ``counts``, two columns follow: n_lines and n_dropped (both 0 for null text). Null text stays null and counts as a
     page of its host; a text of which all lines go is empty. Pages with a null host, and those of hosts with fewer than
-    ``min_pages`` pages, keep all lines, and so does a line on fewer than ``min_stands`` pages of its host. Rows that repeat a key are pages of their own. All other columns stay."""
-    found = written(boilerplate(df, host, text, ratio, min_pages, min_stands), "boilerplate")
+    ``min_pages`` pages, keep all lines, and so does a line on fewer than ``min_stands`` pages of its host. Rows
+    that repeat a key are pages of their own; without ``copies``, equal texts of a host are one page. All other columns stay."""
+    found = written(boilerplate(df, host, text, ratio, min_pages, min_stands, copies), "boilerplate")
     n_bytes = found.agg(F.coalesce(F.sum(64 + F.octet_length("host") + 8 * F.size("lines")), F.lit(0))).first()[0]
     page, line = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("page"), F.struct(*found.columns).alias("found")
     own, theirs = F.col(f"page.`{host}`"), F.col("found.host")

@@ -55,3 +55,11 @@ def test_unique_lines_of_small_hosts_stay(spark):
     df = spark.createDataFrame([(k, t, "en", h, 0) for k, h, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
     assert got == {k: t.removeprefix("menu\n") for k, _, t in rows}
+
+
+def test_groups_of_copies_keep_their_lines(spark):
+    """Copies that fill a fifth of a host are one page of it in the pipeline; its menu still goes from all of them."""
+    texts = ["menu\nthe copied article\nits second line"] * 10 + [f"menu\npage {k}" for k in range(40)] + ["", None]
+    df = spark.createDataFrame([(k, t, "en", "host", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert got == {k: t and t.removeprefix("menu\n") for k, t in enumerate(texts)}
