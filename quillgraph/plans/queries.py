@@ -71,15 +71,19 @@ def _starts(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where("doc_id % 37 = 0").select(F.col("doc_id").alias("seq"), F.concat(F.lit("s"), F.floor(F.col("doc_id") / 37).cast("string")).alias("name"), F.col("doc_id").cast("int").alias("page"))
 
 
+def _last_page(spark: SparkSession, sf: str) -> int:
+    return _docs(spark, sf).agg(F.max(F.col("doc_id").cast("int"))).first()[0] or 0
+
+
 def range_assign(spark: SparkSession, sf: str) -> DataFrame:
     pages = _docs(spark, sf).select(F.col("doc_id").cast("int").alias("page"), F.length("text").alias("chars"))
-    rows = assign.pages_of(assign.ranges(_starts(spark, sf), 199_999), pages)
+    rows = assign.pages_of(assign.ranges(_starts(spark, sf), _last_page(spark, sf)), pages)
     return rows.groupBy("name").agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 def page_concat(spark: SparkSession, sf: str) -> DataFrame:
     pages = _docs(spark, sf).select(F.col("doc_id").cast("int").alias("page"), F.substring("text", 1, 40).alias("text"))
-    rows = assign.texts(assign.ranges(_starts(spark, sf), 199_999), pages)
+    rows = assign.texts(assign.ranges(_starts(spark, sf), _last_page(spark, sf)), pages)
     return rows.select("name", F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").alias("chars"))
 
 
@@ -124,7 +128,7 @@ def derivative_valid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derivative_table(spark: SparkSession, sf: str) -> DataFrame:
-    made = _docs(spark, sf).select("doc_id", F.concat(F.lit("head 衍生型号\n型号\n特点\n"), F.array_join(F.transform(F.slice(F.split("text", " "), 1, 12), lambda x, k: F.concat(x, F.when(k % 2 == 0, k.cast("string")).otherwise(F.lit("改进型说明")))), "\n"), F.lit("\n服役记录 end")).alias("text"))
+    made = _docs(spark, sf).select("doc_id", F.concat(F.lit("head 衍生型号\n型号\n特点\n"), F.array_join(F.transform(F.split("text", " "), lambda x, k: F.concat(x, F.when(k % 2 == 0, k.cast("string")).otherwise(F.lit("改进型说明")))), "\n"), F.lit("\n服役记录 end")).alias("text"))
     return derive.derivatives(made, "doc_id")
 
 
