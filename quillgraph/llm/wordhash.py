@@ -1,21 +1,36 @@
-"""Hashes of all words and word runs of many texts at once, with numpy over the flat bytes of an Arrow column.
+"""Words of texts and hashes of word runs, for choosing candidates; nothing is decided by these hashes.
 
-Words are the runs of bytes that are not ASCII white space. Two independent 64-bit hashes are made of each word and of each
-run of words, as differences of running sums of a polynomial (modulo 2**64, with odd bases, which have inverses there) over
-random values for bytes; words are mixed before they enter a run's polynomial, and runs before they are used."""
+Words are the runs of bytes that are not ASCII white space. Each different word is hashed once by XXH3; a run's hash is a
+polynomial over its words' hashes, as a difference of running sums (modulo 2**64, with an odd base, which has an inverse
+there). Equal runs have equal hashes; runs of equal hashes must be told apart by their words."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Bytes hashed at once.
-SLICE = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of texts that are worked on at once, and different words that a worker keeps hashes of before it starts anew.
+SLICE, CACHE_WORDS = 1 << 20, 500_000
+#: Longer words are hashed each time.
+CACHE_BYTES = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_BYTES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+class WordHashes(dict):
+    """word -> its hash, bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word, 20)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,71 +39,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of a base and of its inverse."""
-    if which not in _powers or len(_powers[which][0]) < n:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base and of its inverse."""
+    if not _powers or len(_powers[0][0]) < n:
         size = 1 << max(12, int(n - 1).bit_length())
         out = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
-        if size > 4 * SLICE:  # for one very long word or text only
+        if size > 4 * SLICE:  # for one very long text only
             return out[0], out[1]
-        _powers[which] = (out[0], out[1])
-    return _powers[which]
+        _powers[:] = [(out[0], out[1])]
+    return _powers[0]
 
 
-def _sums(values: np.ndarray, which: int) -> np.ndarray:
-    """Running sums of values times powers, with a leading zero."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(which, len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first hash of each word, second hash, index of the first word of each text and the end of the last's).
-
-    data: bytes of all texts; at: where each starts, and the end."""
-    space = _SPACE[data]
-    word = ~space
-    begins, stops = word.copy(), word.copy()
-    begins[1:] &= space[:-1]
-    stops[:-1] &= space[1:]
-    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]  # words end with their text
-    begins[edges] |= word[edges]
-    stops[edges - 1] |= word[edges - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    hashes = [np.zeros(len(starts), np.uint64) for _ in range(2)]
-    k = 0
-    while k < len(starts):
-        low = int(starts[k])
-        to = max(k + 1, int(np.searchsorted(ends, low + SLICE, side="right")))
-        part, s, e = data[low : int(ends[to - 1])], starts[k:to] - low, ends[k:to] - low
-        for which in range(2):
-            sums = _sums(_BYTES[which][part], which)
-            hashes[which][k:to] = mix((sums[e] - sums[s]) * _power(which, len(part) + 1)[1][s])
-        k = to
-    return hashes[0], hashes[1], np.searchsorted(starts, at)
-
-
-def run_hashes(words: np.ndarray, size: int, which: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of words[i : i + size] for each i; the runs of one flat array may reach over the ends of texts."""
     if len(words) < size:
         return np.zeros(0, np.uint64)
-    sums, k = _sums(words, which), len(words) - size + 1
-    return mix((sums[size:] - sums[:k]) * _power(which, k)[1][:k])
-
-
-def text_hashes(words: np.ndarray, first: np.ndarray, which: int) -> np.ndarray:
-    """Hash of all words of each text."""
-    sums = _sums(words, which)
-    n = (first[1:] - first[:-1]).astype(np.uint64)
-    return mix((sums[first[1:]] - sums[first[:-1]]) * _power(which, len(words) + 1)[1][first[:-1]] + n * _M1)
+    up, down = _power(len(words))
+    sums, k = np.zeros(len(words) + 1, np.uint64), len(words) - size + 1
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[size:] - sums[:k]) * down[:k])
 
 
 def slices(at: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes together."""
+    """Ranges of texts of about ``most`` bytes together; at: where each text starts, and the end."""
     out, k, n = [], 0, len(at) - 1
     while k < n:
         to = max(k + 1, int(np.searchsorted(at, at[k] + most, side="right")) - 1)

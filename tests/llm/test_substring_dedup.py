@@ -63,3 +63,48 @@ def test_empty_and_incremental(spark):
     assert [r.n_removed for r in index.add(first, first).collect()] == [0]
     rows = {r.doc_id: r for r in index.add(second, first.unionAll(second), with_text=True).collect()}
     assert rows[1].kept_text == "zero six" and rows[2].n_removed == 0 and len(index.runs) == 1
+
+
+def thue_morse(a, b, doublings=11):
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_and_documents_in_thue_morse_order(spark):
+    """What collides under any polynomial hash modulo a power of two: words of such letters, documents of such words."""
+    t, c = thue_morse("a", "b")
+    tail = " ".join(f"w{k}" for k in range(60))
+    x, y = thue_morse("one ", "two ")
+    rows = [(1, f"{t} {tail}"), (2, f"{c} {tail}"), (3, f"{t} " * 60), (4, f"{c} " * 60), (5, x), (6, y), (7, f"{t} " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    assert [r[2] for r in want][:4] == [0, 60, 0, 0]
+    assert got(repeated_passages(df)) == want
+
+
+def test_hot_grams(spark):
+    """A passage that stands in two thirds of all documents, with other words around it and as part of longer repeats."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, " ".join([f"a{rng.randrange(9)}", passage, *(f"b{rng.randrange(3)}" for _ in range(4)), f"c{k}"])) if k % 3 else (k, f"own {k} " * 9) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows, 8)
+    for batches in (1, 3):
+        assert got(repeated_passages(df, window=8, gram=4, batches=batches, hot=5)) == want
+
+
+def test_index_is_taken_up_again(spark, tmp_path):
+    """Each batch by an index that was opened anew, from the manifest alone; replaced runs are gone."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path, out = f"file://{tmp_path}/index", []
+    for k in range(4):
+        index = FingerprintIndex(spark, window=7, gram=3, path=path, hot=6) if k == 0 else FingerprintIndex.open(spark, path)
+        out += got(index.add(df.where(f"doc_id >= {20 * k} and doc_id < {20 * k + 20}"), df.where(f"doc_id < {20 * k + 20}")))
+        for run in index.runs:
+            spark.sql(f"DROP TABLE {run.places}")  # another session's catalogue does not know them
+            spark.sql(f"DROP TABLE {run.wholes}")
+    assert sorted(out, key=repr) == plain(rows, 7)
+    assert len(index.runs) == 1 and len(list((tmp_path / "index").glob("wholes_*"))) == 1 and len(list((tmp_path / "index").glob("grams_*"))) == 1
