@@ -1,11 +1,16 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines: a block-level tag ends a line, and an element that is never article text (navigation, forms,
-scripts and the like, by its name or by what its class, id or role says) leaves a gap of empty lines where it stood. The
-lengths of lines are then summed over a sliding window. Text surges where a window's sum rises from nothing, and dives where
-it is back at nothing; what lies between a surge and its dive is one stretch. The stretches of an article or main element
-are kept if the page has such an element with text; else the longest one is, with all that lies in its container or the one
-around that, and with others that reach a share of its length and are not mostly links.
+One scan strips the markup: a block-level tag ends a line, and each line keeps how many of its characters stand in links, and
+the element that holds it. What is never article text (navigation, forms, footers and the like, by their names or by a class,
+id or role that says no more than that) gives no lines. A line's mass is its characters less twice those in links. Masses
+are summed over a sliding window of lines. Text surges where a window's sum reaches a threshold, and dives where it falls
+below; the threshold is taken from the page itself. What lies between a surge and its dive is one stretch, and the stretch
+with the most mass is the article's.
+
+Elements only weigh: an article or main element counts if it holds at least half of the page's mass, and then its lines are
+kept where others are not; else the stretch is kept, with what lies between surges and dives of the container that holds most
+of it. Lines of links stay only alone and inside a stretch, so that menus, lists of other stories and the like go from inside
+an article too.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,181 +28,335 @@ from pyspark.sql.types import StructType
 
 from .common import table
 
-#: Lines of a window. A gap has as many, so that windows inside it sum to nothing.
+#: Lines of a window.
 WINDOW = 3
-#: A stretch outside of an article is kept from this share of the longest one's length on, if fewer of its characters than
-#: the other share are link texts.
-SHARE, LINKS = 0.2, 0.5
-
-# Element names of HTML.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title nav header footer aside form button select textarea option datalist dialog menu".split())
+#: The threshold: a share of the mass of the line in which the middle character of the page's mass lies, and its upper bound.
+SHARE, MOST = 0.25, 150
+#: Share of the page's mass from which an article or main element counts, and of a stretch's mass that its container holds.
+ELEMENT, CONTAINER = 0.5, 0.8
+#: A stretch outside of the article's container is kept from this share of the article's mass on.
+OTHER = 0.2
+#: Open elements that are looked through for one that a start tag closes.
+LOOK_BACK = 64
+
+# Element names of HTML, and what closes what.
+DROPPED = frozenset("nav footer aside form button select option datalist dialog menu".split())
+SKIPPED = frozenset("script style noscript template iframe textarea title head svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math".split())
-MAIN = frozenset(["article", "main"])
-CONTAINERS = frozenset(["div", "section"])
-#: What a name, class, id or role says of elements that are not the article's text.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comment|comments|disqus|respond|reply|replies|related|recommended|widget|pagination|pager|copyright|contentinfo|complementary|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot table ul ol dl blockquote pre figure figcaption caption address".split())
+CLOSED_BY = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup")}
+BOUNDS = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select", "datalist")}
+
+#: A class, id or role says that its element is no article text if it is made of such a word and of others of the two lists.
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login search share sharing social comment comments disqus respond reply replies related recommended pagination pager copyright contentinfo complementary skip".split()
 )
+BESIDE = frozenset("area bar block bottom box btn button buttons container form global group inner item items left line link links list main outer page panel post primary right row secondary section side site small stories text top unit widget wrap wrapper".split())
+OWN_RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}))|\ball rights reserved\b", re.IGNORECASE)
 
-#: A wrapper that says it has, or has not, such an element is none itself.
-ABOUT_OTHERS = re.compile(r"(?<![^\s])(?:has|with|without|no)[-_][^\s]+", re.IGNORECASE)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-SAYS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE = re.compile(r"=\s*([\"'])")
+SAYS = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
-
-
-def lines_of(source: str) -> tuple[list[str], list[bool], list[int], list[tuple[int, ...]]]:
-    """(text of each line, whether it lies in an article or main element, characters of it in links, containers around it).
-
-    Gaps are empty lines. Containers are div and section elements, numbered in page order."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    linked: list[int] = []
+ENDS = (".", "!", "?", "…", "。", "！", "？", '"', "”", "»", ")", ":")
+
+
+@dataclass
+class Lines:
+    """texts, characters in links, element, whether it is in a list, in a heading: of each line that is not unwanted; parent,
+    whether it is an article or main element, whether it is a container: of each element, in page order; 0 holds all."""
+
+    text: list[str]
+    links: list[int]
+    element: list[int]
+    listed: list[bool]
+    heading: list[bool]
+    parent: list[int]
+    article: list[bool]
+    container: list[bool]
+
+
+def unwanted(rest: str) -> bool:
+    """What a tag's attributes say."""
+    for kind, *values in SAYS.findall(rest):
+        value = "".join(values)
+        for token in value.split() if kind.lower() in ("class", "role") else [value]:
+            parts = [p.lower() for p in PARTS.findall(token)]
+            if any(p in UNWANTED for p in parts) and all(p in UNWANTED or p in BESIDE or p.isdigit() for p in parts):
+                return True
+    return HIDDEN.search(rest) is not None
+
+
+def _tag_end(source: str, at: int) -> int:
+    """Where the > of a tag stands that begins before ``at``, quoted values looked over; -1 if it never ends."""
+    end = source.find(">", at)
+    while end >= 0 and (m := QUOTE.search(source, at, end)):
+        close = source.find(m.group(1), m.end())
+        if close < 0:
+            break
+        at = close + 1
+        if end < at:
+            end = source.find(">", at)
+    return end
+
+
+def lines_of(source: str) -> Lines:
+    """One pass over the page, in time proportional to its length."""
+    out = Lines([], [], [], [], [], [0], [False], [True])
     now: list[str] = []
-    open_: list[str] = []
-    around: list[tuple[int, ...]] = []
-    path: tuple[int, ...] = ()
-    main = links = 0  # open article or main elements, open links
-    link_chars = at = containers = 0
+    stack: list[tuple[str, int, bool]] = []  # name, element (that of the parent for inline ones), whether it is unwanted
+    count: dict[str, int] = {}
+    element = bad = links = link_chars = headings = articles = 0
 
     def close() -> None:
         nonlocal link_chars
         text = SPACE.sub(" ", html.unescape("".join(now))).strip()
-        if text:
-            lines.append(text)
-            inside.append(main > 0)
-            linked.append(link_chars)
-            around.append(path)
+        if text and not bad:
+            out.text.append(text)
+            out.links.append(min(link_chars, len(text)))
+            out.element.append(element)
+            out.listed.append(count.get("li", 0) > 0)
+            out.heading.append(headings > 0)
         now.clear()
         link_chars = 0
 
-    def gap() -> None:
-        close()
-        lines.extend([""] * WINDOW)
-        inside.extend([main > 0] * WINDOW)
-        linked.extend([0] * WINDOW)
-        around.extend([path] * WINDOW)
-
     def say(text: str) -> None:
         nonlocal link_chars
         if text:
             now.append(text)
             link_chars += len(text.strip()) if links else 0
 
-    m = TOKEN.search(source)
-    while m:
-        say(source[at : m.start()])
-        at = m.end()
-        closing, name, rest = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
-        if not name:  # a comment or declaration
-            pass
-        elif closing:
+    def push(name: str, own_bad: bool) -> None:
+        nonlocal element, bad, links, headings, articles
+        if name in BLOCKS:
+            out.parent.append(element)
+            out.article.append(name in ("article", "main"))
+            out.container.append(name not in TEXTUAL)
+            element = len(out.parent) - 1
+        stack.append((name, element, own_bad))
+        count[name] = count.get(name, 0) + 1
+        bad += own_bad
+        links += name == "a"
+        headings += name in HEADINGS
+        articles += name in ("article", "main")
+
+    def pop() -> str:
+        nonlocal element, bad, links, headings, articles
+        name, own, own_bad = stack.pop()
+        count[name] -= 1
+        bad -= own_bad
+        links -= name == "a"
+        headings -= name in HEADINGS
+        articles -= name in ("article", "main")
+        if name in BLOCKS:
+            element = out.parent[own]
+        return name
+
+    def close_implied(name: str) -> None:
+        """Ends the open elements that this start tag ends."""
+        ends, bounds = CLOSED_BY.get(name, ()), BOUNDS.get(name, ())
+        if name in BLOCKS and name not in ends and count.get("p"):
+            ends = (*ends, "p")
+        if not any(count.get(x) for x in ends):
+            return
+        found = 0
+        for back in range(1, min(len(stack), LOOK_BACK) + 1):
+            top = stack[-back][0]
+            if top in bounds:
+                break
+            if top in ends:
+                found = back
+                if top == "p" and not bounds:
+                    break
+            elif top in BLOCKS and not bounds:
+                break
+        for _ in range(found):
+            pop()
+
+    at, n, last = 0, len(source), source.rfind(">")
+    while at < n:
+        less = source.find("<", at)
+        if less < 0:
+            say(source[at:])
+            break
+        say(source[at:less])
+        after = source[less + 1 : less + 2]
+        if after in ("!", "?"):
+            if source.startswith("<!--", less):
+                end = source.find("-->", less + 4)
+                at = n if end < 0 else end + 3
+            else:
+                end = source.find(">", less)
+                at = n if end < 0 else end + 1
+            continue
+        closing = after == "/"
+        m = NAME.match(source, less + 1 + closing)
+        if not m:
+            if closing and less < last:
+                at = source.find(">", less) + 1  # </> and the like are no text
+            else:
+                say("<")
+                at = less + 1
+            continue
+        end = _tag_end(source, m.end())
+        if end < 0:
+            break  # a tag that never ends
+        name, rest, at = m.group().lower(), source[m.end() : end], end + 1
+        if closing:
             if name in BLOCKS:
                 close()
-            if name in open_:
-                while open_:
-                    top = open_.pop()
-                    main -= top in MAIN
-                    links -= top == "a"
-                    path = path[:-1] if top in CONTAINERS else path
-                    if top == name:
-                        break
-        elif name == "br":
+            if count.get(name):
+                while pop() != name:
+                    pass
+            continue
+        if name == "br":
             say(" ")
-        elif name not in VOID or name == "hr":
-            unwanted = name in DROPPED or (name not in MAIN and name not in ("html", "body") and bool((says := _said(rest)) and UNWANTED.search(says) or HIDDEN.search(rest)))
-            if unwanted and not rest.endswith("/"):
-                gap()
-                at = _end_of(source, at, name)
-            else:
-                if name in BLOCKS:
-                    close()
-                if name == "p" and "p" in open_ and open_[-1] in ("p", "b", "i", "em", "strong", "span", "u", "a"):
-                    while open_ and open_[-1] != "p":  # a paragraph ends the one before it
-                        links -= open_.pop() == "a"
-                    open_.pop()
-                if name not in VOID and not rest.endswith("/"):
-                    open_.append(name)
-                    main += name in MAIN
-                    links += name == "a"
-                    if name in CONTAINERS:
-                        containers += 1
-                        path = (*path, containers)
-        m = TOKEN.search(source, at)
-    say(source[at:] if not source[at:].startswith("<!--") else "")
+            continue
+        if name in SKIPPED and name not in RAW:
+            close()
+            close_implied(name)
+            if not rest.endswith("/"):
+                push(name, True)
+            continue
+        if name in RAW:
+            end = re.compile(f"</{re.escape(name)}(?=[\\s>/])", re.IGNORECASE).search(source, at)
+            if end is None:
+                break
+            stop = source.find(">", end.end())
+            at = n if stop < 0 else stop + 1
+            continue
+        if name in BLOCKS:
+            close()
+            close_implied(name)
+        if name in VOID or rest.endswith("/"):
+            continue
+        own_bad = name in DROPPED or (name == "header" and not articles) or (name not in ("article", "main", "html", "body") and unwanted(rest))
+        if own_bad and name not in BLOCKS:
+            close()
+        push(name, own_bad)
+        if name == "body" and count.get("head"):  # a head that was never closed
+            bad -= sum(x[2] for x in stack if x[0] == "head")
+            stack[:] = [(x[0], x[1], x[2] and x[0] != "head") for x in stack]
     close()
-    return lines, inside, linked, around
-
-
-def _said(rest: str) -> str:
-    said = " ".join(x for found in SAYS.findall(rest) for x in found if x)
-    return ABOUT_OTHERS.sub(" ", said)
-
-
-def _end_of(source: str, at: int, name: str) -> int:
-    """Behind the end tag of the element that has just begun; the end of the page if there is none.
-
-    Raw text ends at the first end tag of its name, other elements at that which balances their own."""
-    if name in RAW:
-        m = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-        return m.end() if m else len(source)
-    depth = 1
-    m = TOKEN.search(source, at)
-    while m:
-        at = m.end()
-        own = (m.group(2) or "").lower()
-        if own in RAW and not m.group(1) and own != name:
-            at = _end_of(source, at, own)
-        elif own == name and not (m.group(3) or "").endswith("/"):
-            depth += -1 if m.group(1) else 1
-            if not depth:
-                return at
-        elif m.group(1) and own in ("body", "html", "article", "main"):  # it was never closed
-            return m.start()
-        m = TOKEN.search(source, at)
-    return len(source)
-
-
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) of each stretch: lines from the first to behind the last with text between two windows of nothing."""
-    size = np.asarray(lengths, dtype=np.int64)
-    if not size.any():
-        return []
-    sums = np.convolve(size, np.ones(window, dtype=np.int64))[: len(size)]  # of the window that ends at each line
-    inside = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(inside))
-    out = []
-    for surge, dive in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        text = np.flatnonzero(size[surge:dive])
-        out.append((surge + int(text[0]), surge + int(text[-1]) + 1))
     return out
 
 
+def window_sums(mass: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each line the mass of the window around it."""
+    return np.convolve(mass, np.ones(window))[(window - 1) // 2 :][: len(mass)]
+
+
+def threshold(mass: np.ndarray) -> float:
+    ordered = np.sort(mass)[::-1]
+    middle = ordered[int(np.searchsorted(np.cumsum(ordered), ordered.sum() / 2))]
+    return min(MOST, SHARE * float(middle))
+
+
+def stretches(mass: np.ndarray) -> list[tuple[int, int]]:
+    """(surge, dive): lines between the points where the windows' sums reach the page's threshold and fall below it."""
+    if not mass.any():
+        return []
+    above = np.concatenate([[0], (window_sums(mass) >= threshold(mass)).astype(np.int8), [0]])
+    turns = np.flatnonzero(np.diff(above))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+
+
+def _held(lines: Lines, mass: np.ndarray) -> np.ndarray:
+    """Mass inside each element."""
+    held = np.zeros(len(lines.parent))
+    np.add.at(held, lines.element, mass)
+    for k in range(len(held) - 1, 0, -1):
+        held[lines.parent[k]] += held[k]
+    return held
+
+
+def _inside(lines: Lines, element: int) -> np.ndarray:
+    """Whether each line lies in the element."""
+    own = [False] * len(lines.parent)
+    for k in range(len(own)):
+        own[k] = k == element or (k > 0 and own[lines.parent[k]])
+    return np.array(own)[lines.element]
+
+
 def main_text(source: str) -> str:
     """Blocks of the article joined by an empty line; empty if the page has none."""
-    lines, inside, linked, around = lines_of(source)
-    found = stretches([len(x) for x in lines])
-    if not found:
+    lines = lines_of(source)
+    if not lines.text:
+        return ""
+    size, links = np.array([len(x) for x in lines.text]), np.array(lines.links)
+    mass = np.maximum(0, size - 2 * links).astype(float)
+    rights = np.array([c < 200 and OWN_RIGHTS.search(x) is not None for x, c in zip(lines.text, size.tolist(), strict=True)])
+    held = _held(lines, mass)
+    if not held[0]:
         return ""
-    size = lambda s: sum(len(lines[k]) for k in range(*s))
-    if any(lines[k] and inside[k] for k in range(len(lines))):
-        kept = [k for s in found for k in range(*s) if inside[k]]
+    found = stretches(np.where(rights, 0, mass))
+    strong = [k for k in range(1, len(held)) if lines.article[k] and held[k] >= ELEMENT * held[0]]
+    if strong:
+        span = _inside(lines, strong[-1])  # the innermost one
     else:
-        longest = max(found, key=size)
-        own = {around[k] for k in range(*longest)}
-        outer = min(own, key=len)
-        shared = outer[-2] if len(outer) > 1 else outer[0] if outer else None
-        link_share = lambda s: sum(linked[k] for k in range(*s)) / max(1, size(s))
-        goes = lambda s: s == longest or size(s) >= SHARE * size(longest) and link_share(s) < LINKS
-        kept = [k for s in found for k in range(*s) if goes(s) or shared in around[k]]
-    return "\n\n".join(lines[k] for k in kept if lines[k])
+        mass = np.where(rights, 0, mass)
+        span = _by_stretches(lines, mass, found)
+    return "\n\n".join(lines.text[k] for k in np.flatnonzero(span & _stays(lines, mass, size, links, found)).tolist())
+
+
+def _by_stretches(lines: Lines, mass: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    """The lines of the article by surges and dives alone."""
+    span = np.zeros(len(mass), bool)
+    if not found:
+        return span
+    total = [float(mass[a:b].sum()) for a, b in found]
+    best = int(np.argmax(total))
+    a, b = found[best]
+    own = np.zeros(len(mass))
+    own[a:b] = mass[a:b]
+    held = _held(lines, own)
+    inside = _inside(lines, int(np.flatnonzero((held >= CONTAINER * held[0]) & np.array(lines.container))[-1]))
+    kept = [s for s, t in zip(found, total, strict=True) if s == found[best] or inside[s[0] : s[1]].any() or t >= OTHER * total[best]]
+    for s, t in kept:
+        span[s:t] = True
+    between = np.zeros(len(mass), bool)  # of one container, also what lies between surges and dives
+    mine = [s for s in kept if inside[s[0] : s[1]].any()]
+    between[mine[0][0] : mine[-1][1]] = True
+    span |= between & inside
+    least = threshold(mass)
+    for s, t in kept:  # windows reach over the edges of the text
+        home = lines.element[s + int(np.argmax(mass[s:t]))]
+        article = _article_of(lines, home)
+        while t > s and mass[t - 1] < least and not inside[t - 1] and not lines.text[t - 1].endswith(ENDS):
+            t -= 1
+            span[t] = False
+        while s < t and mass[s] < least and not inside[s] and _article_of(lines, lines.element[s]) != article:
+            span[s] = False
+            s += 1
+    first = int(np.argmax(span))
+    while first and lines.heading[first - 1] and mass[first - 1]:
+        first -= 1
+        span[first] = True
+    return span
+
+
+def _article_of(lines: Lines, element: int) -> int:
+    while element and not lines.article[element]:
+        element = lines.parent[element]
+    return element
+
+
+def _stays(lines: Lines, mass: np.ndarray, size: np.ndarray, links: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    """Lines with text of their own, and those of links that are headings or stand alone between such lines of a stretch."""
+    dense = np.zeros(len(mass), bool)
+    for a, b in found:
+        dense[a:b] = True
+    linked = (2 * links >= size) & (links > 0)
+    padded = np.concatenate([[False], (mass > 0) & ~linked, [False]])
+    alone = linked & padded[:-2] & padded[2:] & ~np.array(lines.listed)
+    return (mass > 0) | (linked & np.array(lines.heading)) | (alone & dense)
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -1,11 +1,14 @@
 """Main text of pages, against a parser of the standard library that knows the tables' layout, and on other layouts."""
 
 import re
+import time
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
-from quillgraph.llm.html_text import lines_of, main_text, main_texts, op3_html_text, stretches
+from quillgraph.llm import html_text
+from quillgraph.llm.html_text import main_text, main_texts, op3_html_text, stretches, threshold
 
 
 class Article(HTMLParser):
@@ -63,13 +66,68 @@ def test_other_layout():
 def test_odd_pages():
     assert main_text("") == "" and main_text("<nav>only</nav>") == "" and main_text("plain words") == "plain words"
     assert main_text("<p>open <b>bold<p>next") == "open bold\n\nnext"
-    assert main_text("<article><p>a</p></article><p>" + "outside " * 50 + "</p>") == "a"
     assert main_text("<!-- <p>no</p> --><p>yes</p><!-- open <p>no") == "yes"
     assert main_text("<script>if (a < b) { '</p>' }</script><p>t</p>") == "t"
+    assert main_text('<p title="a > b">x</p><p title=it\'s>y</p>') == "x\n\ny"
     assert len(main_text("<p>" + "long word " * 200_000)) == 1_999_999
-    lines, inside, _, _ = lines_of("<main>a<br>b<hr>c</main>d")
-    assert [x for x in lines if x] == ["a b", "c", "d"] and inside[:2] == [True, True]
-    assert stretches([0, 5, 0, 1, 0, 0, 0, 7]) == [(1, 4), (7, 8)] and stretches([]) == []
+
+
+def paragraphs(n, what="Paragraph"):
+    return [f"{what} {k} has many words and goes on for a good while, as the paragraphs of articles do." for k in range(n)]
+
+
+def joined(*parts):
+    return "\n\n".join(parts)
+
+
+BODY = paragraphs(5)
+LINKS = '<a href="/">Home</a> <a href="/about">About us</a> <a href="/contact">Contact</a>'
+RIGHTS = "© 2024 Example Company, all rights reserved"
+STORIES = '<ul><li><a href="x">Share on X</a><li><a href="n">Next story</a></ul>'
+
+LAYOUTS = {
+    "plain divs without any names": (f"<div>{LINKS}</div><div>The title</div>" + "".join(f"<div>{p}</div>" for p in BODY) + f"<div>{RIGHTS}</div>", joined("The title", *BODY)),
+    "unclosed paragraphs": (f"<article><p class=share>Share this<p>{BODY[0]}<p>{BODY[1]}</article>", joined(BODY[0], BODY[1])),
+    "unclosed list items in an article": (f"<main><p>{BODY[0]}<ul><li>One thing<li>Another<p>with a paragraph</ul><p>{BODY[1]}</main>", joined(BODY[0], "One thing", "Another", "with a paragraph", BODY[1])),
+    "lists of links inside an article": (f"<article><ul><li><a>Part one</a><li><a>Part two</a></ul><h1>T</h1><p>{BODY[0]}<p>{BODY[1]}{STORIES}</article>", joined("T", BODY[0], BODY[1])),
+    "names that contain unwanted words": (f'<article><p class="share-price">{BODY[0]}</p><p class="search-results-study">Short.</p><section id="comments-on-policy"><p>{BODY[1]}</p></section></article>', joined(BODY[0], "Short.", BODY[1])),
+    "a table": (f"<body>{LINKS}<div><p>{BODY[0]}<table><tr><td>a<td>b<tr><td>1<td>2</table><p>{BODY[1]}</div>", joined(BODY[0], "a", "b", "1", "2", BODY[1])),
+    "main": (f"<main><header><h1>T</h1></header><p>{BODY[0]}<p>Yes.<p>No.<p>Why?<p>{BODY[1]}</main><div>outside</div>", joined("T", BODY[0], "Yes.", "No.", "Why?", BODY[1])),
+    "a card beside the text": (f"<div><p>{joined(*BODY)}</p></div><article><p>A card</p></article>", " ".join(BODY)),
+    "a last paragraph behind a form": (f"<body><div>{BODY[0]}</div><form>Mail <input></form><div>Short last one.</div></body>", joined(BODY[0], "Short last one.")),
+    "comments and a sidebar of prose": (f"<div class=post>{''.join(f'<p>{p}' for p in BODY)}</div><div class='post-comments'>{''.join(f'<p>{p}' for p in paragraphs(2, 'Comment'))}</div><div id=sidebar><p>{BODY[0]}</div>", joined(*BODY)),
+    "short lines far from the text": (f"<div>{''.join(f'<p>{p}' for p in BODY)}</div><div><p>Tags<p>one<p>two<p>three</div>", joined(*BODY)),
+    "short sentences behind a row of links": (f"<div>{''.join(f'<p>{p}' for p in BODY)}</div><div>{LINKS}</div><div><p>Call us.<p>Open daily.</div>", joined(*BODY)),
+    "a link alone in the text": (f"<div><p>{BODY[0]}<p><a href=x>The full report is here</a><p>{BODY[1]}</div>", joined(BODY[0], "The full report is here", BODY[1])),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    source, want = LAYOUTS[layout]
+    assert main_text(source) == want
+
+
+def test_surge_and_dive_decide(monkeypatch):
+    """Without them, other text comes back from pages whose elements say nothing."""
+    mass = np.array([0, 3, 400, 300, 2, 0, 0, 5, 500, 0], float)
+    assert threshold(mass) == 100 and stretches(mass) == [(1, 5), (7, 10)] and stretches(mass[:0]) == []
+    monkeypatch.setattr(html_text, "stretches", lambda mass: [(0, len(mass))])
+    changed = [name for name, (source, want) in LAYOUTS.items() if main_text(source) != want]
+    assert "short sentences behind a row of links" in changed
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", '<a ">', "<p>", "<p></b>", "<!--", "<script>", "</", "<", "<b><p></p>", "<a x=y>", "&#"])
+def test_broken_pages_take_time_in_proportion(piece):
+    began = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 15
+
+
+def test_deep_pages():
+    began = time.process_time()
+    assert main_text("<div>" * 100_000 + "deep" + "</span>" * 100_000) == "deep"
+    assert time.process_time() - began < 15
 
 
 def test_edge_rows(spark):
