@@ -1,16 +1,19 @@
 """Conversations as training windows of bounded size, with DataFrame functions only.
 
-Turns are ordered and numbered, and prefix sums of their tokens say where each starts. A window is a span of whole turns:
-those whose start falls into one stride of the token budget. A conversation's system turns at its head go before every
-window, up to ``history`` tokens of the turns before a window are repeated in front of it, and targets (assistant turns) that
-are repeated there are masked, so that over all windows each is learnt from once.
+Turns are ordered and numbered, and prefix sums of their tokens choose the windows: spans of whole turns, each taken as far
+as the budget goes. A window's budget also pays for what stands in front of its own turns: the conversation's system turn
+(its first turn, if that has this role) and up to ``history`` tokens of the turns before. Targets (assistant turns) that are
+repeated there are masked, so that over all windows each is learnt from once. What does not fit beside a window's first own
+turn is left out: history first, the system turn next. So only a turn that alone is longer than the budget exceeds it.
 
 A turn is written as ``### role: text </turn>`` and a line feed. In roles and texts a backslash becomes ``\\s``, ``###``
 becomes ``\\h`` and ``</turn>`` becomes ``\\e`` (in roles a colon becomes ``\\c``), so marks stand nowhere else, and each
 backslash of the output says by the letter behind it what was there.
 
-Windows are cut without gathering a conversation: prefix sums are taken inside chunks of turns, then over chunks. Only
-``read_back``, which is asked for a digest of each conversation, brings the turns of one together.
+No conversation is gathered to cut it. Turns are dealt by ranges of their order, so that a long conversation lies in many
+tasks; numbers are places in a range plus what earlier ranges have. Spans are then chosen inside chunks of ``CHUNK`` turns
+from token counts alone: a window ends with its chunk, and history does not reach over it. Only ``read_back``, which is asked
+for a digest of each conversation, brings the turns of one together.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Tokens of a window's own turns; a window ends before the turn that starts beyond, so one long turn may exceed it.
+#: Tokens of a window: own turns, repeated ones and the system turn.
 BUDGET = 512
-#: Tokens of earlier turns that are repeated in front of a window, at most.
-HISTORY = 128
-#: Turns of a chunk of prefix sums.
+#: Tokens and turns that are repeated in front of a window, at most.
+HISTORY, HISTORY_TURNS = 128, 128
+#: Turns of a chunk in which spans are chosen.
 CHUNK = 1_024
+#: Characters of a text by which turns of one number and role are dealt; all of it orders them.
+DEALT = 64
 
 OPEN, CLOSE = "### ", " </turn>\n"
 
@@ -63,49 +68,83 @@ def rough_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def _numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str, tokens: str | None) -> DataFrame:
-    """no_conv, conv, n (from 0, in order), role, text, tokens, start (tokens before it).
-
-    A null conversation is told by no_conv, so that keys are plain and one shuffle serves both the sums and their join."""
+def _ordered(turns: DataFrame, conv: str, turn: str, role: str, text: str, tokens: str | None) -> DataFrame:
+    """c (a struct of the conversation's key, equal for nulls), role, text, tokens, at (rises in order over the whole table)."""
     given = [F.col(tokens).cast("long").alias("given")] if tokens else []
-    rows = turns.select(F.col(conv).isNull().alias("no_conv"), F.coalesce(F.col(conv), F.lit(0)).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), *given)
+    rows = turns.select(F.struct(F.col(conv).alias("v")).alias("c"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), *given)
     rows = rows.withColumn("tokens", F.coalesce("given", F.lit(0)) if tokens else rough_tokens(formatted(F.col("role"), F.col("text"))))
-    # ties of the turn number are ordered by role and text; equal rows are interchangeable
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1 << 40)))
-    key = ["no_conv", "conv", "chunk"]
-    inside = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    before = Window.partitionBy("no_conv", "conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy(*key).agg(F.count("*").alias("turns"), F.sum("tokens").alias("sum"))
-    chunks = chunks.select(*key, F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    rows = rows.withColumn("k", F.row_number().over(inside) - 1).withColumn("upto", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    held = rows.join(chunks, key)
-    return held.select("no_conv", "conv", "role", "text", "tokens", (F.col("first") + F.col("k")).alias("n"), (F.col("base") + F.col("upto") - F.col("tokens")).alias("start"))
+    # ties of the turn number are ordered by role and text; equal rows are interchangeable, so short ones are dealt anyhow
+    short = F.length(F.coalesce("text", F.lit(""))) <= DEALT
+    dealt = rows.repartitionByRange("c", "turn", "role", F.substring("text", 1, DEALT), F.when(short, F.monotonically_increasing_id()))
+    placed = dealt.sortWithinPartitions("c", "turn", "role", "text").withColumn("at", F.monotonically_increasing_id())
+    return written(placed.select("c", "role", "text", "tokens", "at"), "turns")
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """c, n (from 0, in order), at, tokens, system: without texts."""
+    slim = placed.select("c", "at", "tokens", F.shiftright("at", 33).alias("part"), (F.coalesce("role", F.lit("")) == "system").alias("system"))
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = slim.groupBy("c", "part").agg(F.min("at").alias("low"), F.count("*").alias("turns"))
+    parts = parts.select("c", "part", "low", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("first"))
+    return slim.join(parts, ["c", "part"]).select("c", (F.col("first") + F.col("at") - F.col("low")).alias("n"), "at", "tokens", "system")
+
+
+def _spans(chunks: DataFrame, budget: int, history: int) -> DataFrame:
+    """Adds spans to chunks (chunk, t: array of n, at, tokens; system_at, system_tokens): for each window the index of its first
+    turn, how many turns before it are repeated, whether the system turn is."""
+    tok = F.transform("t", lambda x: x["tokens"])
+    has = F.col("system_at").isNotNull()
+    least = F.when((F.col("chunk") == 0) & has, 1).otherwise(0)  # history does not repeat the system turn
+
+    def repeated(i: Column, room: Column) -> Column:
+        low = F.greatest(least, i - HISTORY_TURNS)
+        none = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("turns"), F.lit(True).alias("on"))
+        more = lambda s, x: F.when(s["on"] & (s["sum"] + x <= room), F.struct((s["sum"] + x).alias("sum"), (s["turns"] + 1).alias("turns"), F.lit(True).alias("on"))).otherwise(F.struct(s["sum"].alias("sum"), s["turns"].alias("turns"), F.lit(False).alias("on")))
+        return F.aggregate(F.reverse(F.slice(tok, low + 1, F.greatest(i - low, F.lit(0)))), none, more)
+
+    def opened(a: Column, i: Column) -> Column:
+        x = F.get(tok, i)
+        kept = has & ~((F.col("chunk") == 0) & (i == 0)) & (F.col("system_tokens") + x <= budget)
+        own = x + F.when(kept, F.col("system_tokens")).otherwise(0)
+        back = repeated(i, F.least(F.lit(history).cast("long"), budget - own))
+        span = F.struct(i.alias("first"), back["turns"].alias("back"), kept.alias("kept"))
+        return F.struct(F.concat(a["spans"], F.array(span)).alias("spans"), (own + back["sum"]).alias("used"))
+
+    def step(a: Column, i: Column) -> Column:
+        x = F.get(tok, i)
+        return F.when((i > 0) & (a["used"] + x <= budget), F.struct(a["spans"].alias("spans"), (a["used"] + x).alias("used"))).otherwise(opened(a, i))
+
+    start = F.struct(F.array().cast("array<struct<first:int,back:int,kept:boolean>>").alias("spans"), F.lit(0).cast("long").alias("used"))
+    return chunks.withColumn("spans", F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), start, step)["spans"])
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv, window, n, kind, role, text, body, loss: each turn of each window; in a window by (kind, n).
+    """conv, window, n, kind, role, text, tokens, body, loss: each turn of each window; in a window by (kind, n).
 
-    kind is 0 for a retained system turn, 1 for repeated history, 2 for the window's own. loss says whether the turn's text
-    is learnt from: own assistant turns only. Window numbers rise with the turns; some may be missing.
+    A window's number is that of its first own turn. kind is 0 for the retained system turn, 1 for repeated history, 2 for the
+    window's own. loss says whether the turn's text is learnt from: own assistant turns only. The tokens of a window sum up
+    to ``budget`` at most, unless it has one own turn that alone has more, and then it has nothing else.
 
-    Null turn numbers come first, ties are ordered by role and text, repeated rows stay. Null roles and texts count as
-    empty. Null conversations form one. An empty table gives none."""
+    Keys of conversations are of any type; null ones form one conversation. Null turn numbers come first, ties are ordered by
+    role and text, repeated rows stay. Null roles and texts count as empty. An empty table gives none."""
     if budget < 1 or history < 0:
         raise ValueError("a budget of one token at least, and no negative history")
-    rows = written(_numbered(turns, conv, turn, role, text, tokens), "turns")
-    rows = rows.withColumn("window", F.floor(F.col("start") / budget).cast("long"))
-    system = (F.col("n") == 0) & (F.coalesce("role", F.lit("")) == "system")
-    # each window's first turn bounds its history
-    spans = rows.groupBy("no_conv", "conv", "window").agg(F.min("start").alias("at")).withColumnRenamed("window", "into")
-    reach = F.sequence(F.col("window") + 1, F.floor((F.col("start") + F.col("tokens") + history) / budget).cast("long") + 1)
-    repeats = rows.where(~system & (F.col("tokens") <= history)).withColumn("into", F.explode(reach)).join(spans, ["no_conv", "conv", "into"])
-    repeats = repeats.where((F.col("at") - F.col("start") <= history) & (F.col("start") < F.col("at")))
-    heads = rows.where(system).join(spans.where("into > 0"), ["no_conv", "conv"])
-    learnt = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    kinds = [(rows.withColumn("into", F.col("window")), 2, learnt), (repeats, 1, F.lit(False)), (heads, 0, F.lit(False))]
-    parts = [df.select("no_conv", "conv", F.col("into").alias("window"), "n", F.lit(kind).alias("kind"), "role", "text", loss.alias("loss")) for df, kind, loss in kinds]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.select(F.when(~F.col("no_conv"), F.col("conv")).alias("conv"), "window", "n", "kind", "role", "text", formatted(F.col("role"), F.col("text")).alias("body"), "loss")
+    placed = _ordered(turns, conv, turn, role, text, tokens)
+    rows = written(_numbered(placed), "numbered")
+    system = rows.where("n = 0 and system").select("c", F.col("at").alias("system_at"), F.col("tokens").alias("system_tokens"))
+    chunks = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK)).groupBy("c", "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "at", "tokens"))).alias("t"))
+    cut = _spans(chunks.join(system, "c", "left"), budget, history)
+    ends = F.transform("spans", lambda s, k: F.struct(s["first"].alias("first"), s["back"].alias("back"), s["kept"].alias("kept"), F.coalesce(F.get("spans", k + 1)["first"], F.size("t")).alias("end")))
+    each = cut.withColumn("s", F.explode(ends))
+    of = lambda kind, n, at: F.struct(F.lit(kind).alias("kind"), n.alias("n"), at.alias("at"))
+    own = F.transform(F.slice("t", F.col("s.first") + 1, F.col("s.end") - F.col("s.first")), lambda x: of(2, x["n"], x["at"]))
+    back = F.transform(F.slice("t", F.col("s.first") - F.col("s.back") + 1, F.col("s.back")), lambda x: of(1, x["n"], x["at"]))
+    head = F.filter(F.array(of(0, F.lit(0).cast("long"), F.col("system_at"))), lambda x: F.col("s.kept"))
+    members = each.select("c", F.get("t", F.col("s.first"))["n"].alias("window"), F.explode(F.concat(head, back, own)).alias("m")).select("window", "m.*")
+    # a system turn is joined by each window of its conversation: one row of the other side, which the adaptive join repeats
+    every = placed.join(written(members, "members"), "at")
+    learnt = (F.col("kind") == 2) & F.coalesce(F.col("role") == "assistant", F.lit(False))
+    return every.select(F.col("c.v").alias("conv"), "window", "n", "kind", "role", "text", "tokens", formatted(F.col("role"), F.col("text")).alias("body"), learnt.alias("loss"))
 
 
 def training_texts(parts: DataFrame) -> DataFrame:
@@ -162,7 +201,7 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
      e AS (SELECT conv_id, turn, role, text,
                   replace(replace(replace(replace(coalesce(role, ''), '\', '\s'), '</turn>', '\e'), '###', '\h'), ':', '\c') AS r,
@@ -171,14 +210,22 @@ WITH c AS (SELECT conv_id, turn, role, text FROM conversations
      k AS (SELECT *, CAST(ceil(strlen(body) / 4.0) AS BIGINT) AS tokens FROM b),
      n AS (SELECT *, row_number() OVER o - 1 AS n, CAST(sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) - tokens AS start FROM k
            WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
-     w AS (SELECT *, start // 512 AS win, n = 0 AND coalesce(role, '') = 'system' AS head FROM n),
-     s AS (SELECT conv_id, win, min(start) AS begins FROM w GROUP BY conv_id, win),
-     f AS (SELECT conv_id, win, body FROM w
-           UNION ALL SELECT w.conv_id, s.win, body FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.win > w.win AND NOT head AND begins - start <= 128
-           UNION ALL SELECT w.conv_id, s.win, body FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.win > 0 AND head),
-     g AS (SELECT conv_id, CAST(sum(length(body)) AS BIGINT) AS formatted_chars, count(DISTINCT win) AS n_windows FROM f GROUP BY conv_id),
+     y AS (SELECT conv_id, tokens AS sys, length(body) AS sys_chars FROM n WHERE n = 0 AND role = 'system'),
+     q AS (SELECT n.*, n.n // 1024 AS chunk, CASE WHEN n > 0 AND sys + tokens <= 512 THEN sys ELSE 0 END AS head, CASE WHEN n > 0 AND sys + tokens <= 512 THEN sys_chars ELSE 0 END AS head_chars, sys IS NOT NULL AS has_sys
+           FROM n LEFT JOIN y ON n.conv_id IS NOT DISTINCT FROM y.conv_id),
+     h AS (SELECT a.conv_id, a.n, max(a.start - z.start) AS back, arg_max(z.n, a.start - z.start) AS from_n FROM q a JOIN q z
+           ON a.conv_id IS NOT DISTINCT FROM z.conv_id AND z.n < a.n AND z.n >= a.n - 128 AND z.chunk = a.chunk AND NOT (z.n = 0 AND z.has_sys) AND a.start - z.start <= least(128, 512 - a.tokens - a.head) GROUP BY a.conv_id, a.n),
+     p AS (SELECT q.*, coalesce(back, 0) AS back, coalesce(from_n, q.n) AS from_n FROM q LEFT JOIN h ON q.conv_id IS NOT DISTINCT FROM h.conv_id AND q.n = h.n),
+     g AS (SELECT conv_id, n, n AS win, head + back + tokens AS used FROM p WHERE n = 0
+           UNION ALL SELECT p.conv_id, p.n, CASE WHEN p.n % 1024 > 0 AND used + tokens <= 512 THEN win ELSE p.n END, CASE WHEN p.n % 1024 > 0 AND used + tokens <= 512 THEN used + tokens ELSE head + back + tokens END
+           FROM g JOIN p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.n = g.n + 1),
+     v AS (SELECT p.* FROM p JOIN (SELECT DISTINCT conv_id, win FROM g) AS g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.n = g.win),
+     r AS (SELECT v.conv_id, v.n, sum(length(n.body)) AS chars FROM v JOIN n ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND n.n >= v.from_n AND n.n < v.n GROUP BY v.conv_id, v.n),
+     o AS (SELECT v.conv_id, sum(v.head_chars + coalesce(r.chars, 0)) AS chars, count(*) AS n_windows FROM v LEFT JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND v.n = r.n GROUP BY v.conv_id),
+     i AS (SELECT conv_id, sum(length(body)) AS chars FROM n GROUP BY conv_id),
+     f AS (SELECT i.conv_id, CAST(i.chars + o.chars AS BIGINT) AS formatted_chars, n_windows FROM i JOIN o ON i.conv_id IS NOT DISTINCT FROM o.conv_id),
      d AS (SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY n) AS turns,
-                  coalesce(string_agg(coalesce(text, ''), '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss FROM w GROUP BY conv_id)
+                  coalesce(string_agg(coalesce(text, ''), '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss FROM n GROUP BY conv_id)
 SELECT d.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
-FROM d JOIN g ON d.conv_id IS NOT DISTINCT FROM g.conv_id
+FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
