@@ -29,6 +29,8 @@ from .common import table, written
 
 #: Bytes of labels that a trie holds before it spills a subtree.
 TRIE_BYTES = 64 << 20
+#: Bytes that a node, and a representative's name, count for besides.
+NODE_BYTES, NAME_BYTES = 300, 80
 #: Texts that a batch of Arrow rows holds at most on the way to owners.
 OUT_ROWS = 256
 
@@ -60,8 +62,8 @@ def _common(a: bytes, b: bytes) -> int:
 class Patricia:
     """text -> (smallest identifier, copies, representative's other fields) for any number of texts in bounded memory."""
 
-    def __init__(self, most: int = TRIE_BYTES, depth: int = 0):
-        self.root, self.held, self.most, self.depth = Node(b""), 0, most, depth
+    def __init__(self, most: int = TRIE_BYTES):
+        self.root, self.held, self.most = Node(b""), 0, most
 
     def insert(self, text: bytes, entry: list, absorb: bool = False) -> list:
         """Returns the terminal's entry: ``entry`` itself where the text is new or its place was spilled, else the known one
@@ -72,15 +74,18 @@ class Patricia:
                 pickle.dump((text[at:], entry), node.file)
                 return entry
             if at == len(text):
-                if node.entry is None:
-                    node.entry = entry
+                known = node.entry
+                if known is None:
+                    node.entry = known = entry
                 else:
-                    _merge(node.entry, entry, absorb)
-                return node.entry
+                    _merge(known, entry, absorb)
+                if known is entry or not absorb:
+                    self._grown(NAME_BYTES * len(entry[2]))
+                return known
             child = node.children.get(text[at])
             if child is None:
                 node.children[text[at]] = Node(text[at:], entry)
-                self._grown(len(text) - at)
+                self._grown(len(text) - at + NODE_BYTES + NAME_BYTES * len(entry[2]))
                 return entry
             rest = text[at : at + len(child.label)]
             same = _common(child.label, rest)
@@ -89,10 +94,11 @@ class Patricia:
                 child.label = child.label[same:]
                 upper.children[child.label[0]] = child
                 node.children[text[at]] = child = upper
+                self.held += NODE_BYTES
             node, at = child, at + same
 
     def _grown(self, n: int) -> None:
-        self.held += n + 100
+        self.held += n
         while self.held > self.most and self._spill():
             pass
 
@@ -109,24 +115,23 @@ class Patricia:
         for tail, entry in _entries(child, b""):
             pickle.dump((tail[len(child.label) :], entry), stub)
         child.children, child.entry, child.file = {}, None, stub
-        self.held -= max(whole.values()) - len(child.label) - 100
+        self.held -= max(whole.values()) - len(child.label) - NODE_BYTES
         return True
 
     def entries(self) -> Iterator[tuple[bytes, list]]:
-        """Each text once with its entry; spilled subtrees one after the other."""
-        stubs = []
-        for text, entry in _entries(self.root, b"", stubs):
-            yield text, entry
+        """Each text once with its entry; spilled subtrees one after the other, each in as much memory as this one."""
+        stubs: list[tuple[bytes, object]] = []
+        yield from _entries(self.root, b"", stubs)
         self.root = Node(b"")
-        for prefix, file in stubs:
-            own = Patricia(self.most if self.depth < 40 else 1 << 62, self.depth + 1)
+        while stubs:
+            prefix, file = stubs.pop()
+            own = Patricia(self.most)
             size = file.seek(0, os.SEEK_END)
             file.seek(0)
             while file.tell() < size:
                 own.insert(*pickle.load(file))
             file.close()
-            for tail, entry in own.entries():
-                yield prefix + tail, entry
+            yield from _entries(own.root, prefix, stubs)
 
 
 def _merge(known: list, new: list, absorb: bool) -> None:
@@ -135,14 +140,14 @@ def _merge(known: list, new: list, absorb: bool) -> None:
         known[0] = new[0]
     known[1] += new[1]
     if not absorb:
-        known[2] += new[2]
+        known[2].extend(new[2])
 
 
 def _weight(node: Node) -> int:
     total, todo = 0, [node]
     while todo:
         n = todo.pop()
-        total += len(n.label) + 100
+        total += len(n.label) + NODE_BYTES + (NAME_BYTES * len(n.entry[2]) if n.entry else 0)
         todo += n.children.values()
     return total
 
@@ -180,26 +185,31 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: i
     kept; a row with a null key is kept only where its whole group has none. An empty table gives none."""
     df = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out, key, text = key, "key", "text"
-    first = StructType([df.schema[key]]).add("rep", "string").add("size", "long").add("body", "binary").add("sha", "string")
+    first = StructType([df.schema[key]]).add("rep", "string").add("size", "long").add("body", "binary").add("sha", "string").add("of", "string")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per document with its representative, and a row with body per different text of the task.
+        """A row per document with its representative, a row with body per different text of the task, and a row without for
+        each further representative that a text got because its place was spilled: it stands for the first one.
 
-        Representatives differ from those of all other tasks. A text whose place was spilled may get several; its owner
-        joins them like those of several tasks."""
+        Representatives differ from those of all other tasks."""
         task, n = TaskContext.get().partitionId(), 0
         trie = Patricia(most)
         for batch in batches:
             reps = []
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n += 1
-                reps.append(trie.insert(body, [k, 1, (f"{task}-{n}",)], absorb=True)[2][0])
-            columns = [batch.column(0), pa.array(reps, pa.string()), pa.nulls(len(reps), pa.int64()), pa.nulls(len(reps), pa.binary()), batch.column(2)]
+                reps.append(trie.insert(body, [k, 1, [f"{task}-{n}"]], absorb=True)[2][0])
+            columns = [batch.column(0), pa.array(reps, pa.string()), pa.nulls(len(reps), pa.int64()), pa.nulls(len(reps), pa.binary()), batch.column(2), pa.nulls(len(reps), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=first.names)
         for rows in _in_batches(trie.entries()):
-            k, rep, size, body = zip(*((e[0], rep, e[1] if rep == e[2][0] else 0, text) for text, e in rows for rep in e[2]), strict=True)
-            columns = [pa.array(k, kind), pa.array(rep), pa.array(size, pa.int64()), pa.array(body, pa.binary()), pa.nulls(len(k), pa.string())]
+            k, rep, size, body = zip(*((e[0], e[2][0], e[1], text) for text, e in rows), strict=True)
+            columns = [pa.array(k, kind), pa.array(rep), pa.array(size, pa.int64()), pa.array(body, pa.binary()), *(pa.nulls(len(k), pa.string()) for _ in range(2))]
             yield pa.RecordBatch.from_arrays(columns, names=first.names)
+            more = [(rep, e[2][0]) for _, e in rows for rep in e[2][1:]]
+            for a in range(0, len(more), 10_000):
+                rep, of = zip(*more[a : a + 10_000], strict=True)
+                columns = [pa.nulls(len(rep), kind), pa.array(rep), pa.nulls(len(rep), pa.int64()), pa.nulls(len(rep), pa.binary()), pa.nulls(len(rep), pa.string()), pa.array(of)]
+                yield pa.RecordBatch.from_arrays(columns, names=first.names)
 
     owned = StructType([first["rep"], df.schema[key]]).add("size", "long")
 
@@ -207,7 +217,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: i
         trie = Patricia(most)
         for batch in batches:
             for k, rep, size, body in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                trie.insert(body, [k, size, (rep,)])
+                trie.insert(body, [k, size, [rep]])
         for rows in _in_batches(trie.entries()):
             rep, k, size = zip(*((rep, e[0], e[1]) for _, e in rows for rep in e[2]), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(k, kind), pa.array(size, pa.int64())], names=owned.names)
@@ -219,7 +229,10 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: i
     texts = once.where("body is not null").select(key, "rep", "size", "body")
     decided = texts.repartition(F.octet_length("body"), F.xxhash64("body")).mapInArrow(owner, owned)
     decided = decided.select("rep", F.col(key).alias("keep_id"), F.col("size").alias("group_size"))
-    rows = once.where("body is null").select(F.col(key).alias("own"), "rep", F.col("sha").alias("text_sha256"))
+    rows = once.where("sha is not null").select(F.col(key).alias("own"), "rep", F.col("sha").alias("text_sha256"))
+    again = once.where("of is not null").select("rep", "of")
+    if not again.isEmpty():
+        rows = rows.join(again, "rep", "left").select("own", F.coalesce("of", "rep").alias("rep"), "text_sha256")
     kept = F.coalesce(F.col("own") == F.col("keep_id"), F.col("keep_id").isNull())
     return rows.join(decided, "rep").select(F.col("own").alias(out), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -42,10 +42,33 @@ def test_trie(most):
     want, trie = {}, Patricia(most)
     for k in range(1500):
         text = bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 3, 5, 40]))) + rng.choice([b"", b"tail" * 20])
-        trie.insert(text, [k, 1, (k,)])
+        trie.insert(text, [k, 1, [k]])
         want.setdefault(text, []).append(k)
     got = {}
     for text, entry in trie.entries():
         assert text not in got
         got[text] = entry
     assert {t: (e[0], e[1], sorted(e[2])) for t, e in got.items()} == {t: (min(v), len(v), sorted(v)) for t, v in want.items()}
+
+
+def test_bodies_leave_a_task_once(spark, monkeypatch):
+    """A text that a third of all documents share, in tries that spill: one row with its bytes for each task."""
+    rng = random.Random(9)
+    hot = "the hot text " * 40
+    rows = [(k, hot if k % 3 == 0 else hot[:260] + "".join(rng.choice("abcdef ") for _ in range(200))) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    kept = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda frame, name: seen.append(kept(frame, name)) or seen[-1])
+    got = sorted(map(tuple, exact_groups(df, most=4_000).collect()), key=repr)
+    assert got == plain(rows)
+    once = seen[0]
+    assert once.where("of is not null").count() > 100  # they did spill
+    assert once.where("body is not null").groupBy("body").count().agg({"count": "max"}).first()[0] <= 3
+
+
+def test_many_copies_of_one_text_in_a_small_trie():
+    trie = Patricia(2_000)
+    for k in range(20_000):
+        trie.insert(b"x" * 50 + (b"" if k % 2 else b"%d" % (k % 50)), [k, 1, [k]])
+    assert sum(e[1] for _, e in trie.entries()) == 20_000
