@@ -1,17 +1,18 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
-A fingerprint has 64 bits, read as 8 bytes. If two fingerprints differ in at most d < 8 bits, they share at least 8 - d of
-their positional bytes, so a pair's tally of shared positional bytes must reach that minimum. Posting lists of single bytes
-grow with the corpus (a 256th of it each), and tallying over them meets almost every pair. A pair reaches the minimum of m
-exactly if it lies in the intersection of the posting lists of some m positions, so the index keeps those intersections:
-one posting for each choice of m positions and the bytes there (70 choices for d = 4, with 32-bit values). Inside a posting
-list the tally is at least m; the differing bits are then counted.
+A fingerprint has 64 bits, read as 8 bytes. If two fingerprints differ in at most d < 8 bits, they share at least m = 8 - d of
+their positional bytes, so the tally of a pair's shared positional bytes must reach m; then the differing bits are counted.
+
+Posting lists of single bytes hold a 256th of the corpus each, and tallying over them meets almost every pair. So the index is
+prefix-filtered: positional bytes are ordered by the length of their lists, and two fingerprints that share m of 8 must share
+two of the 8 - m + 2 rarest of each. One posting is kept for each two of these (15 for d = 4), and the tally is taken for the
+fingerprints that meet in a list.
 
 No list is expanded into its pairs. What is wanted is which fingerprints reach each other, so a list yields a spanning
 forest: fingerprints are taken up as balls of radius d around pivots, and two balls are compared only while they are not
-joined and their pivots are near enough for a link to exist. Lists longer than ``list_size`` are dealt anew by half-bytes
-of the positions that they leave open (for each choice that a linked pair must share), after which at most 16 bits are
-open, so that no list, however many copies there are, holds more than 65,536 different fingerprints.
+joined and their pivots are near enough for a link to exist. Lists longer than ``list_size`` are dealt anew by further bytes
+that linked fingerprints must share, then by half-bytes (for each choice that a linked pair must share), after which at most
+16 bits are open, so that no list, however many copies there are, holds more than 65,536 different fingerprints.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from .components import components
 MAX_BITS = 4
 #: Words of a shingle.
 SHINGLE = 4
-#: A longer posting list is dealt anew by finer keys.
-LIST_SIZE = 2_000
+#: A longer posting list is dealt anew by finer keys; a shorter one is compared pair by pair, with many others at once.
+LIST_SIZE, SMALL = 8_000, 48
+#: Positional bytes of which a posting is made.
+KEY = 2
 #: Fingerprints from which postings are made at once.
 BLOCK = 4_096
 
@@ -82,29 +85,51 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 # ---- postings
 
 
-def _choices(shared: int) -> list[np.uint64]:
-    """A mask for each choice of ``shared`` of the 8 byte positions."""
-    return [np.uint64(sum(0xFF << 8 * p for p in chosen)) for chosen in combinations(range(8), shared)]
-
-
 def _finer(mask: int, max_bits: int) -> list[int]:
-    """Masks that add to ``mask`` the half-bytes that two fingerprints that agree under it must share, for each choice."""
+    """Masks that add to ``mask`` what two fingerprints that agree under it must share besides, for each choice: whole bytes
+    as long as there are fewer than they must share, then half-bytes."""
+    have = sum(mask >> 8 * p & 0xFF == 0xFF for p in range(8))
+    if have < 8 - max_bits:
+        open_ = [p for p in range(8) if not mask >> 8 * p & 0xFF]
+        return [mask | sum(0xFF << 8 * p for p in chosen) for chosen in combinations(open_, 8 - max_bits - have)]
     open_ = [h for h in range(16) if not mask >> 4 * h & 0xF]
     shared = max(0, len(open_) - max_bits)
     return [mask | sum(0xF << 4 * h for h in chosen) for chosen in combinations(open_, shared)]
 
 
+def byte_ranks(fps: DataFrame) -> np.ndarray:
+    """Rank of each of the 8 x 256 positional bytes by how many fingerprints have it, the rarest first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((8, 256), np.int64)
+        for batch in batches:
+            own = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, 8)
+            for p in range(8):
+                n[p] += np.bincount(own[:, p], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2048, dtype=np.int32)), pa.array(n.ravel())], names=["at", "n"])
+
+    total = np.zeros(2048, np.int64)
+    for r in fps.select("fp").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2,048 rows
+        total[r.at] = r.n
+    ranks = np.empty(2048, np.int64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(2048)
+    return ranks.reshape(8, 256)
+
+
 def postings(fps: DataFrame, max_bits: int) -> DataFrame:
-    """part (hash of the choice and the bytes there), mask, fp: each different fingerprint under each choice of positions."""
-    masks = _choices(8 - max_bits)
+    """part (hash of the positional bytes), mask, fp: each different fingerprint under each pair of its rarest bytes."""
+    key = min(KEY, 8 - max_bits)
+    prefix, ranks = max_bits + key, byte_ranks(fps)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            every = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
             for a in range(0, len(every), BLOCK):
                 fp = every[a : a + BLOCK]
-                for mask in masks:
-                    yield _posted(np.full(len(fp), mask), fp)
+                order = np.argsort(ranks[np.arange(8), fp.view(np.uint8).reshape(-1, 8)], axis=1)[:, :prefix].astype(np.uint64)
+                byte = np.uint64(0xFF) << np.uint64(8) * order
+                for chosen in combinations(range(prefix), key):
+                    yield _posted(np.bitwise_or.reduce(byte[:, chosen], axis=1), fp)
 
     return fps.select("fp").mapInArrow(listed, "part long, mask long, fp long")
 
@@ -134,40 +159,84 @@ def _redealt(lists: DataFrame, max_bits: int) -> DataFrame:
 # ---- links inside lists
 
 
-def spanning_links(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Pairs of indices that connect what is connected by links of at most ``max_bits`` among different fingerprints.
+def tallies(diff: np.ndarray) -> np.ndarray:
+    """How many positional bytes are shared, of the differences of fingerprints."""
+    spread = diff | diff >> np.uint64(4)
+    spread |= spread >> np.uint64(2)
+    spread |= spread >> np.uint64(1)
+    return 8 - np.bitwise_count(spread & np.uint64(0x0101010101010101))
 
-    A ball holds what lies within ``max_bits`` of its pivot and in no earlier ball. A link between members of two balls
-    spans at most 3 * max_bits between their pivots, and matters only while the balls are not joined."""
-    links: list[tuple[int, int]] = []
-    rest, balls = np.arange(len(fp)), []
-    top: list[int] = []
 
-    def root(k: int) -> int:
-        while top[k] != k:
-            top[k] = top[top[k]]
-            k = top[k]
+def linked(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether pairs reach the tally that is guaranteed for links, and differ in few enough bits."""
+    diff = x ^ y
+    out = tallies(diff) >= 8 - max_bits
+    out[out] = np.bitwise_count(diff[out]) <= max_bits
+    return out
+
+
+class Forest:
+    """Joined sets of small numbers."""
+
+    def __init__(self):
+        self.top: dict[int, int] = {}
+
+    def root(self, k: int) -> int:
+        top = self.top
+        while (up := top.setdefault(k, k)) != k:
+            top[k] = k = top[up]
         return k
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were not joined before."""
+        a, b = self.root(a), self.root(b)
+        self.top[a] = b
+        return a != b
+
+
+def spanning_links(fp: np.ndarray, near, far) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of indices that connect what is connected by links among different fingerprints, and the pivots of the balls.
+
+    near(x, y): whether rows are linked. far(x, y): whether members of balls around them may be. A ball holds what is linked
+    to its pivot and lies in no earlier ball; a link between members of two balls matters only while these are not joined."""
+    links: list[tuple[int, int]] = []
+    rest, balls, forest = np.arange(len(fp)), [], Forest()
     while len(rest):
-        near = np.bitwise_count(fp[rest] ^ fp[rest[0]]) <= max_bits
-        ball, rest = rest[near], rest[~near]
+        own = near(fp[rest], fp[rest[0]])
+        own[0] = True
+        ball, rest = rest[own], rest[~own]
         links += [(int(ball[0]), int(k)) for k in ball[1:]]
         me = len(balls)
-        top.append(me)
         if balls:
-            pivots = fp[[b[0] for b in balls]]
-            for other in np.flatnonzero(np.bitwise_count(pivots ^ fp[ball[0]]) <= 3 * max_bits).tolist():
-                if root(other) == root(me):
+            for other in np.flatnonzero(far(fp[[b[0] for b in balls]], fp[ball[0]])).tolist():
+                if forest.root(other) == forest.root(me):
                     continue
                 theirs = balls[other]
                 for k in ball:
-                    hit = np.flatnonzero(np.bitwise_count(fp[theirs] ^ fp[k]) <= max_bits)
+                    hit = np.flatnonzero(near(fp[theirs], fp[k]))
                     if len(hit):
                         links.append((int(theirs[hit[0]]), int(k)))
-                        top[root(me)] = root(other)
+                        forest.join(me, other)
                         break
         balls.append(ball)
+    return links, [int(b[0]) for b in balls]
+
+
+def pair_links(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, near) -> list[tuple[int, int]]:
+    """The same for many short lists fp[start:end] at once, by comparing each row with the ones behind it in its list."""
+    if not len(starts):
+        return []
+    size = ends - starts
+    rows = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    end, forest, links = np.repeat(ends, size), Forest(), []
+    for step in range(1, int(size.max())):
+        on = rows + step < end
+        rows, end = rows[on], end[on]
+        for a in range(0, len(rows), BLOCK * 16):
+            some = rows[a : a + BLOCK * 16]
+            for k in some[near(fp[some], fp[some + step])].tolist():
+                if forest.join(k, k + step):
+                    links.append((k, k + step))
     return links
 
 
@@ -217,17 +286,17 @@ def _closed(rows: np.ndarray, max_bits: int, list_size: int) -> Iterator[pa.Reco
     same = (part[1:] == part[:-1]) & (mask[1:] == mask[:-1]) & (seen[1:] == seen[:-1])
     turns = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
     starts, ends = turns[::2], turns[1::2] + 1  # of lists of two and more
-    two = ends - starts == 2
-    a, b = fp[starts[two]], fp[starts[two] + 1]
-    near = np.bitwise_count(a ^ b) <= max_bits
-    found = [np.stack([a[near], b[near]])]
-    for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
+    near = lambda x, y: linked(x, y, max_bits)
+    far = lambda x, y: np.bitwise_count(x ^ y) <= 3 * max_bits
+    small = ends - starts <= min(SMALL, list_size)
+    found = pair_links(starts[small], ends[small], fp, near)
+    for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
         if e - s > list_size and not _narrow(int(mask[s]), max_bits):
             yield _sent_on(np.stack([part[s:e], mask[s:e], fp[s:e]], axis=1))
-        elif links := spanning_links(fp[s:e], max_bits):
-            found.append(fp[s:e][np.array(links).T])
-    a, b = np.concatenate(found, axis=1)
-    if len(a):
+        else:
+            found += [(s + a, s + b) for a, b in spanning_links(fp[s:e], near, far)[0]]
+    if found:
+        a, b = fp[np.array(found).T]
         columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
         yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(a), pa.int64())], names=["a", "b", "mask"])
 

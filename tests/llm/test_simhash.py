@@ -81,10 +81,30 @@ def test_links_of_dense_groups(spark, list_size, flips):
 
 def test_spanning_links():
     fps = np.array(cloud(8, 3, 900, 10), np.uint64)
-    links = simhash.spanning_links(fps, 4)
-    assert len(links) < len(fps)
+    near = lambda x, y: simhash.linked(x, y, 4)
+    links, pivots = simhash.spanning_links(fps, near, lambda x, y: np.bitwise_count(x ^ y) <= 12)
+    assert len(links) < len(fps) and len(pivots) < len(fps)
     pairs = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 4]
     assert plain_components(links, range(len(fps))) == plain_components(pairs, range(len(fps)))
+    starts, ends = np.array([3, 100, 500]), np.array([40, 101, 620])
+    found = simhash.pair_links(starts, ends, fps, near)
+    inside = [(i, j) for i, j in pairs if any(s <= i and j < e for s, e in zip(starts, ends, strict=True))]
+    assert plain_components(found, range(len(fps))) == plain_components(inside, range(len(fps)))
+
+
+def test_tally():
+    """Linked fingerprints share the guaranteed number of positional bytes, and two of the rarest by any ranks."""
+    rng = random.Random(11)
+    ranks = np.array(rng.sample(range(2048), 2048)).reshape(8, 256)
+    for _ in range(2000):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6)))
+        shared = [p for p in range(8) if (x ^ y) >> 8 * p & 0xFF == 0]
+        assert simhash.tallies(np.array([x ^ y], np.uint64))[0] == len(shared)
+        assert simhash.linked(np.array([x], np.uint64), np.array([y], np.uint64), 4)[0] == ((x ^ y).bit_count() <= 4)
+        if (x ^ y).bit_count() <= 4:
+            rarest = [set(sorted(((p, v >> 8 * p & 0xFF) for p in range(8)), key=lambda t: ranks[t])[:6]) for v in (x, y)]
+            assert len(shared) >= 4 and len(rarest[0] & rarest[1]) >= 2
 
 
 def test_components(spark):
