@@ -11,15 +11,16 @@ from .sql import same
 SPACE = " \t\n\v\f\r"
 
 
-def plain(rows, ratio, least):
+def plain(rows, ratio, least, stands=1, copies=True):
     out = []
     for k, host, text in rows:
-        pages = [set(x.strip(SPACE) for x in (t or "").split("\n")) for _, h, t in rows if h == host]
+        texts = [t for _, h, t in rows if h == host]
+        pages = [set(x.strip(SPACE) for x in (t or "").split("\n")) for t in (texts if copies else set(texts))]
         if text is None:
             out.append((k, host, None, 0, 0))
             continue
         lines = text.split("\n")
-        gone = lambda x: x.strip(SPACE) != "" and host is not None and len(pages) >= least and sum(x.strip(SPACE) in p for p in pages) > ratio * len(pages)  # noqa: E731, B023
+        gone = lambda x: x.strip(SPACE) != "" and host is not None and len(pages) >= least and (n := sum(x.strip(SPACE) in p for p in pages)) >= stands and n > ratio * len(pages)  # noqa: E731, B023
         kept = [x for x in lines if not gone(x)]
         out.append((k, host, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=repr)

@@ -13,7 +13,8 @@ from quillgraph.llm.common import written
 
 from .test_decontaminate import plain as plain_windows
 from .test_line_dedup import plain as plain_lines
-from .test_simhash import plain as plain_fingerprints
+from .test_near_copies import near
+from .test_simhash import plain_components
 
 
 @pytest.fixture(scope="module")
@@ -47,14 +48,16 @@ def test_quality(stages, spark, sf):
 
 def test_lines(stages):
     before, after = rows(stages[1]), rows(stages[2])
-    want = plain_lines([(k, r.source, r.text) for k, r in before.items()], 0.1, 5)
+    want = plain_lines([(k, r.source, r.text) for k, r in before.items()], 0.1, 5, stands=3, copies=False)
     assert {k: r.text for k, r in after.items()} == {k: t for k, _, t, _, _ in want}
     assert all(r.n_chars == len(r.text) and r.lang == before[k].lang for k, r in after.items())
 
 
 def test_near_copies(stages):
-    found = plain_fingerprints([(k, r.text) for k, r in rows(stages[2]).items()])
-    assert set(rows(stages[3])) == {k for k, _, c in found if k == c}
+    """The rule of the stage: five words, a similarity of 0.8."""
+    texts = {k: r.text for k, r in rows(stages[2]).items()}
+    found = plain_components(near(texts.items()), texts)
+    assert set(rows(stages[3])) == {k for k, c in found.items() if k == c}
 
 
 def test_benchmark(stages, spark, sf):
