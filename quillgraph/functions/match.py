@@ -11,7 +11,7 @@ from .. import vocabulary as v
 from .text import stripped
 
 Dictionary = list[tuple[str, list[str]]]
-#: Keywords up to which a dictionary is a literal; ``operators.dictionaries`` takes longer ones.
+#: Keywords up to which a dictionary is a literal; ``operators.dictionaries`` takes longer ones, as a table.
 LITERAL_KEYWORDS = 500
 
 

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Last page of the last entity.
-LAST_PAGE = 367
+#: Last page of the last entity, and pages of which the starts are looked at in one task.
+LAST_PAGE, BLOCK = 367, 4096
 
 
 def ranges(found: DataFrame, last_page: int = LAST_PAGE, by: list[str] | None = None) -> DataFrame:
     """found with first and last page of each entity: up to the page before the next entity's. Of entities on one page, in
-    order of seq, all but the last get an empty range."""
-    order = Window.partitionBy(*(by or [])).orderBy("page", "seq")
-    return found.withColumn("first", F.col("page")).withColumn("last", F.coalesce(F.lead("page").over(order) - 1, F.lit(last_page)))
+    order of seq, all but the last get an empty range. The next start is looked up inside a block of pages, and where there
+    is none in a table of each block's first start, so one long book is not one task."""
+    keys, block = by or [], F.floor(F.col("page") / BLOCK)
+    starts = found.groupBy(*keys, block.alias("_block")).agg(F.min("page").alias("_first"))
+    starts = starts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_first")  # a row for each block
+    starts = starts.withColumnsRenamed({k: f"_{n}" for n, k in enumerate(keys)}).withColumnRenamed("_block", "_of")
+    rows = found.withColumn("_block", block).withColumn("_lead", F.lead("page").over(Window.partitionBy(*keys, "_block").orderBy("page", "seq")))
+    same = F.col("_block").eqNullSafe(F.col("_of"))
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{n}"))
+    last = F.coalesce(F.coalesce("_lead", "_next") - 1, F.lit(last_page))
+    return rows.join(starts, same, "left").select(*found.columns, F.col("page").alias("first"), last.alias("last"))
 
 
 def pages_of(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -32,29 +32,75 @@ def area_score(x: Column, y: Column, w: Column, h: Column, area: Column, spread:
 
 
 def padded(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """(x0, y0, x1, y1) widened by 2 % and 3 % of the page, inside it, whole numbers."""
-    px, py = (width * 0.02).cast("int"), (height * 0.03).cast("int")
+    """(x0, y0, x1, y1) widened by 2 % and 3 % of the area's own size, inside the page, whole numbers."""
+    px, py = (w * 0.02).cast("int"), (h * 0.03).cast("int")
     return F.struct(F.greatest(x - px, F.lit(0)).alias("x0"), F.greatest(y - py, F.lit(0)).alias("y0"), F.least(x + w + px, width).alias("x1"), F.least(y + h + py, height).alias("y1"))
 
 
-def dense_bands(values: DataFrame, ratio: float, least: int, by: list[str], at: str = "idx", value: str = "value") -> DataFrame:
+def dense_bands(values: DataFrame, ratio: float, least: int | str, by: list[str], at: str = "idx", value: str = "value") -> DataFrame:
     """by, first, last: in each group the longest run of at least ``least`` places whose value reaches ``ratio`` of the
-    group's largest; the first of equals. Groups without a positive value have none."""
+    group's largest; the first of equals. ``least`` may be a column that is the same for all rows of a group. Groups without a
+    positive value have none."""
+    values = values.withColumn("_l", F.col(least) if isinstance(least, str) else F.lit(least))
     most = values.withColumn("_m", F.max(value).over(Window.partitionBy(*by)))
     dense = most.where((F.col("_m") > 0) & (F.col(value) >= ratio * F.col("_m")))
     runs = dense.withColumn("_r", F.col(at) - F.row_number().over(Window.partitionBy(*by).orderBy(at)))
-    runs = runs.groupBy(*by, "_r").agg(F.min(at).alias("first"), F.max(at).alias("last")).withColumn("_n", F.col("last") - F.col("first") + 1).where(F.col("_n") >= least)
+    runs = runs.groupBy(*by, "_r").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("_l").alias("_l")).withColumn("_n", F.col("last") - F.col("first") + 1).where(F.col("_n") >= F.col("_l"))
     best = runs.groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("n"), "first", "last")).alias("b"))
     return best.select(*by, "b.first", "b.last")
 
 
-def best(candidates: DataFrame, by: list[str], score: str = "score", order: str = "seq") -> DataFrame:
-    """Of each group the row with the highest score, the first of equals; negative and null scores do not count."""
-    rows = candidates.where(F.col(score) >= 0)
+def best(candidates: DataFrame, by: list[str], score: str = "score", order: str = "seq", least: float = 0.0) -> DataFrame:
+    """Of each group the row with the highest score, the first of equals; scores under ``least`` and null ones do not count."""
+    rows = candidates.where(F.col(score) >= least)
     own = Window.partitionBy(*by).orderBy(F.desc(score), order)
     return rows.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
+def wanted_pages(books: DataFrame, first: int = 12, last: int = 367) -> DataFrame:
+    """The rows of books (with n_pages) once for each page number from first to the lesser of last and n_pages."""
+    end = F.least(F.lit(last), F.col("n_pages")).cast("int")
+    return books.where(end >= first).withColumn("page", F.explode(F.sequence(F.lit(first), end)))
+
+
+#: Fixed value: the kind of a layout block that is a picture.
+PICTURE = 1
+
+
+def main_pictures(pages: DataFrame, blocks: DataFrame, areas: DataFrame, ink: DataFrame) -> DataFrame:
+    """page, method, x0, y0, x1, y1: the main picture of each page, by the first way that gives one.
+
+    The layout's best picture block (image_block, in units of the page); else the best connected area, widened
+    (page_photo_component, in pixels as all that follows); else the rows and columns with the most ink, 20 pixels around
+    (page_density_crop, eight to ninety-two hundredths of the width where no columns stand out); else sixteen to sixty-eight
+    hundredths of the height (page_density_fallback). pages: page, width, height of the layout, pixel_width, pixel_height.
+    blocks: page, seq, kind, x0, y0, x1, y1. areas: page, seq, x, y, w, h, area, spread. ink: page, y, x, n dark pixels there."""
+    size, whole = pages.select("page", "pixel_width", "pixel_height"), lambda c: c.cast("int")
+    c = F.col
+    scored = blocks.where(c("kind") == PICTURE).join(pages, "page").withColumn("score", block_score(c("x0"), c("y0"), c("x1"), c("y1"), c("width"), c("height")))
+    block = best(scored, ["page"]).select("page", F.struct(F.lit("image_block").alias("method"), *(c(x).cast("double").alias(x) for x in CORNERS)).alias("block"))
+    scored = areas.join(size, "page").withColumn("score", area_score(c("x"), c("y"), c("w"), c("h"), c("area"), c("spread"), c("pixel_width"), c("pixel_height"))).where("score > -1")
+    scored = best(scored, ["page"], least=-1.0).withColumn("p", padded(c("x"), c("y"), c("w"), c("h"), c("pixel_width"), c("pixel_height")))
+    area = scored.select("page", F.struct(F.lit("page_photo_component").alias("method"), *(c(f"p.{x}").cast("double").alias(x) for x in CORNERS)).alias("area"))
+    left = size.join(block, "page", "left_anti").join(area, "page", "left_anti")
+    dark = ink.join(left, "page")
+    rows = dark.groupBy("page", "y", "pixel_height").agg(F.sum("n").alias("value")).withColumn("least", F.greatest(F.lit(120), whole(F.floor(c("pixel_height") / 8))))
+    rows = dense_bands(rows, 0.34, "least", ["page"], "y")
+    band = left.join(rows, "page").select(left["*"], F.greatest(c("first") - 20, F.lit(0)).alias("y0"), F.least(c("last") + 20, c("pixel_height")).alias("y1"))
+    columns = ink.join(band, "page").where((c("y") >= c("y0")) & (c("y") < c("y1"))).groupBy("page", "x", "pixel_width").agg(F.sum("n").alias("value"))
+    columns = dense_bands(columns.withColumn("least", F.greatest(F.lit(120), whole(F.floor(c("pixel_width") / 5)))), 0.22, "least", ["page"], "x")
+    x0 = F.coalesce(F.greatest(c("first") - 20, F.lit(0)), whole(c("pixel_width") * 0.08))
+    x1 = F.coalesce(F.least(c("last") + 20, c("pixel_width")), whole(c("pixel_width") * 0.92))
+    crop = band.join(columns, "page", "left").select("page", F.struct(F.lit("page_density_crop").alias("method"), *(x.cast("double").alias(n) for n, x in zip(CORNERS, (x0, c("y0"), x1, c("y1")), strict=True))).alias("crop"))
+    rest = (F.lit(0), whole(c("pixel_height") * 0.16), c("pixel_width"), whole(c("pixel_height") * 0.68))
+    rest = F.struct(F.lit("page_density_fallback").alias("method"), *(x.cast("double").alias(n) for n, x in zip(CORNERS, rest, strict=True)))
+    found = size.join(block, "page", "left").join(area, "page", "left").join(crop, "page", "left")
+    return found.select("page", F.coalesce("block", "area", "crop", rest).alias("p")).select("page", "p.*")
+
+
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
 def pictures(files: DataFrame, read: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """path and what an injected reader finds in each file (layout blocks, areas, page texts, outlines). files: a binaryFile
     table. The reader brings its own PDF, OCR or imaging library; a file that it returns nothing for gives no row."""

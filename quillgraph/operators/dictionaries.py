@@ -1,41 +1,24 @@
-"""Dictionary matching with more keywords than a plan should hold as a literal."""
+"""Dictionary matching with more keywords than a plan should hold as a literal: the dictionary is a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.match import Dictionary
-
-#: Bytes of keywords that one automaton takes; larger dictionaries are matched in several passes.
-AUTOMATON_BYTES = 64 << 20
-
-
-def matched(docs: DataFrame, entries: Dictionary, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """key, name of the entries of which a keyword stands in the text, each once for each row; null text has none."""
-    import ahocorasick
+#: Characters of a keyword by which it is looked up; shorter keywords are looked up whole.
+GRAM = 5
 
-    held = sum(len(w.encode()) for _, words in entries for w in words)
-    if held > AUTOMATON_BYTES:
-        half = len(entries) // 2
-        return matched(docs, entries[:half], key, body).unionByName(matched(docs, entries[half:], key, body))
-    shared = docs.sparkSession.sparkContext.broadcast(entries)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, of = ahocorasick.Automaton(), {}
-        for name, words in shared.value:
-            for w in words:
-                of.setdefault(w, []).append(name)
-        for w, names in of.items():
-            automaton.add_word(w, names)
-        automaton.make_automaton()
-        for batch in batches:
-            found = [(k, n) for k, t in enumerate(batch.column(1).to_pylist()) for n in sorted({n for _, names in automaton.iter(t or "") for n in names})]
-            at, names = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["key", "name"])
+def matched(docs: DataFrame, words: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """key, name of the entries of which a keyword stands in the text, each once for each key; null text has none.
 
-    return docs.select(F.col(key), F.col(body)).mapInArrow(work, f"key {kind}, name string").withColumnRenamed("key", key)
+    words: name, word, a row for each keyword; empty ones match nothing. The different runs of as many characters as looked-up
+    keywords have are joined to the beginnings of keywords, and where one fits the text is searched for the whole word. How
+    either side is shuffled or broadcast is left to the join, by measured sizes."""
+    entries = words.where("word <> ''").select("name", "word", F.substring("word", 1, GRAM).alias("gram")).distinct()
+    sizes = [r[0] for r in entries.select(F.length("gram")).distinct().collect()]  # GRAM at most
+    rows = docs.select(F.col(key).alias("key"), F.col(body).alias("body")).where("body is not null")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - n + 1, F.lit(1))), lambda k: F.substring("body", k, F.lit(n)))
+    grams = F.array_distinct(F.concat(*map(runs, sizes))) if sizes else F.array().cast("array<string>")
+    found = rows.select("key", F.explode(grams).alias("gram")).join(entries, "gram").select("key", "name", "word").distinct()
+    return rows.join(found, "key").where(F.contains("body", F.col("word"))).select(F.col("key").alias(key), "name").distinct()

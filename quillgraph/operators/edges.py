@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +51,25 @@ def property_names(params: Column) -> Column:
     return F.transform(pairs, lambda e: F.concat(F.coalesce(F.element_at(labels, e["key"]), e["key"]), F.lit("="), e["value"]))
 
 
+def _place(*parts) -> Column:
+    return F.array(*((F.lit(p) if isinstance(p, int) else F.col(p)).cast("long") for p in parts)).alias("seq")
+
+
 def rule_edges(docs: DataFrame, name: str = "name", body: str = "text", params: str | None = "parameters", label: str = "Artillery") -> DataFrame:
     """seq, source, source_type, relation, target, target_type, method, description of the texts that are not empty.
 
-    Derivatives point at their origin; all other edges start from the entity. ``docs`` needs seq."""
+    Derivatives point at their origin; all other edges start from the entity. ``docs`` needs seq (long); an edge's seq is an
+    array of it, 0 or, for derivatives, 1, and the place among them, so any number of edges is in order."""
     rows = rule_record(docs.where(F.col(body) != ""), name, body)
     made = [F.transform(c, _to(r, k)) for c, r, k in KINDS]
     if params:
         made.append(F.transform(property_names(F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))), _to("HAS_PROPERTY", "Property")))
     rows = rows.select("seq", F.col(name).alias("source"), F.posexplode(F.concat(*made)).alias("k", "e"))
-    out = rows.select((F.col("seq") * 4096 + F.col("k")).alias("seq"), "source", F.lit(label).alias("source_type"), "e.*", F.lit("rule").alias("method"), F.lit("").alias("description"))
+    out = rows.select(_place("seq", 0, "k"), "source", F.lit(label).alias("source_type"), "e.*", F.lit("rule").alias("method"), F.lit("").alias("description"))
     found = derive.derivatives(docs.where(F.col(body) != "").withColumn("_key", F.struct("seq", F.col(name).alias("name"))).select(F.to_json("_key").alias("key"), body), "key", body)
     own = F.from_json("key", "seq long, name string")
     back = found.select(own.alias("o"), "ord", "derivative", "description").select(
-        (F.col("o.seq") * 4096 + 2048 + F.col("ord")).alias("seq"), F.col("derivative").alias("source"), F.lit("Derivative").alias("source_type"), F.lit("DERIVED_FROM").alias("relation"),
+        _place("o.seq", 1, "ord"), F.col("derivative").alias("source"), F.lit("Derivative").alias("source_type"), F.lit("DERIVED_FROM").alias("relation"),
         F.col("o.name").alias("target"), F.lit(label).alias("target_type"), F.lit("rule").alias("method"), "description",
     )
     return out.unionByName(back)
@@ -81,12 +87,20 @@ def merged(known: DataFrame, more: DataFrame, method: str = "llm") -> DataFrame:
     return known.unionByName(fresh.withColumn("method", F.lit(method)), allowMissingColumns=True)
 
 
-def model_edges(docs: DataFrame, reply: Callable[[str], str | None], name: str = "name", body: str = "text", prompt_chars: int = 3000) -> DataFrame:
-    """seq and edges that an injected model's replies hold. reply: prompt text to reply text, None on failure; it runs on the
-    executors, once a row. Malformed replies and null ends give none."""
-    ask = F.udf(lambda x: None if x is None else reply(x), "string")
-    rows = docs.select("seq", text.relations_in_reply(ask(F.substring(F.col(body), 1, prompt_chars))).alias("r"))
-    found = rows.select("seq", F.posexplode("r").alias("k", "e")).select((F.col("seq") * 4096 + F.col("k")).alias("seq"), "e.*")
+def model_edges(docs: DataFrame, replies: Callable[[list[str]], list[str | None]], body: str = "text", prompt_chars: int = 3000) -> DataFrame:
+    """seq (an array: the row's and the place in its reply) and edges that an injected model's replies hold.
+
+    replies: a batch of prompt texts to as many reply texts, None on failure; it runs on the executors, once an Arrow batch.
+    Rows with null texts are not asked about. Malformed replies and null ends give none."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = replies(batch.column(1).to_pylist()) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["seq", "reply"])
+
+    asked = docs.select(F.col("seq").cast("long").alias("seq"), F.substring(F.col(body), 1, prompt_chars).alias("prompt")).where("prompt is not null")
+    rows = asked.mapInArrow(ask, "seq long, reply string").select("seq", text.relations_in_reply(F.col("reply")).alias("r"))
+    found = rows.select("seq", F.posexplode("r").alias("k", "e")).select(_place("seq", "k"), "e.*")
     return found.where("source <> '' and relation <> '' and target <> ''")
 
 

@@ -17,7 +17,7 @@ PROPERTIES = [p for k, p in enumerate(PROPERTIES) if p not in PROPERTIES[:k]]
 
 @dataclass
 class Graph:
-    """nodes: seq, name, label, and properties where there are any. edges: seq, source, relation, relation_label, target,
+    """nodes: seq (a struct that orders them), name, label, and properties where there are any. edges: seq, source, relation, relation_label, target,
     source_type, target_type, method, description."""
 
     nodes: DataFrame
@@ -41,8 +41,9 @@ def build(entities: DataFrame, edges: DataFrame, view: str = "trusted", relation
     Unknown. Of edges with the same (source, relation, target) the first stays. Full views take all relations and labels."""
     shown = entities.where(valid.node(F.col("label"), F.col("name"), view, labels))
     rows = first_wins(edges.where(valid.edge(view, relations, labels)))
-    top = F.lit(1 << 40)
-    ends = [rows.select((top + 2 * F.col("seq") + k).alias("seq"), F.col(e).alias("name"), F.coalesce(F.nullif(F.col(f"{e}_type"), F.lit("")), F.lit("Unknown")).alias("label")) for k, e in enumerate(("source", "target"))]
+    own, theirs = (df.schema["seq"].dataType for df in (shown, rows))
+    shown = shown.withColumn("seq", F.struct(F.lit(0).alias("kind"), F.col("seq").alias("entity"), F.lit(None).cast(theirs).alias("edge"), F.lit(0).alias("end")))
+    ends = [rows.select(F.struct(F.lit(1).alias("kind"), F.lit(None).cast(own).alias("entity"), F.col("seq").alias("edge"), F.lit(k).alias("end")).alias("seq"), F.col(e).alias("name"), F.coalesce(F.nullif(F.col(f"{e}_type"), F.lit("")), F.lit("Unknown")).alias("label")) for k, e in enumerate(("source", "target"))]
     nodes = merged_nodes(shown.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True))
     names = F.create_map(*(F.lit(x) for pair in v.RELATIONS.items() for x in pair))
     have = set(rows.columns)
@@ -82,9 +83,17 @@ def totals(g: Graph) -> DataFrame:
     return nodes.join(F.broadcast(g.edges.agg(F.count("*").alias("n_edges"))))
 
 
+def bars(pairs: DataFrame, name: str, value: str = "n") -> DataFrame:
+    """name, value of at most a chart's worth of pairs, the largest last, as horizontal bars are drawn from below; of equals
+    the one that the pairs have last comes first."""
+    rows = [(r[name], r[value]) for r in pairs.select(name, value).collect()]  # a top-k
+    schema = pairs.select(name, value).schema.add("ord", "integer", False)
+    return pairs.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(reversed(rows))], schema)
+
+
 def names_by_label(g: Graph) -> DataFrame:
-    """label, names (sorted)."""
-    return g.nodes.groupBy("label").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    """label, name, sorted: a row for each name, however many a label has."""
+    return g.nodes.select("label", "name").distinct().orderBy("label", "name")
 
 
 # ---- neighbourhoods
@@ -111,8 +120,8 @@ def one_hop(g: Graph, center: str, most: int = 14, priority: list[str] = v.PRIOR
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("relation")).cast("int"), F.lit(0))
     sides = [g.edges.where(F.col(e) == center).withColumn("other", F.col(o)).withColumn("side", F.lit(k)) for k, (e, o) in enumerate((("source", "target"), ("target", "source")))]
     rows = sides[0].unionByName(sides[1]).withColumn("rank", F.when(rank > 0, rank).otherwise(99))
-    rows = rows.withColumn("n", F.row_number().over(Window.orderBy("rank", "target", "source", "side", "seq")))  # of one node's edges
-    firsts = rows.where(F.col("other") != center).groupBy("other").agg(F.min("n").alias("first")).orderBy("first").limit(most - 1)
+    place = F.struct("rank", "target", "source", "side", "seq")
+    firsts = rows.where(F.col("other") != center).groupBy("other").agg(F.min(place).alias("first")).orderBy("first").limit(most - 1)
     taken = firsts.select("other").unionByName(g.nodes.sparkSession.range(1).select(F.lit(center).alias("other")))
     edges = rows.join(taken, "other", "left_semi").select(*g.edges.columns)
     return Graph(g.nodes.join(taken.withColumnRenamed("other", "name"), "name", "left_semi"), edges)
@@ -140,7 +149,9 @@ def reach(g: Graph, start: DataFrame, hops: int) -> DataFrame:
 
 def find(g: Graph, query: str, label: str | None = None) -> DataFrame:
     """At most one row, name: the node of exactly that name; else the first one equal, else containing it, when white space
-    and case do not count. Nodes of a label are tried by name, all nodes in order. A query of white space hits the first."""
+    and case do not count. Nodes of a label are tried by name, all nodes in order. A query of white space hits the first, an empty one none."""
+    if not query:
+        return g.nodes.select("name").limit(0)
     rows = g.nodes.where(F.col("label") == label) if label else g.nodes
     needle, own = text.normalised_name(F.lit(query)), text.normalised_name(F.col("name"))
     tier = F.when(F.col("name") == query, 0).when(own == needle, 1).when(F.contains(own, needle), 2)
@@ -150,8 +161,8 @@ def find(g: Graph, query: str, label: str | None = None) -> DataFrame:
 
 def mentioned(g: Graph, question: str, label: str) -> DataFrame:
     """At most one row, name: the first name of a label, in order, that the question contains."""
-    q = text.normalised_name(F.lit(question))
-    return g.nodes.where((F.col("label") == label) & F.contains(q, text.normalised_name(F.col("name")))).orderBy("name").limit(1).select("name")
+    q, own = text.normalised_name(F.lit(question)), text.normalised_name(F.col("name"))
+    return g.nodes.where((F.col("label") == label) & (own != "") & F.contains(q, own)).orderBy("name").limit(1).select("name")
 
 
 def in_category(nodes: DataFrame, category: str | None = None) -> DataFrame:

@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
+from ..sources.held import written
+
+
+def numbered(rows: DataFrame, by: str, order: str, out: str = "idx") -> DataFrame:
+    """Adds the place of each row in its group, from 0. The rows are dealt by ranges of (group, order) and numbered inside
+    each range, on top of what lies in the ranges before, so a group of all rows is no one task's."""
+    dealt = written(rows.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(by).orderBy("_part")) - F.col("_rows")  # a row for each range and group in it
+    inside = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1
+    return dealt.withColumn("_at", inside).join(counts.withColumn("_before", before).drop("_rows"), [by, "_part"]).withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def positions(nodes: DataFrame, center: str | None = None, order: list[str] = v.RING_ORDER, radii: dict[str, float] = v.RING_RADII) -> DataFrame:
@@ -25,7 +36,7 @@ def positions(nodes: DataFrame, center: str | None = None, order: list[str] = v.
     fixed = F.element_at(F.create_map(*(F.lit(x) for pair in radii.items() for x in pair)), F.col("label"))
     at = F.when(F.col("known") == 0, F.col("rank")).otherwise(F.lit(len(order)) + F.col("extra"))
     labels = labels.withColumn("extra", extra).withColumn("at", at).withColumn("radius", F.when(F.col("known") == 0, fixed).otherwise(F.lit(max(radii.values()) + 1.1) + 0.9 * F.col("extra")))
-    rows = rest.withColumn("idx", F.row_number().over(Window.partitionBy("label").orderBy("seq")) - 1).join(F.broadcast(labels), "label")
+    rows = numbered(rest.select("seq", "name", "label"), "label", "seq").join(labels, "label")
     angle = 2 * math.pi * F.col("idx") / F.col("total")
     if center is not None:
         r, a = 1.2 * F.col("ring"), angle

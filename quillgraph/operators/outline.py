@@ -37,11 +37,12 @@ def entities(toc: DataFrame, by: list[str] | None = None, chapters: match.Dictio
 
 
 def base_edges(found: DataFrame) -> DataFrame:
-    """seq, source, source_type, relation, target, target_type: developer (the first country), other countries, category."""
+    """seq (an array: the entity's and the place among its edges), source, source_type, relation, target, target_type:
+    developer (the first country), other countries, category."""
     to = lambda relation, target, kind, k: F.struct(k.alias("k"), F.lit(relation).alias("relation"), target.alias("target"), F.lit(kind).alias("target_type"))
     n = F.size("countries")
     first = F.array(to("DEVELOPED_IN", F.get("countries", 0), "Country", F.lit(0)))
     rest = F.transform(F.slice("countries", 2, F.greatest(n - 1, F.lit(0))), lambda c, k: to("EQUIPPED_BY", c, "Country", k + 1))
     last = F.array(to("IS_TYPE_OF", F.col("category"), "Category", n))
     rows = found.select("seq", F.col("name").alias("source"), F.lit("Artillery").alias("source_type"), F.explode(F.concat(first, rest, last)).alias("e"))
-    return rows.select((F.col("seq") * 64 + F.col("e.k")).alias("seq"), "source", "source_type", "e.relation", "e.target", "e.target_type")
+    return rows.select(F.array(F.col("seq").cast("long"), F.col("e.k").cast("long")).alias("seq"), "source", "source_type", "e.relation", "e.target", "e.target_type")

@@ -19,9 +19,9 @@ def scores(g: Graph, texts: DataFrame, question: str, label: str = "Artillery")
     """name, score of the nodes of a label: its name and model in the question, the question's tokens in what is known of it,
     and its targets in the question. One pass over nodes and one over edges, whatever the question is."""
     q = text.normalised_name(F.lit(question))
-    own = g.nodes.where(F.col("label") == label).join(texts.select("name", "text"), "name", "left")
+    own = g.nodes.where(F.col("label") == label).join(texts.select("name", F.substring("text", 1, 1800).alias("text")), "name", "left")  # cut before it is shuffled
     none = lambda c: F.coalesce(F.col(c), F.lit("")) if c in own.columns else F.lit("")
-    searchable = text.normalised_name(F.concat_ws(" ", F.col("name"), none("model"), none("core_model"), none("category"), F.substring(none("text"), 1, 1800)))
+    searchable = text.normalised_name(F.concat_ws(" ", F.col("name"), none("model"), none("core_model"), none("category"), none("text")))
     words = F.transform(text.tokens(F.lit(question)), lambda t: F.struct(text.normalised_name(t).alias("t"), F.when(F.length(t) > 2, LONG).otherwise(SHORT).alias("w")))
     by_words = F.aggregate(words, F.lit(0), lambda a, w: a + F.when((w["t"] != "") & F.contains(F.col("searchable"), w["t"]), w["w"]).otherwise(0))
     named = F.when(F.contains(q, text.normalised_name(F.col("name"))), NAME).otherwise(0)
@@ -38,26 +38,29 @@ def mentions(g: Graph, question: str) -> DataFrame:
 
 
 def candidates(g: Graph, texts: DataFrame, question: str, k: int = TOP, label: str = "Artillery") -> DataFrame:
-    """name, score of the best ``k``, ties by name; without any, neighbours of mentioned nodes at a fixed score."""
-    best = scores(g, texts, question, label).where("score > 0").orderBy(F.desc("score"), "name").limit(k)
+    """name, score of the best ``k``, ties by name; without any, neighbours of mentioned nodes at a fixed score. They are looked
+    for at once, and what is returned is the ``k`` rows themselves, so they can be used again and again."""
+    best = scores(g, texts, question, label).where("score > 0").orderBy(F.desc("score"), "name").limit(k).collect()
+    if best:
+        return g.nodes.sparkSession.createDataFrame(best, "name string, score long")
     found = mentions(g, question).select(F.col("name").alias("m")).distinct()
     to = g.edges.where(F.col("source_type") == label).join(found, F.col("target") == F.col("m"), "left_semi").select(F.col("source").alias("name"))
     back = g.edges.where(F.col("target_type") == label).join(found, F.col("source") == F.col("m"), "left_semi").select(F.col("target").alias("name"))
-    near = to.unionByName(back).distinct().orderBy("name").limit(k).withColumn("score", F.lit(NEIGHBOUR).cast("long"))
-    any_best = F.broadcast(best.agg((F.count("*") > 0).alias("has")))  # one row
-    return best.unionByName(near.join(any_best).where("not has").drop("has"))
+    near = to.unionByName(back).distinct().orderBy("name").limit(k).collect()
+    return g.nodes.sparkSession.createDataFrame([(r.name, NEIGHBOUR) for r in near], "name string, score long")
 
 
 def blocks(g: Graph, texts: DataFrame, chosen: DataFrame, facts: list[tuple[str, str]] = v.FACTS, n_relations: int = 12, n_chars: int = 1200) -> DataFrame:
-    """name, score, context: what is shown of each candidate."""
-    rows = chosen.join(g.nodes, "name", "left").join(texts.select("name", "text"), "name", "left")
+    """name, score, context: what is shown of each candidate. chosen: name, score, few rows."""
+    cut = texts.select("name", F.substring("text", 1, n_chars).alias("text")).join(chosen.select("name"), "name", "left_semi")
+    rows = chosen.join(g.nodes, "name", "left").join(cut, "name", "left")
     own = g.edges.join(chosen.select(F.col("name").alias("source")), "source", "left_semi")
     rels = own.groupBy(F.col("source").alias("name")).agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", F.concat("relation_label", F.lit("->"), "target").alias("r")))), 1, n_relations).alias("rels"))
     rows = rows.join(rels, "name", "left")
     facts = [f for f in facts if f[0] in g.nodes.columns]
     shown = F.filter(F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{n}: "), F.col(c).cast("string"))) for c, n in facts)), lambda x: x.isNotNull())
     links = F.coalesce(F.transform("rels", lambda x: x["r"]), F.array().cast("array<string>"))
-    excerpt = F.when(F.coalesce("text", F.lit("")) != "", F.substring("text", 1, n_chars)).otherwise(F.lit(v.NOTHING))
+    excerpt = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(F.lit(v.NOTHING))
     lines = [F.concat(F.lit(v.BLOCK), F.col("name")), F.concat(F.lit(v.BLOCK_FACTS), text.joined_or(shown, v.NOTHING)), F.concat(F.lit(v.BLOCK_RELATIONS), text.joined_or(links, v.NOTHING)), F.concat(F.lit(v.BLOCK_TEXT), excerpt)]
     return rows.select("name", "score", F.concat_ws("\n", *lines).alias("context"))
 
@@ -135,7 +138,7 @@ def answer_with_context(g: Graph, texts: DataFrame, question: str, model: Callab
     q = question.strip()
     if not q:
         return {"answer": "请输入问题。", "sources": [], "used_model": False, "is_relevant": False}
-    chosen = candidates(g, texts, q).cache()
+    chosen = candidates(g, texts, q)
     if not relevance(chosen, mentions(g, q)).first().is_relevant:
         return {"answer": IRRELEVANT, "sources": [], "used_model": False, "is_relevant": False}
     rows = blocks(g, texts, chosen).orderBy(F.desc("score"), "name").collect()  # four at most

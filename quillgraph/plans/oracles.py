@@ -20,7 +20,7 @@ def graph(sql: str, more: str = "") -> str:
 
 _SCORES = f"""hit AS (SELECT source AS name, count(*) * 5 AS edges FROM e WHERE contains('{_QN}', {norm('target')}) GROUP BY source),
     txt AS (SELECT 'part#' || doc_id AS name, text FROM documents),
-    own AS (SELECT n.name, n.seq, category, caliber, model, range, weight, text,
+    own AS (SELECT n.name, category, caliber, model, range, weight, text,
             {norm("concat_ws(' ', n.name, coalesce(model, ''), coalesce(core_model, ''), coalesce(category, ''), substr(coalesce(text, ''), 1, 1800))")} AS s FROM n LEFT JOIN txt USING (name) WHERE label = 'Artillery'),
     tok AS (SELECT unnest(regexp_extract_all('Is part#7 of Brand#7 in the PROMO range, as nation_3 says of thble?', '[A-Za-z0-9][A-Za-z0-9\\-]*')) AS t),
     sc AS (SELECT own.name, CASE WHEN contains('{_QN}', {norm('own.name')}) THEN 12 ELSE 0 END + CASE WHEN coalesce(model, '') <> '' AND contains('{_QN}', {norm('model')}) THEN 8 ELSE 0 END
@@ -40,14 +40,15 @@ _PRF = """SELECT {by} round(coalesce(tp / nullif(m, 0), 0), 4) AS precision, rou
     round(coalesce(2 * (tp / nullif(m, 0)) * (tp / nullif(g, 0)) / nullif(tp / nullif(m, 0) + tp / nullif(g, 0), 0), 0), 4) AS f1, tp, m - tp AS fp, g - tp AS fn, g AS gold_count, m AS machine_count"""
 _SETS = """gold AS (SELECT * FROM raw WHERE relation <> 'SUPPLIED_BY' AND (relation <> 'EQUIPPED_BY' OR seq % 3 > 0)),
     gt AS (SELECT DISTINCT source, relation, target FROM gold), mt AS (SELECT DISTINCT source, relation, target FROM raw),
-    ge AS (SELECT source_type AS label, source AS name FROM gold UNION SELECT target_type, target FROM gold), me AS (SELECT source_type AS label, source AS name FROM raw UNION SELECT target_type, target FROM raw)"""
+    ge AS (SELECT source_type AS label, source AS name FROM gold UNION SELECT target_type, target FROM gold UNION SELECT label, name FROM ent WHERE label <> 'Supplier' AND seq % 3 > 0),
+    me AS (SELECT source_type AS label, source AS name FROM raw UNION SELECT target_type, target FROM raw UNION SELECT label, name FROM ent)"""
 _TITLES = """t AS (SELECT p_partkey, ['德国', '苏联', '英国/德国/意大利', 'Atlantis'][CAST(p_partkey % 4 AS INT) + 1] AS land, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 240) || '毫米' ELSE '' END AS cal,
           ['榴弹炮', '自行火箭炮', '多管迫击炮', '船'][CAST((p_partkey // 4) % 4 AS INT) + 1] AS kind FROM part),
     s AS (SELECT *, land || cal || 'M' || p_partkey || kind AS name, 'M' || p_partkey || CASE kind WHEN '自行火箭炮' THEN '自行' WHEN '多管迫击炮' THEN '多管' ELSE '' END AS model,
           CASE kind WHEN '榴弹炮' THEN '榴弹炮' WHEN '自行火箭炮' THEN '火箭炮' ELSE '迫击炮' END AS kd FROM t WHERE land <> 'Atlantis' AND kind <> '船')"""
 _RINGS = """lab AS (SELECT label, count(*) AS total, CASE label WHEN 'Country' THEN 0 WHEN 'Category' THEN 1 WHEN 'Institution' THEN 2 ELSE 8 END AS pl,
     CASE label WHEN 'Country' THEN 1.2 WHEN 'Category' THEN 2.1 WHEN 'Institution' THEN 3.0 ELSE 6.2 END AS radius FROM n {w} GROUP BY label),
-    ix AS (SELECT name, label, seq, row_number() OVER (PARTITION BY label ORDER BY seq) - 1 AS idx FROM n {w}),
+    ix AS (SELECT name, label, row_number() OVER (PARTITION BY label ORDER BY place) - 1 AS idx FROM n {w}),
     pos AS (SELECT name, label, {r} * cos({a}) AS x, {r} * sin({a}) AS y FROM ix JOIN (SELECT *, row_number() OVER (ORDER BY pl) AS ring FROM lab) USING (label))"""
 _GLOBAL = _RINGS.format(w="", r="(radius + 0.18 * (idx % 5 - 2))", a="(2 * pi() * idx / total + 0.37 * pl)")
 _AROUND = _RINGS.format(w="WHERE name <> 'NATION_3'", r="(1.2 * ring)", a="(2 * pi() * idx / total)")
@@ -70,9 +71,9 @@ ORACLES: dict[str, str] = {
     "stats_totals": graph("SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges"),
     "stats_categories": graph("SELECT category, count(*) AS n FROM n WHERE category <> '' GROUP BY category ORDER BY n DESC, min(name) LIMIT 12"),
     "stats_top_targets": graph("SELECT target, count(*) AS n FROM e WHERE relation = 'EQUIPPED_BY' GROUP BY target ORDER BY n DESC, min({'s': source, 'q': seq}) LIMIT 12"),
-    "stats_names": graph("SELECT label, count(DISTINCT name) AS n, md5(string_agg(DISTINCT name, ',' ORDER BY name)) AS md5 FROM n GROUP BY label"),
-    "graph_nodes": graph("SELECT seq, name, label, category, caliber, model, core_model, page, range, weight FROM n"),
-    "graph_nodes_full": graph("SELECT seq, name, label, category, caliber, model, core_model, page, range, weight FROM fn"),
+    "stats_names": graph("SELECT DISTINCT label, name FROM n"),
+    "graph_nodes": graph("SELECT kind, entity, edge, \"end\", name, label, category, caliber, model, core_model, page, range, weight FROM n"),
+    "graph_nodes_full": graph("SELECT kind, entity, edge, \"end\", name, label, category, caliber, model, core_model, page, range, weight FROM fn"),
     "graph_edges": graph("SELECT seq, source, relation, relation_label, target, source_type, target_type, method FROM fe"),
     "graph_edges_trusted": graph("SELECT seq, source, relation, relation_label, target, source_type, target_type, method FROM e"),
     "one_hop": graph("SELECT seq, source, relation, target FROM num WHERE other IN (SELECT other FROM tk) OR other = 'NATION_3'", _HOP.format(c="NATION_3", k=13)),
@@ -81,7 +82,7 @@ ORACLES: dict[str, str] = {
     "degree": graph("SELECT name, (SELECT count(*) FROM fe WHERE source = name) AS n_out, (SELECT count(*) FROM fe WHERE target = name) AS n_in FROM fn"),
     "related": graph("SELECT source AS name FROM e WHERE target = 'NATION_3' AND source_type = 'Artillery' UNION SELECT target FROM e WHERE source = 'NATION_3' AND target_type = 'Artillery'"),
     "reach": graph("SELECT 'part#7' AS name, 0 AS hop UNION ALL SELECT DISTINCT target, 1 FROM fe WHERE source = 'part#7'"),
-    "fuzzy_find": graph(f"SELECT name FROM n WHERE contains({norm('name')}, 'part#12') ORDER BY CASE WHEN {norm('name')} = 'part#12' THEN 1 ELSE 2 END, seq LIMIT 1"),
+    "fuzzy_find": graph(f"SELECT name FROM n WHERE contains({norm('name')}, 'part#12') ORDER BY CASE WHEN {norm('name')} = 'part#12' THEN 1 ELSE 2 END, place LIMIT 1"),
     "fuzzy_find_label": graph(f"SELECT name FROM n WHERE label = 'Country' AND contains({norm('name')}, '_1') ORDER BY name LIMIT 1"),
     "label_match": graph(f"SELECT name FROM n WHERE label = 'Country' AND contains('{_QN}', {norm('name')}) ORDER BY name LIMIT 1"),
     "category_filter": graph("SELECT coalesce(nullif(category, ''), '未知') AS category, count(*) AS n FROM n GROUP BY 1"),
@@ -102,11 +103,11 @@ ORACLES: dict[str, str] = {
     "ffill_outline": "WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations), s AS (SELECT conv_id, turn * 4 + length(role) % 4 AS seq, turn, role FROM c), "
     "f AS (SELECT conv_id, seq, last_value(CASE WHEN turn % 3 = 0 AND role IN ('system', 'assistant') THEN role || '@' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS category FROM s) SELECT conv_id, category, count(*) AS n, min(seq) AS first FROM f GROUP BY conv_id, category",
     "range_assign": "SELECT 's' || (doc_id // 37) AS name, CAST(min(doc_id) AS INT) AS first, CAST(max(doc_id) AS INT) AS last, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY doc_id // 37",
-    "page_concat": "SELECT 's' || (doc_id // 37) AS name, md5(string_agg(substr(text, 1, 40), chr(10) ORDER BY doc_id)) AS md5, length(string_agg(substr(text, 1, 40), chr(10) ORDER BY doc_id)) AS chars FROM documents GROUP BY doc_id // 37",
+    "page_concat": "SELECT 's' || (doc_id // 37) AS name, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS md5, length(string_agg(text, chr(10) ORDER BY doc_id)) AS chars FROM documents GROUP BY doc_id // 37",
     "section_cut": r"WITH a AS (SELECT doc_id, substr(text, strpos(text, 'the')) AS s FROM documents WHERE strpos(text, 'the') > 0), b AS (SELECT doc_id, s, substr(s, 11) AS r FROM a), "
     r"c AS (SELECT doc_id, substr(s, 1, least(length(s), coalesce(nullif(strpos(r, 'was'), 0) + 9, length(s)), coalesce(nullif(strpos(r, 'with'), 0) + 9, length(s)), coalesce(nullif(strpos(r, chr(10)), 0) + 9, length(s)))) AS x FROM b) "
     r"SELECT doc_id, length(x) AS chars, md5(x) AS md5, length(regexp_replace(regexp_replace(x, '[^\n]*\S[^\n]*', 'L', 'g'), '[^L]', '', 'g')) AS n_lines FROM c",
-    "derivative_valid": "WITH l AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents) WHERE length(x) < 60) SELECT x, "
+    "derivative_valid": "WITH l AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents)) SELECT x, "
     + _OK.format("换装|安装|整合|由|最初称|炮塔|瞄准具|衍生型|火炮") + " AS in_clean, " + _OK.format("换装|安装|整合|由|最初称|炮塔|瞄准具|火炮|系统衍生型") + " AND NOT (contains(x, ' ') AND length(x) > 16) AS in_view, "
     + "regexp_matches(x, '[A-Za-z0-9]') AND NOT regexp_full_match(x, '[0-9]{1,4}') AND length(x) <= 40 AND NOT (" + _CJK + " > length(x) * 0.5 AND length(x) > 10) AS row, x <> '' AND (contains(x, '底盘') OR contains(x, '卡车') OR x NOT IN ('谢尔曼坦克', '坦克', '步兵战车', '装甲车')) AS chassis FROM l",
     "clean_edges": graph("SELECT seq, source, relation, target, method FROM (SELECT raw.*, row_number() OVER (PARTITION BY raw.source, raw.relation, raw.target ORDER BY seq) AS k FROM raw LEFT JOIN home USING (source) WHERE method = 'base' OR (relation = 'EQUIPPED_BY' AND (h IS NULL OR h <> target))) WHERE k = 1", "home AS (SELECT source, arg_max(target, seq) AS h FROM raw WHERE relation = 'DEVELOPED_IN' GROUP BY source)"),
