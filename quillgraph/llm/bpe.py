@@ -13,7 +13,9 @@ the count of every prefix in one pass, and the encoding itself by walking back f
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -89,7 +91,8 @@ class ByteBPE:
         self.longest = max(map(len, self.ids))
         self.split = regex.compile(SPLIT).findall
         self._pairs: dict[int, bool] = {}
-        self.counts = _Cache(lambda piece: self.prefix_counts(piece.encode())[-1])
+        self.stored = _Cache(self._stored)
+        self.counts = _Cache(lambda piece: self.stored[piece][-1])
         self.packed = _Cache(lambda piece: np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes())
 
     # ---- one piece
@@ -151,6 +154,16 @@ class ByteBPE:
         """Tokens of piece[:i] for i from 0 to its length."""
         return self._table(piece)[1]
 
+    def _stored(self, piece: str) -> bytes | list[int]:
+        """Tokens of the first i code points of a piece for each i, in a byte each where they fit."""
+        counts, data = [0], piece.encode()
+        table = self.prefix_counts(data)
+        if len(data) == len(piece):
+            counts = table
+        else:
+            counts += [table[k] for k in np.cumsum([len(c.encode()) for c in piece]).tolist()]
+        return bytes(counts) if max(counts) < 256 else counts
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ids.get(piece)
         if whole is not None:
@@ -196,17 +209,14 @@ class ByteBPE:
 
         A white-space run at the end of a text is one piece, but gives its last character to what follows, or leaves it
         alone; so the leading white space of a piece behind such a run counts together with the run."""
-        sizes = np.cumsum([len(c.encode()) for c in piece])
         if piece in CONTRACTIONS:
             return [self.count(piece[:1]), self.count(piece[:1]) + self.count(piece[1:2]), self.counts[piece]]
-        table = self.prefix_counts(piece.encode())
-        own = [table[k] for k in sizes]
+        own = list(self.stored[piece][1:])
         if before and before.isspace() and piece[:1].isspace():
             run = len(piece) - len(piece.lstrip())
-            whole = self.prefix_counts((before + piece[:run]).encode())
-            shift = len(before.encode())
+            whole = self.stored[before + piece[:run]]
             for k in range(run if run < len(piece) else run - 1):
-                own[k] = whole[shift + sizes[k]] - self.counts[before]
+                own[k] = whole[len(before) + k + 1] - self.counts[before]
             if run == len(piece):
                 own[run - 1] = whole[-1] - self.counts[before]
         return own
@@ -228,28 +238,30 @@ class ByteBPE:
         return np.array(out, dtype=np.int32)
 
     def longest_fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of at most ``budget`` tokens.
+        """Code points of the longest prefix of at most ``budget`` tokens."""
+        return self.measured(text, budget)[1]
 
-        Counts at ends of pieces only rise, so the search looks into pieces from the last that starts below the budget."""
-        if budget <= 0:
-            return 0
+    def measured(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of text, code points of its longest prefix of at most ``budget`` tokens), from one split into pieces and
+        their stored counts. Counts at ends of pieces only rise, so the search looks into pieces from the last that
+        starts within the budget."""
         if self.special_re is not None and self.special_re.search(text):
-            fits = np.flatnonzero(self.prefixes(text) <= budget)
-            return int(fits[-1])
-        pieces, starts, at = self.split(text), [], 0
-        for piece in pieces:
-            if at > budget:
-                break
-            starts.append(at)
-            at += self.counts[piece]
-        if at <= budget:
-            return len(text)
-        for k in range(len(starts) - 1, -1, -1):
+            n = self.count(text)
+            return n, len(text) if n <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1]) if budget > 0 else 0
+        pieces = self.split(text)
+        sizes = list(map(self.counts.__getitem__, pieces))
+        n = sum(sizes)
+        if n <= budget:
+            return n, len(text)
+        if budget <= 0:
+            return n, 0
+        starts = list(accumulate(sizes, initial=0))
+        for k in range(bisect_right(starts, budget, hi=len(pieces)) - 1, -1, -1):
             own = self._piece_prefixes(pieces[k], pieces[k - 1] if k else "")
             fits = [j for j, c in enumerate(own, 1) if starts[k] + c <= budget]
             if fits:
-                return sum(map(len, pieces[:k])) + fits[-1]
-        return 0
+                return n, sum(map(len, pieces[:k])) + fits[-1]
+        return n, 0
 
 
 @lru_cache(maxsize=4)

@@ -1,8 +1,9 @@
 """Token counts at every prefix, and what truncation and budget questions ask of them.
 
-The counts come from the prefix dynamic programme of ``bpe``. Pieces of real text repeat, so a worker keeps for each
-distinct piece its count, and computes the table of all of a piece's prefixes only where a question lands inside it. A
-document then costs one pass over its pieces, and every answer is read from the counts: nothing is encoded again.
+The counts come from the prefix dynamic programme of ``bpe``. Pieces of real text repeat, so a worker runs it once for each
+distinct piece and stores the counts at all of the piece's prefixes. A document then costs one pass over its pieces: its
+count is the sum of their last stored counts, and where a budget ends inside a piece the answer is read from the counts
+stored for its prefixes. Nothing is encoded for a count, and nothing again for an answer.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [bpe.count(t) for t in texts]
-            fit = [bpe.longest_fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)]
+            found = [bpe.measured(t.as_py(), limit) for t in batch.column(1)]
+            n, fit = [f[0] for f in found], [f[1] for f in found]
             columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
