@@ -1,15 +1,16 @@
 """Document quality from random-indexing word vectors and a two-layer network, with calibrated probabilities.
 
 Each word has an index vector: sparse random signs for the word, its shape, its beginning and its end, drawn from a fixed
-table by hash, so no word is unknown. Its context vector is the sum of the index vectors of the words around it, over the
-training documents, in a table of hashed words of fixed size. The word's vector is the sum of both, each of length one. A
+table by hash, so no word is unknown. Its context vector is the sum of the index vectors of the words around it, over all
+documents, in a table of hashed words of fixed size. The word's vector is the sum of both, each of length one. A
 document is pooled over all its words: the mean vector, the mean product of neighbours (which repetition raises) and its
 length. A network of one hidden layer learns from that in numpy on the driver, and a temperature, fitted on training
 documents that the network did not learn from, makes its outputs probabilities.
 
-The fit takes at most ``MAX_TRAIN`` labelled documents, those with the smallest hashes of their key; word contexts belong to
-the fit. What reaches the driver is of fixed size: the context tables of ``FIT_TASKS`` tasks and a pooled vector for each
-training document. All documents are scored, each by its whole text.
+Word contexts are sums of whole numbers over every document, labelled or not; tasks sum by hashed word before they are
+added up. The network and the temperature take at most ``MAX_TRAIN`` labelled documents, those with the smallest hashes of
+their key. What reaches the driver is of fixed size: one table of contexts, and a pooled vector for each training document.
+All documents are scored, each by its whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
@@ -32,6 +32,8 @@ from .common import as_bytes, table, written
 MAX_TRAIN, FIT_TASKS = 20_000, 8
 #: Length of word vectors, hashed words with contexts of their own, index vectors, and words to each side of a context.
 SIZE, BUCKETS, INDEX, AROUND = 32, 1 << 14, 1 << 16, 2
+#: Words of a text of which contexts are summed at once.
+PIECE = 1 << 16
 #: Different words that a worker keeps vectors of before it starts anew.
 CACHE_WORDS = 200_000
 #: Score from which a document counts as good.
@@ -175,29 +177,43 @@ def held_out(df_key) -> F.Column:
     return F.coalesce(F.crc32(df_key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Learns from labelled rows that are not held out. Rows with a null key or label are ignored; of several labels of one
-    key the smallest holds. Without any labelled row, all scores are alike."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
-    sample = known.orderBy(F.xxhash64("k"), "k").limit(max_train)  # at most max_train short rows: small enough to broadcast
-    rows = docs.select(F.col(key).alias("k"), as_bytes(F.col(text)).alias("text")).join(F.broadcast(sample), "k")
-    rows = written(rows.repartition(FIT_TASKS, "k").sortWithinPartitions("k", "text"), "training")
+def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """For each bucket of hashed words the sum of the index vectors around its words in all documents, of length one.
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros((BUCKETS, SIZE), np.float32)
+    The sums are of whole numbers, so they are the same however documents are dealt to tasks."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), np.zeros((BUCKETS, SIZE), np.int64)
         for batch in batches:
             for text in batch.column(0):
                 at = words.rows(text.as_py())
-                if len(at):
-                    bucket = words.bucket[at]
+                for a in range(0, len(at), PIECE):  # a long text in pieces, each with the words around it
+                    low, high = max(0, a - AROUND), min(len(at), a + PIECE + AROUND)
+                    around = words.around(at[low:high])[a - low : a - low + PIECE]
+                    bucket = words.bucket[at[a : a + PIECE]]
                     order = np.argsort(bucket, kind="stable")
                     first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                    sums[bucket[order][first]] += np.add.reduceat(words.around(at)[order], first, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()])], names=["task", "sums"])
+                    sums[bucket[order][first]] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in sums[some].T)], names=["bucket", *columns])
+
+    columns = [f"s{k}" for k in range(SIZE)]
+    parts = docs.select(as_bytes(F.col(text)).alias("text")).mapInArrow(summed, f"bucket int, {', '.join(f'{c} long' for c in columns)}")
+    total = np.zeros((BUCKETS, SIZE))
+    for r in parts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # at most BUCKETS rows
+        total[r[0]] = r[1:]
+    return (total / np.maximum(1e-6, np.sqrt((total * total).sum(1, keepdims=True)))).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
+    """Learns labels from rows that are not held out, and word contexts from all. Rows with a null key or label are ignored; of several labels of one
+    key the smallest holds. Without any labelled row, all scores are alike."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
+    sample = known.orderBy(F.xxhash64("k"), "k").limit(max_train)  # at most max_train short rows: small enough to broadcast
+    rows = docs.select(F.col(key).alias("k"), as_bytes(F.col(text)).alias("text")).join(F.broadcast(sample), "k")
+    rows = written(rows.repartition(FIT_TASKS, "k").sortWithinPartitions("k", "text"), "training")
 
-    parts = rows.select("text").coalesce(FIT_TASKS).mapInArrow(contexts, "task int, sums binary").collect()
-    total = sum((np.frombuffer(r.sums, np.float32).reshape(BUCKETS, SIZE).astype(np.float64) for r in sorted(parts)), np.zeros((BUCKETS, SIZE)))
-    table_ = (total / np.maximum(1e-6, np.sqrt((total * total).sum(1, keepdims=True)))).astype(np.float32)
+    table_ = contexts(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(table_)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Scores: held-out accuracy, calibration, independence of labels, and edge rows."""
 
+import math
 import zlib
 
 import numpy as np
+import xxhash
 
 from quillgraph.llm import quality
 
@@ -59,3 +61,59 @@ def test_bounded_sample(spark):
     docs = frame(spark)
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(400)], "doc_id long, quality int")
     assert quality.fit(docs, labels, max_train=20).w1.shape == (65, 32)
+
+
+def plain_scores(texts, model):
+    """Every step of a score in plain loops over words; contexts too, from all texts."""
+    signs = quality._index_table().tolist()
+    size, index, buckets = quality.SIZE, quality.INDEX, quality.BUCKETS
+
+    def shape(w):
+        out = []
+        for b in w:
+            c = "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else "a" if 97 <= b <= 122 or b >= 128 else chr(b)
+            if not out or out[-1] != c:
+                out.append(c)
+        return "".join(out).encode("latin-1")
+
+    def index_vector(w):
+        rows = [xxhash.xxh64_intdigest(w) % index] + [xxhash.xxh64_intdigest(x, k) % index for k, x in ((1, shape(w)), (2, w[:2]), (3, w[-3:]))]
+        return [signs[rows[0]][d] + 2 * signs[rows[1]][d] + signs[rows[2]][d] + signs[rows[3]][d] for d in range(size)]
+
+    bucket = lambda w: xxhash.xxh64_intdigest(w) % buckets
+    vectors, contexts = {}, {}
+    for words in texts.values():
+        for w in words:
+            if w not in vectors:
+                vectors[w] = index_vector(w)
+    for words in texts.values():
+        for i, w in enumerate(words):
+            total = contexts.setdefault(bucket(w), [0] * size)
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    for d, x in enumerate(vectors[words[j]]):
+                        total[d] += x
+    unit = lambda v: [x / max(1e-6, sum(y * y for y in v) ** 0.5) for x in v]
+    contexts = {b: unit(v) for b, v in contexts.items()}
+    whole = {w: [a + b for a, b in zip(unit(v), contexts[bucket(w)], strict=True)] for w, v in vectors.items()}
+    out = {}
+    for k, words in texts.items():
+        own = [whole[w] for w in words]
+        n = max(1, len(own))
+        x = [sum(v[d] for v in own) / n for d in range(size)]
+        x += [sum(a[d] * b[d] for a, b in zip(own, own[1:], strict=False)) / n for d in range(size)] + [math.log(1 + len(own)) / 10]
+        z = [min(4, max(-4, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        hidden = [max(0, sum(z[i] * model.w1[i][h] for i in range(len(z))) + model.b1[h]) for h in range(len(model.b1))]
+        logit = sum(a * b for a, b in zip(hidden, model.w2, strict=True)) + model.b2
+        out[k] = 1 / (1 + math.exp(-logit / model.temperature))
+    return out
+
+
+def test_scores_by_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = plain_scores({r.doc_id: (r.text or "").encode().split() for r in docs.collect()}, model)
+    got = {r.doc_id: r for r in quality.op8_quality(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert abs(r.score - want[k]) < 1e-3 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
