@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import text, valid
+from ..sources.held import written
 from .edges import first_wins
 
 PROPERTIES = ["category", "caliber", "model", "core_model", "subtype", "page", "image_path", *v.PARAMETER_NAMES]
@@ -23,8 +24,9 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
-    def cache(self) -> Graph:
-        return Graph(self.nodes.cache(), self.edges.cache())
+    def held(self) -> Graph:
+        """The same graph, computed once and read from the shared folder from then on: for several questions to one graph."""
+        return Graph(written(self.nodes, "nodes"), written(self.edges, "edges"))
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import rich
 from .star import GRAPH_SQL
 
 _Q = "is part#7 of brand#7 in the promo range, as nation_3 says of thble?"
@@ -139,10 +140,25 @@ ORACLES: dict[str, str] = {
     "layout_positions": graph("SELECT name, label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM pos", _GLOBAL),
     "layout_around": graph("SELECT name, label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM pos UNION ALL SELECT name, label, 0.0, 0.0 FROM n WHERE name = 'NATION_3'", _AROUND),
     "edge_midpoints": graph("SELECT e.source, e.relation, e.target, round(a.x, 6) + 0.0 AS x0, round(a.y, 6) + 0.0 AS y0, round(b.x, 6) + 0.0 AS x1, round(b.y, 6) + 0.0 AS y1, round((a.x + b.x) / 2, 6) + 0.0 AS mid_x, round((a.y + b.y) / 2, 6) + 0.0 AS mid_y FROM e JOIN pos a ON a.name = e.source JOIN pos b ON b.name = e.target", _GLOBAL),
+    "stats_bars": graph("SELECT target, n, CAST(row_number() OVER (ORDER BY n, m DESC) - 1 AS INT) AS ord FROM (SELECT target, count(*) AS n, min({'s': source, 'q': seq}) AS m FROM e WHERE relation = 'EQUIPPED_BY' GROUP BY target ORDER BY n DESC, m LIMIT 12)"),
+    "node_panel": graph(
+        "SELECT 'attributes' AS section, CAST(ord AS INT) AS ord, key, coalesce(value, '未知') AS value FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS ord, unnest(['类别', '口径', '型号', '页码', '射程', '重量']) AS key, unnest([category, caliber, model, CAST(page AS VARCHAR), range || ' 米', weight || ' 千克']) AS value FROM n WHERE name = 'part#7') "
+        "UNION ALL SELECT 'parameters', ord, CASE ord WHEN 0 THEN '口径' WHEN 1 THEN '射程' ELSE '重量' END, CAST(display_value AS VARCHAR) || CASE ord WHEN 0 THEN ' mm' WHEN 1 THEN ' m' ELSE ' kg' END FROM prof WHERE name = 'part#7' "
+        "UNION ALL SELECT 'relations', CAST(k - 1 AS INT), relation_label, target FROM (SELECT relation_label, target, row_number() OVER (PARTITION BY relation_label ORDER BY target) AS k FROM (SELECT DISTINCT relation_label, target FROM e WHERE source = 'part#7')) WHERE k <= 12", _PROFILE),
+    "node_panel_land": graph(
+        "SELECT 'counts' AS section, 0 AS ord, 'in' AS key, CAST(count(*) AS VARCHAR) AS value FROM e WHERE target = 'NATION_3' UNION ALL SELECT 'counts', 1, 'out', CAST(count(*) AS VARCHAR) FROM e WHERE source = 'NATION_3' "
+        "UNION ALL SELECT 'related', CAST(k - 1 AS INT), '', source FROM (SELECT source, row_number() OVER (ORDER BY seq) AS k FROM e WHERE target = 'NATION_3' AND source_type = 'Artillery') WHERE k <= 18 "
+        "UNION ALL SELECT 'in', CAST(k - 1 AS INT), relation_label, source FROM (SELECT relation_label, source, row_number() OVER (ORDER BY seq) AS k FROM e WHERE target = 'NATION_3') WHERE k <= 8"),
+    "answer_local": graph("SELECT 'part#7 的局部知识如下。出边: ' || string_agg(relation_label || ' -> ' || target, '；' ORDER BY seq) AS answer FROM (SELECT * FROM e WHERE source = 'part#7' ORDER BY seq LIMIT 6)"),
+    "bound_columns": "WITH p AS (SELECT p_partkey AS k, 'part#' || p_partkey AS name, p_partkey % 50 AS page FROM part), l AS (SELECT page, 'part#' || max(k) AS last FROM p WHERE page < 40 GROUP BY page) "
+    "SELECT name, length(coalesce(text, '')) AS chars, CASE WHEN k % 3 = 0 THEN name || '.jpg' ELSE '' END AS image_path, CASE WHEN k % 3 = 0 THEN 'area' ELSE '' END AS image_method, CASE WHEN k % 3 = 0 THEN CAST(page AS VARCHAR) END AS old, last, (SELECT count(*) FROM p WHERE k % 3 = 0) AS n_parameters FROM p LEFT JOIN l USING (page) LEFT JOIN documents ON doc_id = k",
+    "edge_methods": graph("SELECT method, count(*) AS n FROM raw GROUP BY method"),
+    "store_countries": "SELECT s_name AS name FROM supplier UNION SELECT n_name FROM nation",
     "bbox_score": f"WITH {_BOX} SELECT seq, score, round(CASE WHEN NOT (bw < 132 OR bh < 64 OR bw * bh / 480000 < 0.03 OR y0 > 624) THEN 100 * (bw * bh / 480000) + CASE WHEN bw / greatest(bh, 1) BETWEEN 1.1 AND 3.8 THEN 18 ELSE 0 END + CASE WHEN y0 < 464 THEN 20 ELSE 0 END + CASE WHEN p_size > 28 THEN 18 WHEN p_size > 18 THEN 8 ELSE 0 END + CASE WHEN bw > 270 THEN 8 ELSE 0 END + CASE WHEN bh > 96 THEN 8 ELSE 0 END - CASE WHEN x0 < 24 OR x0 + bw > 576 THEN 6 ELSE 0 END - CASE WHEN y0 < 40 THEN 6 ELSE 0 END END, 4) AS area FROM sb",
     "best_candidate": f"WITH {_BOX} SELECT grp, seq, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, seq) AS k FROM sb WHERE score >= 0) WHERE k = 1",
     "dense_band": "WITH v AS (SELECT event_id // 100 AS grp, event_id % 100 AS idx, value, max(value) OVER (PARTITION BY event_id // 100) AS m FROM events), d AS (SELECT *, idx - row_number() OVER (PARTITION BY grp ORDER BY idx) AS r FROM v WHERE m > 0 AND value >= 0.1 * m), g AS (SELECT grp, r, min(idx) AS first, max(idx) AS last FROM d GROUP BY grp, r HAVING max(idx) - min(idx) + 1 >= 3) SELECT grp, first, last FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY last - first DESC, first) AS k FROM g) WHERE k = 1",
     "llm_json_parse": "SELECT p_partkey, p_brand AS source, 'MADE' AS relation, p_name AS target FROM part WHERE p_partkey % 4 <> 0",
     "stream_edges": f"SELECT DISTINCT 'doc#' || doc_id AS source, 'MENTIONS' AS relation, name AS target FROM documents, {_WORDS.format('')} WHERE contains(text, word)",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    **rich.ORACLES,
 }

@@ -11,7 +11,7 @@ from ..functions import match, text, valid
 from ..operators import assign, boxes, cards, clean, derive, dictionaries, edges, evaluate, graph, layout, outline, profile, retrieve
 from ..sources import store
 from ..streaming import incremental
-from . import star
+from . import rich, star
 from .star import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +369,30 @@ def event_windows(spark, sf):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def answer_local(spark, sf):
+    return spark.createDataFrame([(retrieve.answer(star.build(spark, sf).held(), CENTER),)], "answer string")
+
+
+def bound_columns(spark, sf):
+    """Texts, pictures and old parameters joined to parts by name, and the last part that names a page."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), star.part().alias("name"), (F.col("p_partkey") % 50).cast("int").alias("page"))
+    some = p.where("seq % 3 = 0")
+    old = some.select("name", F.create_map(F.lit("k"), F.col("page").cast("string")).alias("parameters"))
+    rows = assign.with_old_parameters(assign.with_images(assign.with_texts(p, star.texts(spark, sf)), some.select("name", F.concat("name", F.lit(".jpg")).alias("path")), some.select("name", F.lit("area").alias("method"))), old)
+    last = assign.entity_of_page(p, 40).select("page", F.col("name").alias("last"))
+    rows = rows.join(last, "page", "left").join(assign.parameter_total(rows))
+    return rows.select("name", F.length("text").alias("chars"), "image_path", "image_method", F.element_at("parameters", "k").alias("old"), "last", "n_parameters")
+
+
+def edge_methods(spark, sf):
+    return edges.counts(star.edges(spark, sf), "method")
+
+
+def store_countries(spark, sf):
+    names = star.entities(spark, sf)
+    return store.countries(names.where("label = 'Supplier'").select("name"), names)
+
+
 QUERIES: dict[str, Query] = {
     "stats_relations": on(graph.relation_counts), "stats_labels": on(graph.label_counts), "stats_totals": on(graph.totals), "stats_categories": on(graph.top_categories),
     "stats_top_targets": on(lambda g: graph.top_targets(g, "EQUIPPED_BY")), "stats_names": on(names_by_label),
@@ -387,5 +411,8 @@ QUERIES: dict[str, Query] = {
     "retrieve_score": retrieve_score, "retrieve_top": retrieve_top, "retrieve_context": retrieve_context, "retrieve_relevance": retrieve_relevance, "retrieve_matched": on(lambda g: retrieve.mentions(g, QUESTION)), "cards": card_fields,
     "qa_star": on(qa_star), "qa_argmax": on(qa_argmax), "qa_list": on(qa_list),
     "layout_positions": on(layout_positions), "layout_around": on(layout_around), "edge_midpoints": on(edge_midpoints),
+    "stats_bars": on(lambda g: graph.bars(graph.top_targets(g, "EQUIPPED_BY"), "target")), "node_panel": on(lambda g: profile.panel(g, CENTER)), "node_panel_land": on(lambda g: profile.panel(g, LAND)), "answer_local": answer_local,
+    "bound_columns": bound_columns, "edge_methods": edge_methods, "store_countries": store_countries,
     "bbox_score": bbox_score, "best_candidate": best_candidate, "dense_band": dense_band, "llm_json_parse": llm_json_parse, "stream_edges": stream_edges, "event_windows": event_windows,
+    **rich.QUERIES,
 }
