@@ -1,9 +1,11 @@
 """Site-relative removal of boilerplate lines, with DataFrame functions only.
 
 A line is boilerplate on a host if the share of the host's pages that contain it exceeds a ratio. The lines of a page are
-compared without the white space around them, by XXH64 and length; each page counts once for a line. Counting shuffles a
-row for each different (host, line) of a task, summed before the shuffle, so neither a host that has a third of all pages
-nor a line that stands on all of them makes a large group.
+compared without the white space around them, by XXH64 and length; each page counts once for a line, and equal pages of a host
+count as one, in the line's count and in the host's total, so that a group of copies is no boilerplate. A line must also stand
+on ``MIN_STANDS`` different pages. Counting shuffles a row for each different (host, page, line) of a task, keyed by all three,
+then a sum for each (host, line) of a task, so neither a host that has a third of all pages nor a line that stands on all
+of them makes a large group.
 
 The lines over the ratio come back to the pages as one array for each host. Such an array is short by construction: each
 of its lines stands on more than ``ratio`` of the host's pages, so there are fewer than (lines of an average page) / ratio.
@@ -40,7 +42,7 @@ def _hash(line: Column) -> Column:
     return F.when(line != "", F.xxhash64(line, F.length(line)))
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_stands: int = 1, copies: bool = True) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_stands: int = MIN_STANDS, copies: bool = False) -> DataFrame:
     """host, lines (sorted array of hashes): what exceeds the ratio and stands on ``min_stands`` pages, on each host that has
     such lines. Without ``copies``, pages of one host with equal texts (by XXH64 and length) are one page in all counts."""
     pages = df.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("host").isNotNull())
@@ -57,7 +59,7 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES, min_stands: int = 1, copies: bool = True) -> DataFrame:
+def without_boilerplate(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES, min_stands: int = MIN_STANDS, copies: bool = False) -> DataFrame:
     """The rows of df with boilerplate lines taken out of ``text``; other lines and their order stay, joined by \\n.
 
     With ``counts``, two columns follow: n_lines and n_dropped (both 0 for null text). Null text stays null and counts as a
@@ -95,8 +97,8 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
      b AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l),
-     t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-     o AS (SELECT source, bare FROM b WHERE bare <> '' GROUP BY source, bare HAVING count(DISTINCT doc_id) > 0.1 * (SELECT pages FROM t WHERE t.source = b.source)
+     t AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+     o AS (SELECT source, bare FROM b WHERE bare <> '' GROUP BY source, bare HAVING count(DISTINCT text) >= 3 AND count(DISTINCT text) > 0.1 * (SELECT pages FROM t WHERE t.source = b.source)
            AND (SELECT pages FROM t WHERE t.source = b.source) >= 5),
      f AS (SELECT b.*, o.bare IS NOT NULL AS gone FROM b LEFT JOIN o USING (source, bare)),
      g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS clean FROM f GROUP BY doc_id)

@@ -43,10 +43,10 @@ def test_edge_rows(spark):
     rows = [(1, "a", None), (2, "a", ""), (3, None, "menu\nx"), (4, None, "menu"), (5, "few", "menu\nmenu"), (5, "few", "menu"), (None, "a", "menu\nz"), (6, "a", "y" * 9000)]
     rows += [(k, rng.choice("ab"), "\n".join(rng.choice(["menu", " menu ", "", "foot\r", f"own {k}", "é"]) for _ in range(rng.randint(0, 7)))) for k in range(7, 80)]
     df = spark.createDataFrame([(k, h, t, 3, "m") for k, h, t in rows], "doc_id long, source string, text string, n_lines int, lines string")
-    for most in (1 << 20, 0):
-        got = without_boilerplate(df, ratio=0.4, min_pages=4, counts=True, broadcast_bytes=most)
+    for most, stands, copies in ((1 << 20, 3, False), (0, 3, False), (1 << 20, 1, True)):
+        got = without_boilerplate(df, ratio=0.4, min_pages=4, counts=True, broadcast_bytes=most, min_stands=stands, copies=copies)
         assert got.columns == [*df.columns, "_n_lines", "n_dropped"]
-        assert sorted(((r.doc_id, r.source, r.text, r["_n_lines"], r.n_dropped) for r in got.collect()), key=repr) == plain(rows, 0.4, 4)
+        assert sorted(((r.doc_id, r.source, r.text, r["_n_lines"], r.n_dropped) for r in got.collect()), key=repr) == plain(rows, 0.4, 4, stands, copies)
     assert without_boilerplate(df.limit(0)).count() == 0
 
 
