@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = v.NUMBER
 CJK = "[一-龥]"
 
 

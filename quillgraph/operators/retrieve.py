@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import text
+from ..vocabulary import EDGE, IRRELEVANT, LEAST, LONG, MENTION, MODEL, NAME, NEIGHBOUR, ONLY_FOUND, SHORT, TOP, UNSUPPORTED
 from . import graph
 from .graph import Graph
 
-TOP, NAME, MODEL, LONG, SHORT, EDGE, NEIGHBOUR, MENTION, LEAST = 4, 12, 8, 2, 1, 5, 3, 2, 3
-
 
 def scores(g: Graph, texts: DataFrame, question: str, label: str = "Artillery") -> DataFrame:
     """name, score of the nodes of a label: its name and model in the question, the question's tokens in what is known of it,
@@ -99,45 +98,40 @@ def _names(df: DataFrame, k: int) -> list[str]:
 
 
 def answer(g: Graph, question: str) -> str:
-    """An answer from the graph alone, by the first intent that fits. Texts are fixed values."""
+    """An answer from the graph alone, by the first intent that fits."""
     q = question.strip()
     if not q:
-        return "请输入问题。"
+        return v.ASK
     war, maker, ride, country = ((_names(graph.mentioned(g, q, x), 1) or [None])[0] for x in ("War", "Institution", "Chassis", "Country"))
     if war and maker and "哪" in q:
         found = _names(sources_with(g, ("PARTICIPATED_IN", war), ("DESIGNED_BY", maker)), 12)
-        return f"{war}中由{maker}设计或生产关联的火炮有: " + "；".join(found) if found else f"当前清洗后的图谱中未检索到同时满足“{war}”和“{maker}”条件的火炮。"
+        return (v.BOTH if found else v.NOT_BOTH).format(war=war, maker=maker, names="；".join(found))
     if ride and ("口径最大" in q or "最大口径" in q):
         best = largest(g, "USES_CHASSIS", ride).collect()
         if not best:
-            return f"当前清洗后的图谱中未检索到与 {ride} 相连且带口径属性的火炮。"
-        return f"基于{ride}的火炮中，口径最大的是 {best[0].name}，口径约为 {best[0].value:g} 毫米。"
+            return v.NO_LARGEST.format(ride=ride)
+        return v.LARGEST.format(ride=ride, name=best[0].name, value=best[0].value)
     if war and "哪些" in q:
         found = _names(sources_with(g, ("PARTICIPATED_IN", war)), 15)
-        return f"{war}关联火炮包括: " + "；".join(found) if found else f"当前图谱中没有检索到 {war} 的关联火炮。"
+        return (v.OF_WAR if found else v.NOT_OF_WAR).format(war=war, names="；".join(found))
     if country and ("研制" in q or "研发" in q or "developed" in q.lower()):
         found = _names(sources_with(g, ("DEVELOPED_IN", country)), 15)
-        return f"{country}研制的火炮示例: " + "；".join(found) if found else f"当前图谱中没有检索到 {country} 研制火炮。"
+        return (v.OF_COUNTRY if found else v.NOT_OF_COUNTRY).format(country=country, names="；".join(found))
     for name in _names(graph.find(g, q), 1):
         out = g.edges.where(F.col("source") == name).orderBy("seq").select(F.concat("relation_label", F.lit(" -> "), "target").alias("name"))
         back = g.edges.where(F.col("target") == name).orderBy("seq").select(F.concat("source", F.lit(" -> "), "relation_label").alias("name"))
-        parts = [f"{what}: {'；'.join(found)}" for what, df in (("出边", out), ("入边", back)) if (found := _names(df, 6))]
+        parts = [f"{what}: {'；'.join(found)}" for what, df in ((v.OUT, out), (v.IN, back)) if (found := _names(df, 6))]
         if parts:
-            return f"{name} 的局部知识如下。{' '.join(parts)}"
+            return v.LOCAL.format(name=name, edges=" ".join(parts))
     return UNSUPPORTED
 
 
-UNSUPPORTED = "暂不支持该问法。可尝试：`二战中使用了哪些克虏伯设计的火炮`、`基于M4谢尔曼底盘改造的火炮，口径最大的是多少`。"
-IRRELEVANT = "这个问题与当前知识库没有明显关联，我只能回答已构建火炮知识图谱范围内的问题。"
-ONLY_FOUND = "已找到相关知识库内容，但没有可用的语言模型，因此只能给出检索摘要：\n"
-
-
 def answer_with_context(g: Graph, texts: DataFrame, question: str, model: Callable[[str, list[str]], str] | None = None) -> dict:
     """answer, sources, used_model, is_relevant. model: (question, contexts) to answer, injected; without it the graph answers,
     and where it cannot, the first two contexts are shown."""
     q = question.strip()
     if not q:
-        return {"answer": "请输入问题。", "sources": [], "used_model": False, "is_relevant": False}
+        return {"answer": v.ASK, "sources": [], "used_model": False, "is_relevant": False}
     chosen = candidates(g, texts, q)
     if not relevance(chosen, mentions(g, q)).first().is_relevant:
         return {"answer": IRRELEVANT, "sources": [], "used_model": False, "is_relevant": False}
