@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a keyword by which it is looked up; shorter keywords are looked up whole.
 GRAM = 5
+#: Characters of the pieces that texts are cut to before runs are taken, so that the cost of a run does not grow with the text.
+PIECE = 200
 
 
 def matched(docs: DataFrame, words: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -18,7 +20,9 @@ def matched(docs: DataFrame, words: DataFrame, key: str = "doc_id", body: str =
     entries = words.where("word <> ''").select("name", "word", F.substring("word", 1, GRAM).alias("gram")).distinct()
     sizes = [r[0] for r in entries.select(F.length("gram")).distinct().collect()]  # GRAM at most
     rows = docs.select(F.col(key).alias("key"), F.col(body).alias("body")).where("body is not null")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - n + 1, F.lit(1))), lambda k: F.substring("body", k, F.lit(n)))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)), F.lit(PIECE))
+    pieces = rows.select("key", F.explode(F.transform(starts, lambda k: F.substring("body", k, F.lit(PIECE + GRAM - 1)))).alias("piece"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("piece") - n + 1, F.lit(1))), lambda k: F.substring("piece", k, F.lit(n)))
     grams = F.array_distinct(F.concat(*map(runs, sizes))) if sizes else F.array().cast("array<string>")
-    found = rows.select("key", F.explode(grams).alias("gram")).join(entries, "gram").select("key", "name", "word").distinct()
+    found = pieces.select("key", F.explode(grams).alias("gram")).join(entries, "gram").select("key", "name", "word").distinct()
     return rows.join(found, "key").where(F.contains("body", F.col("word"))).select(F.col("key").alias(key), "name").distinct()

@@ -12,7 +12,9 @@ from ..functions import text
 from ..operators import boxes, clean, edges, graph, retrieve
 from .star import table
 
-K = F.col("k")
+def _k() -> Column:
+    return F.col("k")
+
 
 
 def _pick(entries, n: Column) -> Column:
@@ -27,20 +29,20 @@ def _text(x: Column) -> Column:
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """seq, name, label, caliber, home, k of each part."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
-    name = F.concat(F.lit("R"), _text(K), F.when(K % 5 == 0, "自行榴弹炮").otherwise("火炮"))
-    return p.select(K.alias("seq"), name.alias("name"), F.lit("Artillery").alias("label"), F.concat(_text(K % 240 + 20), F.lit(v.UNIT)).alias("caliber"), _pick(v.NATIONS, F.floor(K / 2)).alias("home"), "k")
+    name = F.concat(F.lit("R"), _text(_k()), F.when(_k() % 5 == 0, "自行榴弹炮").otherwise("火炮"))
+    return p.select(_k().alias("seq"), name.alias("name"), F.lit("Artillery").alias("label"), F.concat(_text(_k() % 240 + 20), F.lit(v.UNIT)).alias("caliber"), _pick(v.NATIONS, F.floor(_k() / 2)).alias("home"), "k")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """seq, name, k, text, parameters."""
     numbers = F.concat(
-        F.lit("口径："), _text(K % 240 + 20), F.lit("毫米，射程:1,"), _text(K % 900 + 100), F.lit("米，重量 9,"), _text(K % 900 + 100), F.lit("千克；射速："), _text(K % 9 + 1), F.lit("发／分，全长：9."), _text(K % 10), F.lit("米"),
-        F.when(K % 2 == 0, F.concat(F.lit("，炮管长:5."), _text(K % 7), F.lit("米，全宽：3米，全高：2.5米"))).otherwise(""),
+        F.lit("口径："), _text(_k() % 240 + 20), F.lit("毫米，射程:1,"), _text(_k() % 900 + 100), F.lit("米，重量 9,"), _text(_k() % 900 + 100), F.lit("千克；射速："), _text(_k() % 9 + 1), F.lit("发／分，全长：9."), _text(_k() % 10), F.lit("米"),
+        F.when(_k() % 2 == 0, F.concat(F.lit("，炮管长:5."), _text(_k() % 7), F.lit("米，全宽：3米，全高：2.5米"))).otherwise(""),
     )
     body = F.concat(
-        F.when(K % 7 != 0, _pick(v.WARS, K)).otherwise("和平时期"), F.lit("使用，"), _pick(v.INSTITUTIONS, K), F.lit("生产，"), F.when(K % 4 == 0, _pick(v.DESIGNERS, F.floor(K / 4))).otherwise("佚名"), F.lit("设计。"),
-        _pick(v.CHASSIS, K), F.lit("；"), _pick(v.AMMUNITION, K), F.lit("；"), _pick(v.SUBTYPES, K), F.lit("。"), numbers,
-        F.lit("\n衍生型号\nR"), _text(K), F.lit("A  改进\nR"), _text(K + 1), F.lit("B\t说明\n火炮"), _text(K), F.lit("  无\nR"), _text(K), F.lit("  基型\n服役记录 "), _pick(v.NATIONS, K), F.lit("，"), _pick(v.BRANCHES, K),
+        F.when(_k() % 7 != 0, _pick(v.WARS, _k())).otherwise("和平时期"), F.lit("使用，"), _pick(v.INSTITUTIONS, _k()), F.lit("生产，"), F.when(_k() % 4 == 0, _pick(v.DESIGNERS, F.floor(_k() / 4))).otherwise("佚名"), F.lit("设计。"),
+        _pick(v.CHASSIS, _k()), F.lit("；"), _pick(v.AMMUNITION, _k()), F.lit("；"), _pick(v.SUBTYPES, _k()), F.lit("。"), numbers,
+        F.lit("\n衍生型号\nR"), _text(_k()), F.lit("A  改进\nR"), _text(_k() + 1), F.lit("B\t说明\n火炮"), _text(_k()), F.lit("  无\nR"), _text(_k()), F.lit("  基型\n服役记录 "), _pick(v.NATIONS, _k()), F.lit("，"), _pick(v.BRANCHES, _k()),
     )
     rows = entities(spark, sf).withColumn("text", body)
     return rows.select("seq", "name", "k", "text", text.parameters(F.col("text")).alias("parameters"))
@@ -60,8 +62,8 @@ def rule_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
-    to = lambda k, r, t, kind: F.struct(F.array(K, F.lit(k).cast("long")).alias("seq"), F.lit(r).alias("relation"), t.alias("target"), F.lit(kind).alias("target_type"))
-    both = F.explode(F.array(to(0, "DEVELOPED_IN", F.col("home"), "Country"), to(1, "IS_TYPE_OF", F.when(K % 5 == 0, "榴弹炮").otherwise("迫击炮"), "Category"))).alias("e")
+    to = lambda k, r, t, kind: F.struct(F.array(_k(), F.lit(k).cast("long")).alias("seq"), F.lit(r).alias("relation"), t.alias("target"), F.lit(kind).alias("target_type"))
+    both = F.explode(F.array(to(0, "DEVELOPED_IN", F.col("home"), "Country"), to(1, "IS_TYPE_OF", F.when(_k() % 5 == 0, "榴弹炮").otherwise("迫击炮"), "Category"))).alias("e")
     return entities(spark, sf).select("name", both).select("e.seq", F.col("name").alias("source"), F.lit("Artillery").alias("source_type"), "e.relation", "e.target", "e.target_type", F.lit("base").alias("method"), F.lit("").alias("description"))
 
 
@@ -69,9 +71,9 @@ def _kept(spark: SparkSession, sf: str) -> DataFrame:
     """Clean edges of all eight relations: from texts by rules, and some from a model whose chassis are no chassis."""
     own = entities(spark, sf)
     replies = lambda prompts: [f'{{"relations": [{{"source": "{p}", "source_type": "Artillery", "relation": "USES_CHASSIS", "target": "坦克", "target_type": "Chassis"}}]}}' for p in prompts]
-    asked = edges.model_edges(own.where(K % 9 == 0), replies, "name").withColumns({"method": F.lit("llm"), "description": F.lit("")})
+    asked = edges.model_edges(own.where(_k() % 9 == 0), replies, "name").withColumns({"method": F.lit("llm"), "description": F.lit("")})
     deep = edges.rule_edges(docs(spark, sf)).unionByName(asked)
-    return clean.clean_edges(_base(spark, sf), deep, own.where(K % 11 != 0).select("name"), own.select("seq", "name", "home"))
+    return clean.clean_edges(_base(spark, sf), deep, own.where(_k() % 11 != 0).select("name"), own.select("seq", "name", "home"))
 
 
 def clean_edges_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,10 +107,10 @@ def answers_with_context(spark: SparkSession, sf: str) -> DataFrame:
 def nodes_repeated(spark: SparkSession, sf: str) -> DataFrame:
     """Three rows for each name: the second has an empty or no value, the third another one for some; the labels differ."""
     rows = entities(spark, sf).select("k", "name", "label", "caliber")
-    more = F.when(K % 3 == 0, F.lit("")).when(K % 3 == 1, F.concat(F.lit("c"), _text(K)))
+    more = F.when(_k() % 3 == 0, F.lit("")).when(_k() % 3 == 1, F.concat(F.lit("c"), _text(_k())))
     second = rows.select("k", "name", F.lit("Country").alias("label"), more.alias("caliber"))
-    third = rows.where(K % 2 == 0).select("k", "name", F.lit("War").alias("label"), F.lit("last").alias("caliber"))
-    numbered = [r.withColumn("seq", K * 3 + n) for n, r in enumerate((rows, second, third))]
+    third = rows.where(_k() % 2 == 0).select("k", "name", F.lit("War").alias("label"), F.lit("last").alias("caliber"))
+    numbered = [r.withColumn("seq", _k() * 3 + n) for n, r in enumerate((rows, second, third))]
     return graph.merged_nodes(numbered[0].unionByName(numbered[1]).unionByName(numbered[2]).drop("k")).select("name", "label", "caliber")
 
 

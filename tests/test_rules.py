@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import vocabulary as v
 from quillgraph.functions import match, text, valid
-from quillgraph.operators import assign, boxes, cards, clean, derive, edges, evaluate, graph, layout, outline, profile, retrieve
+from quillgraph.operators import assign, boxes, cards, clean, derive, dictionaries, edges, evaluate, graph, layout, outline, profile, retrieve
 from quillgraph.sources import files, store
 from quillgraph.streaming import incremental
 
@@ -240,3 +240,11 @@ def test_order_does_not_depend_on_partitions(spark, sf, partitions):
         assert {q: sorted(map(repr, QUERIES[q](spark, sf).collect())) for q in want} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_dictionary_table(spark):
+    """Keywords of all lengths, across pieces of a long text, in repeated and null texts; empty keywords match nothing."""
+    words = spark.createDataFrame([("a", "xy"), ("a", "needle in"), ("b", "needle"), ("c", "é"), ("d", ""), ("e", "absent")], "name string, word string")
+    docs = spark.createDataFrame([(1, "." * 197 + "needle in" + "." * 500), (1, "xy"), (2, None), (3, ""), (4, "né"), (5, "needl")], "doc_id long, text string")
+    assert {tuple(r) for r in dictionaries.matched(docs, words).collect()} == {(1, "a"), (1, "b"), (4, "c")}
+    assert dictionaries.matched(docs, words.limit(0)).count() == 0
