@@ -12,11 +12,11 @@ from ..functions import text
 from ..operators import boxes, clean, edges, graph, retrieve
 from .star import table
 
+
 def _k() -> Column:
     return F.col("k")
 
 
-
 def _pick(entries, n: Column) -> Column:
     """First keyword of the entry whose place is n modulo the dictionary's length."""
     return F.get(F.array(*(F.lit(words[0]) for _, words in entries)), F.pmod(n, F.lit(len(entries))).cast("int"))
