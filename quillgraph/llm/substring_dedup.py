@@ -43,7 +43,7 @@ FAN_IN = 2
 #: Places of one gram in a run from which they lie apart, unbucketed.
 HOT = 10_000
 #: Windows that a task compares among themselves before they go to their owners.
-BUFFER = 1 << 18
+BUFFER = 1 << 15
 #: Bits of the filter that keeps texts without candidates from being shuffled, for each candidate and at most; beyond that it
 #: lets more and more texts pass, and all are shuffled in the end. No text with candidates is held back.
 FILTER_BITS, FILTER_MOST = 16, 1 << 26

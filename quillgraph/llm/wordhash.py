@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Bytes of texts that are worked on at once, and different words that a worker keeps hashes of before it starts anew.
-SLICE, CACHE_WORDS = 1 << 20, 500_000
+SLICE, CACHE_WORDS = 1 << 20, 100_000
 #: Longer words are hashed each time.
 CACHE_BYTES = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
