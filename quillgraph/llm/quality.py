@@ -107,13 +107,16 @@ class Words:
         out[-1] = np.log1p(len(rows)) / 10
         return out
 
-    def around(self, rows: np.ndarray) -> np.ndarray:
-        """For each word the sum of the vectors of the words around it."""
+    def around(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """For each word the sum of the vectors of the words around it in its text; of: the text of each word."""
         v = self.vectors[rows]
         out = np.zeros_like(v)
         for d in range(1, AROUND + 1):
             out[:-d] += v[d:]
             out[d:] += v[:-d]
+            apart = np.flatnonzero(of[:-d] != of[d:])
+            out[apart] -= v[apart + d]
+            out[apart + d] -= v[apart]
         return out
 
 
@@ -183,17 +186,29 @@ def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
     The sums are of whole numbers, so they are the same however documents are dealt to tasks."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros((BUCKETS, SIZE), np.int64)
+        words, sums, held = Words(), np.zeros((BUCKETS, SIZE), np.int64), []
+
+        def flush() -> None:
+            at, of = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            held.clear()
+            for a in range(0, len(at), PIECE):  # with the words around a piece of a long text
+                low, high = max(0, a - AROUND), min(len(at), a + PIECE + AROUND)
+                around = words.around(at[low:high], of[low:high])[a - low : a - low + PIECE]
+                bucket = words.bucket[at[a : a + PIECE]]
+                order = np.argsort(bucket, kind="stable")
+                first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                sums[bucket[order][first]] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
+
+        n = 0
         for batch in batches:
             for text in batch.column(0):
-                at = words.rows(text.as_py())
-                for a in range(0, len(at), PIECE):  # a long text in pieces, each with the words around it
-                    low, high = max(0, a - AROUND), min(len(at), a + PIECE + AROUND)
-                    around = words.around(at[low:high])[a - low : a - low + PIECE]
-                    bucket = words.bucket[at[a : a + PIECE]]
-                    order = np.argsort(bucket, kind="stable")
-                    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                    sums[bucket[order][first]] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
+                if held and (n >= PIECE or len(words.row) > CACHE_WORDS):  # rows change when the cache starts anew
+                    flush()
+                    n = 0
+                held.append(words.rows(text.as_py()))
+                n += len(held[-1])
+        if held:
+            flush()
         some = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in sums[some].T)], names=["bucket", *columns])
 
