@@ -12,6 +12,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op3_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .piece_codec import op12_piece_codec
 from .quality import op8_quality
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op12_piece_codec": op12_piece_codec,
     }
 
 
