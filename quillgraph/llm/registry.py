@@ -12,6 +12,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op3_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .phrases import OP13_SQL, op13_phrases
 from .piece_codec import op12_piece_codec
 from .quality import op8_quality
 from .simhash import op10_simhash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
         "op12_piece_codec": op12_piece_codec,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": OP4_SQL,
         "op5_chat": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
+        "op13_phrases": OP13_SQL,
     }
