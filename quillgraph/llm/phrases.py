@@ -27,8 +27,8 @@ from .wordhash import mix
 
 #: Words of the longest phrase; least frequency of a phrase; phrases reported for each language.
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
-#: Bytes of texts that are counted together before they leave a task.
-SLICE_BYTES = 12 << 20
+#: Bytes of texts that are counted together before they leave a task, and of those that are taken apart into words at once.
+SLICE_BYTES, TEXT_BYTES = 32 << 20, 2 << 20
 #: Bits of the hash of two neighbours: the filter has at most 2**28 bits, 32 MB, and 2**20 at least.
 MIN_BITS, MAX_BITS = 20, 28
 #: A word or pair is dealt out finer if it has more than one in so many of the words that the texts' bytes stand for.
@@ -51,13 +51,22 @@ class _Numbers(dict):
 class Slice:
     """Texts of one language as one array of word numbers; 0 stands between pieces."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
-        data = _END.join(texts).translate(bytes(_TABLE))
-        numbers = _Numbers({_END: 0})
-        words = data.replace(_END, b" \xff ").split()
+    def __init__(self, lang: str):
         self.lang = lang
-        self.ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.words = list(numbers)
+        self.numbers = _Numbers({_END: 0})
+        self.parts: list[np.ndarray] = []
+        self.waiting: list[bytes] = []
+
+    def number(self) -> None:
+        """Turns the texts that wait into numbers."""
+        words = _END.join([*self.waiting, b""]).translate(bytes(_TABLE)).replace(_END, b" \xff ").split()
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.waiting = []
+
+    def whole(self) -> Slice:
+        self.number()
+        self.ids, self.words, self.parts = np.concatenate(self.parts), list(self.numbers), []
+        return self
 
     def buckets(self, bits: int) -> np.ndarray:
         """Bucket of each place and the next as a pair, -1 where a piece ends; one less than places."""
@@ -70,19 +79,23 @@ class Slice:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     """Slices of the rows (lang, bytes of the text)."""
-    held: dict[str, list[bytes]] = {}
-    size = 0
+    held: dict[str, Slice] = {}
+    size = waiting = 0
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            held.setdefault(lang.as_py(), []).append(text)
-            size += len(text)
+            lang, text = lang.as_py(), text.as_py()
+            held.setdefault(lang, Slice(lang)).waiting.append(text)
+            size, waiting = size + len(text), waiting + len(text)
+            if waiting >= TEXT_BYTES:
+                for k in held:
+                    held[k].number()
+                waiting = 0
             if size >= SLICE_BYTES:
                 for k in list(held):
-                    yield Slice(k, held.pop(k))
+                    yield held.pop(k).whole()
                 size = 0
     for k in list(held):
-        yield Slice(k, held.pop(k))
+        yield held.pop(k).whole()
 
 
 def _rows(df: DataFrame, lang: str, text: str) -> DataFrame:
@@ -162,7 +175,7 @@ def _suffixes(rows: DataFrame, bits: int, frequent, hot_pairs: np.ndarray, hot_w
             place = np.flatnonzero(on)
             if not len(place):
                 continue
-            wide = np.concatenate((s.ids, np.zeros(MAX_WORDS, np.int64)))
+            wide = np.concatenate((s.ids, np.zeros(MAX_WORDS, np.int32)))
             column, going = [wide[place]], np.ones(len(place), bool)
             for k in range(1, MAX_WORDS):
                 going = going & on[place + k - 1]
