@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
 from .bpe_codec import op7_bpe_codec
 from .chat import OP5_SQL, op5_chat
 from .decontaminate import OP4_SQL, op4_decontaminate
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op11_alignment": op11_alignment,
         "op12_piece_codec": op12_piece_codec,
         "op13_phrases": op13_phrases,
     }
