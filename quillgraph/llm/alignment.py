@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -21,18 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, byte_bpe
-from .bpe_codec import LONG_PIECE, encode_long
 from .common import table, written
 from .piece_codec import gathered
-from .pieces import PieceModel, piece_model
+from .pieces import BITS, Merges, PieceModel, piece_model
 
 #: Code points of texts in a block (a longer text is a block of its own).
 BLOCK_CHARS = 2 << 20
 #: Chunks of texts, and their code points, that a worker keeps before it starts anew.
-KEPT_CHUNKS, KEPT_CHARS = 150_000, 3_000_000
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 4_000_000
 
-#: A chunk begins with a single space between two characters that are none; no token of either tokenizer reaches over it.
-chunks_of = re.compile(r" ?(?:\S++|\s{2,}+|[^\S ]|\s\Z)++").findall
+
+def chunk_pattern(model: PieceModel) -> re.Pattern:
+    """Cuts a text where no token of either tokenizer reaches over: in front of a single space between two characters that
+    are none, around such a line feed, and between a letter and a mark that stand side by side in no piece."""
+    beside = [(chr(k >> BITS), chr(k & ((1 << BITS) - 1))) for k in model.beside[:-1].tolist()]
+    held = {y for x, y in beside if re.fullmatch(r"[^\W\d_]", x)} | {c for pair in beside for c in pair if c == "\n"}
+    line = r"\n(?=\S)|" * ("\n" not in held)
+    mark = "".join(c for c in ".,;:!?" if c not in held)
+    word = rf" ?[^\W\d_]++(?=[{mark}])|" if mark else ""
+    return re.compile(rf"{line}{word} ?(?:\S++|\s{{2,}}+|[^\S {'\\n' * bool(line)}]|\s\Z)++")
 
 
 class Chunks:
@@ -42,15 +50,17 @@ class Chunks:
         self.a, self.b = a, b
         self.a_size = np.array([len(t) for t in a.token_bytes], np.int64)
         self.b_size = np.array([len(t) for t in b.surface], np.int64)
+        self.a_merges = Merges(a.merges)
+        self.a_bytes = np.array([a.ids[bytes([k])] for k in range(256)], np.int64)
+        self.chunks_of = chunk_pattern(b).findall
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.group_numbers: dict[tuple[bytes, bytes], int] = {}
-        self.chars = 0
-        self.n_a, self.n_b, self.good, self.at, self.groups = ([] for _ in range(5))
         self.tokens: list[tuple[bytes, bytes]] = []
-        self.arrays = None
+        self.chars = 0
+        self.kept = [(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(1, np.int64))]
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.numbers]
@@ -59,23 +69,23 @@ class Chunks:
             new = list(chunks)
         if not new:
             return
-        packed, split = self.a.packed, self.a.split
-        ids = [b"".join([encode_long(self.a, p) if len(p) > LONG_PIECE else packed[p] for p in split(c)]) for c in new]
-        a = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        a_at = np.array([0, *accumulate(len(i) // 4 for i in ids)], np.int64)
+        a, a_at = self._bytes(new)
         b, b_at = self.b.encode_words(new)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         good = self._equal(new, b, b_at)
         groups, at = self._cut(a, a_at, a_end, b, b_at, b_end, good)
         self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
         self.chars += sum(map(len, new))
-        self.n_a += np.diff(a_at).tolist()
-        self.n_b += np.diff(b_at).tolist()
-        self.good += good
-        base = len(self.groups)
-        self.at += (at[:-1] + base).tolist()
-        self.groups += groups
-        self.arrays = None
+        self.kept.append((np.diff(a_at), np.diff(b_at), np.array(good), np.array(groups, np.int64), at[1:] + sum(len(k[3]) for k in self.kept)))
+
+    def _bytes(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(A-ids, where each chunk's begin and the end of the last), by the same rounds over bytes."""
+        pieces = [[len(p.encode()) for p in self.a.split(c)] for c in chunks]
+        raw = np.frombuffer("".join(chunks).encode(), np.uint8)
+        sizes = [n for own in pieces for n in own]
+        out = self.a_merges.merged(self.a_bytes[raw], np.repeat(np.arange(len(sizes)), sizes))
+        left = np.flatnonzero(out >= 0)
+        return out[left].astype(np.int32), np.concatenate(([0], np.searchsorted(left, np.cumsum(list(map(sum, pieces))))))
 
     def _equal(self, chunks: list[str], b: np.ndarray, b_at: np.ndarray) -> list[bool]:
         """Whether B's tokens have the chunk's own bytes; A's always have."""
@@ -111,15 +121,18 @@ class Chunks:
         return out, first
 
     def of(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """For known chunks, one after the other: (numbers, A-tokens, B-tokens, whether good, numbers of groups, groups of
-        each)."""
-        if self.arrays is None:
-            at = np.array([*self.at, len(self.groups)], np.int64)
-            self.arrays = np.array(self.n_a, np.int64), np.array(self.n_b, np.int64), np.array(self.good, bool), np.array(self.groups, np.int64), at
-        n_a, n_b, good, groups, at = self.arrays
+        """For known chunks, one after the other: (A-tokens, B-tokens, whether good, numbers of groups, groups of each)."""
+        self.kept = [tuple(map(np.concatenate, zip(*self.kept, strict=True)))]
+        n_a, n_b, good, groups, at = self.kept[0]
         number = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
         sizes = at[number + 1] - at[number]
-        return number, n_a[number], n_b[number], good[number], groups[gathered(at[number], sizes)], sizes
+        return n_a[number], n_b[number], good[number], groups[gathered(at[number], sizes)], sizes
+
+
+@lru_cache(maxsize=2)
+def known_chunks(byte_tokenizer: str, piece_tokenizer: str) -> Chunks:
+    """One for each pair of files and Python worker."""
+    return Chunks(byte_bpe(byte_tokenizer), piece_model(piece_tokenizer))
 
 
 def expanded(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +155,7 @@ def blocks(df: DataFrame, byte_tokenizer: str, piece_tokenizer: str, key: str =
     columns = f"block long, docs array<struct<key:{kind.simpleString()},n_a:long,n_b:long,groups:array<int>>>, dictionary array<struct<a:binary,b:binary>>, pairs array<struct<a:int,b:int,docs:long>>"
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(byte_bpe(byte_tokenizer), piece_model(piece_tokenizer))
+        chunks = known_chunks(byte_tokenizer, piece_tokenizer)
         block = TaskContext.get().partitionId() << 33
         keys, texts, size = [], [], 0
         for batch in batches:
@@ -162,11 +175,11 @@ def blocks(df: DataFrame, byte_tokenizer: str, piece_tokenizer: str, key: str =
 def _block(chunks: Chunks, block: int, keys: list[pa.Scalar], texts: list[str]) -> pa.RecordBatch:
     own, count = [], []
     for t in texts:
-        of_text = chunks_of(" " + t) if t else []
+        of_text = chunks.chunks_of(" " + t) if t else []
         own += of_text
         count.append(len(of_text))
     chunks.learn(set(own))
-    number, n_a, n_b, good, groups, sizes = chunks.of(own)
+    n_a, n_b, good, groups, sizes = chunks.of(own)
     at = np.concatenate(([0], np.cumsum(np.array(count, np.int64))))
     doc = np.repeat(np.arange(len(texts)), count)
     bad = np.zeros(len(texts), bool)

@@ -51,52 +51,23 @@ def fields(data: bytes) -> list[tuple[int, int | bytes]]:
     return out
 
 
-class PieceModel:
-    """The tokenizer of one file; ids equal the library's for whole texts without begin or end ids."""
+class Merges:
+    """Pairs of symbols that merge: (left, right) -> (rank, what they become). Lower ranks merge first."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            model = fields(f.read())
-        trainer, normalizer = (dict(fields(next((v for n, v in model if n == k), b""))) for k in (2, 3))
-        if trainer.get(3) != BPE or not trainer.get(35) or trainer.get(24) or normalizer.get(2):
-            raise ValueError("a BPE model with byte fallback and without character maps is needed")
-        if normalizer.get(3, 1) != 1 or normalizer.get(4, 1) != 0 or normalizer.get(5, 1) != 1:
-            raise ValueError("only models that add a space in front and keep white space are supported")
-        self.pieces, scores, self.kinds = [], [], []
-        for piece in (dict(fields(v)) for n, v in model if n == 1):
-            self.pieces.append(piece.get(1, b"").decode())
-            scores.append(struct.unpack("<f", piece.get(2, bytes(4)))[0])
-            self.kinds.append(piece.get(3, NORMAL))
-        if set(self.kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE}:
-            raise ValueError("user-defined and unused pieces are not supported")
-        ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
-        self.byte_ids = np.zeros(256, np.int32)
-        for i, p in enumerate(self.pieces):
-            if self.kinds[i] == BYTE:
-                self.byte_ids[int(p[3:5], 16)] = i
-        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
-        self.surface = [self._surface(i, p) for i, p in enumerate(self.pieces)]
-        self.symbols = np.arange(OTHER, OTHER + 0x110000, dtype=np.int64)  # of each code point
-        for p, i in ids.items():
-            if len(p) == 1:
-                self.symbols[ord(p)] = i
-        self.symbols[ord(" ")] = self.symbols[ord(SPACE)]
-        rank = np.unique(-np.array(scores), return_inverse=True)[1]
-        pairs = {(ids[p[:k]], ids[p[k:]]): i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
         keys = np.array([a << BITS | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
+        ranks, made = (np.array([p[k] for p in pairs.values()], np.int64)[order] for k in (0, 1))
         self.keys = np.append(keys[order], np.int64(2**62))
         self.found = {k: n for n, k in enumerate(self.keys[:-1].tolist())}
-        self.made = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], 0)
-        self.ranks = np.append(rank[self.made[:-1]].astype(np.int32), NEVER)
-        beside = {(ord(p[k]) << BITS | ord(p[k + 1])) for p in ids for k in range(len(p) - 1)}
-        self.beside = np.append(np.sort(np.fromiter(beside, np.int64, len(beside))), np.int64(2**62))
-
-    def _surface(self, i: int, piece: str) -> bytes:
-        kind = self.kinds[i]
-        return bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
+        self.ranks, self.made = np.append(ranks.astype(np.int32), NEVER), np.append(made, 0)
 
-    # ---- encoding
+    def merged(self, symbols: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """What each segment's symbols merge to, at the places where they start; -1 elsewhere."""
+        out = np.full(len(symbols), -1, np.int64)
+        if len(symbols):
+            self._rounds(symbols, segment, out)
+        return out
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the table of pairs; its end where there is none."""
@@ -104,34 +75,6 @@ class PieceModel:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, at, len(self.keys) - 1)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, one after the other, where each word's ids start and the end of the last). A word is any text
-        of whose neighbours in front and behind no merge takes part; spaces count as U+2581, none is put in front."""
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        code[code == ord(" ")] = ord(SPACE)
-        out, symbols = np.full(len(code), -1, np.int64), self.symbols[code]
-        if len(code):
-            near = code[:-1] << BITS | code[1:]
-            apart = self.beside[np.searchsorted(self.beside, near)] != near
-            apart[ends[(ends > 0) & (ends < len(code))] - 1] = True
-            self._rounds(symbols, np.concatenate(([0], np.cumsum(apart))), out)
-        left = np.flatnonzero(out >= 0)
-        ids, sizes = self._bytes(out[left])
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, np.concatenate(([0], offsets[np.searchsorted(left, ends)])).astype(np.int64)
-
-    def _bytes(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of them each symbol gives): a character that is no piece gives one for each of its bytes."""
-        sizes, odd = np.ones(len(symbols), np.int64), np.flatnonzero(symbols >= OTHER)
-        if not len(odd):
-            return symbols.astype(np.int32), sizes
-        raw = [chr(c - OTHER).encode("utf-8", "surrogatepass") for c in symbols[odd].tolist()]
-        sizes[odd] = list(map(len, raw))
-        ids = np.repeat(np.where(symbols < OTHER, symbols, -1), sizes).astype(np.int32)
-        ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        return ids, sizes
-
     def _rounds(self, symbol: np.ndarray, segment: np.ndarray, out: np.ndarray) -> None:
         """Puts each segment's last symbols into out, at the places where they start."""
         place = np.arange(len(symbol))
@@ -213,7 +156,72 @@ class PieceModel:
             stand = [k for k in range(n) if size[k]]
             out[place[part[stand]]] = [own[k] for k in stand]
 
-    # ---- decoding
+
+class PieceModel:
+    """The tokenizer of one file; ids equal the library's for whole texts without begin or end ids."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            model = fields(f.read())
+        trainer, normalizer = (dict(fields(next((v for n, v in model if n == k), b""))) for k in (2, 3))
+        if trainer.get(3) != BPE or not trainer.get(35) or trainer.get(24) or normalizer.get(2):
+            raise ValueError("a BPE model with byte fallback and without character maps is needed")
+        if normalizer.get(3, 1) != 1 or normalizer.get(4, 1) != 0 or normalizer.get(5, 1) != 1:
+            raise ValueError("only models that add a space in front and keep white space are supported")
+        self.pieces, scores, self.kinds = [], [], []
+        for piece in (dict(fields(v)) for n, v in model if n == 1):
+            self.pieces.append(piece.get(1, b"").decode())
+            scores.append(struct.unpack("<f", piece.get(2, bytes(4)))[0])
+            self.kinds.append(piece.get(3, NORMAL))
+        if set(self.kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE}:
+            raise ValueError("user-defined and unused pieces are not supported")
+        ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
+        self.byte_ids = np.zeros(256, np.int32)
+        for i, p in enumerate(self.pieces):
+            if self.kinds[i] == BYTE:
+                self.byte_ids[int(p[3:5], 16)] = i
+        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
+        self.surface = [self._surface(i, p) for i, p in enumerate(self.pieces)]
+        self.symbols = np.arange(OTHER, OTHER + 0x110000, dtype=np.int64)  # of each code point
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        self.symbols[ord(" ")] = self.symbols[ord(SPACE)]
+        rank = np.unique(-np.array(scores), return_inverse=True)[1]
+        pairs = {(ids[p[:k]], ids[p[k:]]): (int(rank[i]), i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        self.merges = Merges(pairs)
+        beside = {(ord(p[k]) << BITS | ord(p[k + 1])) for p in ids for k in range(len(p) - 1)}
+        self.beside = np.append(np.sort(np.fromiter(beside, np.int64, len(beside))), np.int64(2**62))
+
+    def _surface(self, i: int, piece: str) -> bytes:
+        kind = self.kinds[i]
+        return bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other, where each word's ids start and the end of the last). A word is any text
+        of whose neighbours in front and behind no merge takes part; spaces count as U+2581, none is put in front."""
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        code[code == ord(" ")] = ord(SPACE)
+        near = code[:-1] << BITS | code[1:]
+        apart = self.beside[np.searchsorted(self.beside, near)] != near
+        apart[ends[(ends > 0) & (ends < len(code))] - 1] = True
+        out = self.merges.merged(self.symbols[code], np.concatenate(([0], np.cumsum(apart))))
+        left = np.flatnonzero(out >= 0)
+        ids, sizes = self._bytes(out[left])
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.concatenate(([0], offsets[np.searchsorted(left, ends)])).astype(np.int64)
+
+    def _bytes(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each symbol gives): a character that is no piece gives one for each of its bytes."""
+        sizes, odd = np.ones(len(symbols), np.int64), np.flatnonzero(symbols >= OTHER)
+        if not len(odd):
+            return symbols.astype(np.int32), sizes
+        raw = [chr(c - OTHER).encode("utf-8", "surrogatepass") for c in symbols[odd].tolist()]
+        sizes[odd] = list(map(len, raw))
+        ids = np.repeat(np.where(symbols < OTHER, symbols, -1), sizes).astype(np.int32)
+        ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return ids, sizes
 
     def decode(self, ids: list[int]) -> str:
         """As the library: the space in front goes, a byte that is no part of a character becomes U+FFFD; control ids give

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from quillgraph.llm import alignment
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-PARTS = ["a", "the", " ", "  ", "\n", "\t", " \n", "é", "中", "国", "😀", "1234", "!", "<|endoftext|>", "<s>", "ing", "unhappi", "ness", "  x", "\xa0", "　", "--------", "'ll", "x" * 30, "\x1c", "\x85", "\r\n"]
+PARTS = ["a", "the", ",", ".", "?", "1.", "d.5", "½", "e\u0301", " ", "  ", "\n", "\t", " \n", "é", "中", "国", "😀", "1234", "!", "<|endoftext|>", "<s>", "ing", "unhappi", "ness", "  x", "\xa0", "　", "--------", "'ll", "x" * 30, "\x1c", "\x85", "\r\n"]
 
 
 @pytest.fixture(scope="module")
