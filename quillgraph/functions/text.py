@@ -28,6 +28,18 @@ def number(x: Column, kilometres: bool = False) -> Column:
     return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
+def general(x: Column) -> Column:
+    """A double as %g writes it: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on."""
+    short = F.format_string("%.5e", x)  # rounded to six digits before the form is chosen
+    power = F.regexp_extract(short, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    plain = F.when(power == 5, F.format_string("%.0f", x)).when(power == 4, F.format_string("%.1f", x)).when(power == 3, F.format_string("%.2f", x)).when(power == 2, F.format_string("%.3f", x))
+    plain = plain.when(power == 1, F.format_string("%.4f", x)).when(power == 0, F.format_string("%.5f", x)).when(power == -1, F.format_string("%.6f", x))
+    plain = plain.when(power == -2, F.format_string("%.7f", x)).when(power == -3, F.format_string("%.8f", x)).otherwise(F.format_string("%.9f", x))
+    exponent = F.concat(bare(F.regexp_extract(short, r"^(.*)e", 1)), F.lit("e"), F.regexp_extract(short, r"e(.*)$", 1))
+    return F.when(x == 0, "0").when(power.between(-4, 5), bare(plain)).otherwise(exponent)
+
+
 def tokens(x: Column, stop_words: list[str] = v.STOP_WORDS) -> Column:
     """Latin words and runs of two and more Chinese characters, in order, without stop words."""
     found = F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9][A-Za-z0-9\-]*|[一-龥]{2,}"), F.lit(0))

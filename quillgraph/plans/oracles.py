@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rich
+from . import bulk, rich
 from .star import GRAPH_SQL
 
 _Q = "is part#7 of brand#7 in the promo range, as nation_3 says of thble?"
@@ -161,4 +161,5 @@ ORACLES: dict[str, str] = {
     "stream_edges": f"SELECT DISTINCT 'doc#' || doc_id AS source, 'MENTIONS' AS relation, name AS target FROM documents, {_WORDS.format('')} WHERE contains(text, word)",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     **rich.ORACLES,
+    **bulk.ORACLES,
 }

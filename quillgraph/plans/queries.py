@@ -11,7 +11,7 @@ from ..functions import match, text, valid
 from ..operators import assign, boxes, cards, clean, derive, dictionaries, edges, evaluate, graph, layout, outline, profile, retrieve
 from ..sources import store
 from ..streaming import incremental
-from . import rich, star
+from . import bulk, rich, star
 from .star import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -415,4 +415,5 @@ QUERIES: dict[str, Query] = {
     "bound_columns": bound_columns, "edge_methods": edge_methods, "store_countries": store_countries,
     "bbox_score": bbox_score, "best_candidate": best_candidate, "dense_band": dense_band, "llm_json_parse": llm_json_parse, "stream_edges": stream_edges, "event_windows": event_windows,
     **rich.QUERIES,
+    **bulk.QUERIES,
 }
