@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..operators import answers, lookup
+from ..sources import versions
+from ..sources.held import shared_dir
 from . import rich, star
 from .star import GRAPH_SQL, table
 
@@ -82,6 +86,31 @@ def answers_context_bulk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", F.substring_index("answer", "\n", 2).alias("head"), F.array_join("sources", ",").alias("sources"), "used_model", "is_relevant")
 
 
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three imports into a kept store: nodes and edges by kind and name in each version, and each import's counts."""
+    kept = versions.Store(spark, f"{shared_dir(spark)}/quillgraph/store-{uuid.uuid4().hex}", 16)
+    n, e = star.entities(spark, sf), star.edges(spark, sf)
+    for k in range(3):  # parts by key; an edge comes with the batch of its part, or one later
+        kept.upsert(n.where(F.pmod("seq", F.lit(3)) == k), e.where(F.expr(f"(seq % 3 + seq div {star.OWN} % 3) % 3 = {k}")))
+    rows = None
+    for number in kept.versions():
+        nodes, edges = kept.read(number)
+        of = lambda df, c, kind: df.groupBy(c).agg(F.count("*").alias("n")).select(F.lit(number).cast("long").alias("version"), F.lit(kind).alias("kind"), F.col(c).alias("name"), "n")  # noqa: E731, B023
+        now = of(nodes, "label", "node").unionByName(of(edges, "relation", "edge"))
+        rows = now if rows is None else rows.unionByName(now)
+    counts = kept.history().select("version", F.lit("import").alias("kind"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("success", "failed", "unmatched")))))
+    return rows.unionByName(counts)
+
+
+def store_upserted(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of nodes after three imports of the same parts, each of fewer of them and with other sizes."""
+    kept = versions.Store(spark, f"{shared_dir(spark)}/quillgraph/store-{uuid.uuid4().hex}", 16)
+    n = star.entities(spark, sf).where("label = 'Artillery'")
+    for k in (1, 2, 3):
+        kept.upsert(n.where(F.col("seq") % k == 0).withColumn("caliber", F.concat(F.lit(f"v{k} "), "caliber")), star.edges(spark, sf).limit(0))
+    return kept.read()[0].select("label", "name", "caliber", "model", "page")
+
+
 _NORM = r"lower(regexp_replace({}, '[\s\x{{3000}}\x{{00A0}}]+', '', 'g'))"
 
 
@@ -140,9 +169,19 @@ _CONTEXT = f"""SELECT id, '{v.ONLY_FOUND}'.replace(chr(10), '') || chr(10) || '
     FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, name) AS place FROM top) GROUP BY id
     UNION ALL SELECT -1 - item_id, CASE WHEN item_id % 2 = 0 THEN '{v.IRRELEVANT}' ELSE '{v.ASK}' END, '', false, false FROM benchmark""".replace(f"'{v.ONLY_FOUND}'.replace(chr(10), '')", f"'{v.ONLY_FOUND.strip()}'")
 
+_VERSIONS = """, b AS (SELECT *, ((seq % 3) + (seq // 1000000000) % 3) % 3 + 1 AS batch FROM raw),
+    nb AS (SELECT label, name, min(seq % 3 + 1) AS batch FROM ent GROUP BY ALL),
+    m AS (SELECT b.*, coalesce(s.batch <= b.batch AND t.batch <= b.batch, false) AS ok FROM b LEFT JOIN nb s ON s.label = source_type AND s.name = source LEFT JOIN nb t ON t.label = target_type AND t.name = target),
+    v AS (SELECT unnest([1, 2, 3]) AS version)
+    SELECT CAST(version AS BIGINT) AS version, 'node' AS kind, label AS name, count(*) AS n FROM v JOIN nb ON batch <= version GROUP BY ALL
+    UNION ALL SELECT version, 'edge', relation, count(*) FROM v JOIN (SELECT relation, source_type, source, target_type, target, min(batch) AS batch FROM m WHERE ok GROUP BY ALL) ON batch <= version GROUP BY ALL
+    UNION ALL SELECT version, 'import', 'success', count(batch) FROM v LEFT JOIN m ON batch = version GROUP BY version
+    UNION ALL SELECT version, 'import', 'failed', 0 FROM v
+    UNION ALL SELECT version, 'import', 'unmatched', count(batch) FILTER (NOT ok) FROM v LEFT JOIN m ON batch = version GROUP BY version"""
+
 QUERIES = {
     "questions_topk": questions_topk, "questions_mentions": questions_mentions, "questions_relevance": questions_relevance, "questions_find": questions_find, "answers_bulk": answers_bulk,
-    "answers_local_bulk": answers_local, "answers_context_bulk": answers_context_bulk,
+    "answers_local_bulk": answers_local, "answers_context_bulk": answers_context_bulk, "store_versions": store_versions, "store_upserted": store_upserted,
 }
 ORACLES = {
     "questions_topk": _graph("SELECT * FROM top", _QUESTIONS, _TOPK),
@@ -152,4 +191,6 @@ ORACLES = {
     "answers_bulk": rich._sql(_ANSWERS, rich._PARAMETERS, rich._RULES, _INTENTS),
     "answers_local_bulk": _graph(_LOCAL, _LOOKUPS.replace("{q}", "trim(question)")),
     "answers_context_bulk": _graph(_CONTEXT, _QUESTIONS, _TOPK),
+    "store_versions": f"WITH {GRAPH_SQL}{_VERSIONS}",
+    "store_upserted": _graph("SELECT label, name, 'v' || CASE WHEN seq % 3 = 0 THEN 3 WHEN seq % 2 = 0 THEN 2 ELSE 1 END || ' ' || caliber AS caliber, model, page FROM ent WHERE label = 'Artillery'"),
 }
