@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Last page of the last entity, and pages of which the starts are looked at in one task.
 LAST_PAGE, BLOCK = 367, 4096
 
@@ -26,9 +28,18 @@ def ranges(found: DataFrame, last_page: int = LAST_PAGE, by: list[str] | None =
 
 
 def pages_of(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """A row for each entity and page of its range: an equi-join on the range's page numbers, which are disjoint."""
-    numbered = ranged.where(F.col("first") <= F.col("last")).withColumn("page_no", F.explode(F.sequence("first", "last")))
-    return numbered.join(pages.withColumnRenamed("page", "page_no"), [*(by or []), "page_no"])
+    """A row for each entity and page of its range. Ranges are disjoint, so the range of a page is the last one that starts by it,
+    if it has not ended: starts and the numbers of the pages that are there are scanned in one order. A range costs its start,
+    however long it is; texts are joined by page afterwards."""
+    by, known = by or [], F.lit(True)
+    for b in by:
+        known = known & F.col(b).isNotNull()
+    own = F.struct(*(c for c in ranged.columns if c not in by))
+    starts = ranged.where((F.col("first") <= F.col("last")) & known).select(*by, F.col("first").cast("long").alias("page_no"), F.lit(0).alias("_kind"), own.alias("_range"))
+    numbers = pages.where(F.col("page").isNotNull() & known).select(*by, F.col("page").cast("long").alias("page_no"), F.lit(1).alias("_kind")).distinct()
+    rows = scan.scanned(starts.unionByName(numbers, allowMissingColumns=True), ["page_no", "_kind"], {"_held": ("last", F.col("_range"))}, by)
+    numbered = rows.where((F.col("_kind") == 1) & (F.col("page_no") <= F.col("_held.last"))).select(*by, F.col("page_no").cast(pages.schema["page"].dataType).alias("page_no"), "_held.*")
+    return numbered.join(pages.withColumnRenamed("page", "page_no"), [*by, "page_no"])
 
 
 def texts(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:

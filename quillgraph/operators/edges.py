@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import match, text
+from ..sources.replies import Replies
 from . import derive
 
 EDGE = ["source", "source_type", "relation", "target", "target_type"]
@@ -87,19 +88,26 @@ def merged(known: DataFrame, more: DataFrame, method: str = "llm") -> DataFrame:
     return known.unionByName(fresh.withColumn("method", F.lit(method)), allowMissingColumns=True)
 
 
-def model_edges(docs: DataFrame, replies: Callable[[list[str]], list[str | None]], body: str = "text", prompt_chars: int = 3000) -> DataFrame:
+def prompts(docs: DataFrame, body: str = "text", prompt_chars: int = 3000) -> DataFrame:
+    """seq, prompt of the rows with a text."""
+    return docs.select(F.col("seq").cast("long").alias("seq"), F.substring(F.col(body), 1, prompt_chars).alias("prompt")).where("prompt is not null")
+
+
+def model_edges(docs: DataFrame, replies: Callable[[list[str]], list[str | None]], body: str = "text", prompt_chars: int = 3000, kept: Replies | None = None) -> DataFrame:
     """seq (an array: the row's and the place in its reply) and edges that an injected model's replies hold.
 
     replies: a batch of prompt texts to as many reply texts, None on failure; it runs on the executors, once an Arrow batch.
-    Rows with null texts are not asked about. Malformed replies and null ends give none."""
+    Rows with null texts are not asked about. Malformed replies and null ends give none. With ``kept`` only prompts without a
+    kept reply are asked, each once, and replies are written before they are used."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = replies(batch.column(1).to_pylist()) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["seq", "reply"])
 
-    asked = docs.select(F.col("seq").cast("long").alias("seq"), F.substring(F.col(body), 1, prompt_chars).alias("prompt")).where("prompt is not null")
-    rows = asked.mapInArrow(ask, "seq long, reply string").select("seq", text.relations_in_reply(F.col("reply")).alias("r"))
+    asked = prompts(docs, body, prompt_chars)
+    said = asked.mapInArrow(ask, "seq long, reply string") if kept is None else kept.answered(asked, replies)
+    rows = said.select("seq", text.relations_in_reply(F.col("reply")).alias("r"))
     found = rows.select("seq", F.posexplode("r").alias("k", "e")).select(_place("seq", "k"), "e.*")
     return found.where("source <> '' and relation <> '' and target <> ''")
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import match
+from . import scan
 
 
 def filled_forward(df: DataFrame, value: Column, header: Column, order: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Adds ``out``: the last non-null value among header rows so far. A header with a null value does not reset it.
 
-    Give ``by`` (a document, say) wherever there is one: without it all rows pass through one task, as a single outline may."""
-    so_far = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    Groups of ``by`` (documents, say) are each read by one task; without it the rows are scanned by ranges of their order."""
+    if not by:
+        return scan.scanned(df, [order], {out: ("last", F.when(header, value))})
+    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(F.when(header, value), ignorenulls=True).over(so_far))
 
 

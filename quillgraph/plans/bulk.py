@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..operators import answers, lookup
+from ..operators import answers, assign, clean, edges, lookup, outline, scan
 from ..sources import versions
 from ..sources.held import shared_dir
+from ..sources.replies import Replies
 from . import rich, star
 from .star import GRAPH_SQL, table
 
@@ -94,9 +95,9 @@ def store_versions(spark: SparkSession, sf: str) -> DataFrame:
         kept.upsert(n.where(F.pmod("seq", F.lit(3)) == k), e.where(F.expr(f"(seq % 3 + seq div {star.OWN} % 3) % 3 = {k}")))
     rows = None
     for number in kept.versions():
-        nodes, edges = kept.read(number)
+        nodes, links = kept.read(number)
         of = lambda df, c, kind: df.groupBy(c).agg(F.count("*").alias("n")).select(F.lit(number).cast("long").alias("version"), F.lit(kind).alias("kind"), F.col(c).alias("name"), "n")  # noqa: E731, B023
-        now = of(nodes, "label", "node").unionByName(of(edges, "relation", "edge"))
+        now = of(nodes, "label", "node").unionByName(of(links, "relation", "edge"))
         rows = now if rows is None else rows.unionByName(now)
     counts = kept.history().select("version", F.lit("import").alias("kind"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("success", "failed", "unmatched")))))
     return rows.unionByName(counts)
@@ -111,6 +112,41 @@ def store_upserted(spark: SparkSession, sf: str) -> DataFrame:
     return kept.read()[0].select("label", "name", "caliber", "model", "page")
 
 
+def scan_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all events in one order: the last error's value so far, how many clicks, the highest value, with no key to part them by."""
+    kind = F.col("event_type")
+    steps = {"last_error": ("last", F.when(kind == "error", F.col("value"))), "clicks": ("sum", F.when(kind == "click", F.lit(1)).cast("long")), "highest": ("max", F.col("value"))}
+    return scan.scanned(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_id"], steps).select("event_id", *steps)
+
+
+def ffill_unkeyed(spark: SparkSession, sf: str) -> DataFrame:
+    """The role of the last turn that no user wrote, over all conversations as one outline."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "role").distinct()
+    one = c.groupBy("seq").agg(F.min("role").alias("role"))
+    return outline.filled_forward(one, F.col("role"), F.col("role") != "user", "seq", "head")
+
+
+def range_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders to the supplier whose range they fall into: ranges of 70 keys, the last one of a billion."""
+    starts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 70).alias("page"))
+    pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page"))
+    rows = assign.pages_of(assign.ranges(starts, 10**9), pages)
+    return rows.groupBy("name").agg(F.min("page_no").alias("first_key"), F.max("page_no").alias("last_key"), F.count("*").alias("n"))
+
+
+def edges_from_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of a model whose replies are kept, after cleaning: those of every ninth part but the ones that it always fails on."""
+    def ask(prompts: list[str]) -> list[str | None]:
+        reply = '{{"relations": [{{"source": "{0}", "source_type": "Artillery", "relation": "USES_CHASSIS", "target": "模型底盘", "target_type": "Chassis"}}]}}'
+        return [None if "3" in p else reply.format(p) for p in prompts]
+
+    kept = Replies(spark, f"{shared_dir(spark)}/quillgraph/replies-{uuid.uuid4().hex}", "m", tries=2, rounds=3)
+    own = rich.entities(spark, sf)
+    asked = edges.model_edges(own.where(F.col("k") % 9 == 0), ask, "name", kept=kept).withColumns({"method": F.lit("llm"), "description": F.lit("")})
+    clean_rows = clean.clean_edges(rich._base(spark, sf), asked, own.select("name"), own.select("seq", "name", "home"))
+    return clean_rows.where("method = 'llm'").select("source", "relation", "target", "method")
+
+
 _NORM = r"lower(regexp_replace({}, '[\s\x{{3000}}\x{{00A0}}]+', '', 'g'))"
 
 
@@ -182,6 +218,7 @@ _VERSIONS = """, b AS (SELECT *, ((seq % 3) + (seq // 1000000000) % 3) % 3 + 1 A
 QUERIES = {
     "questions_topk": questions_topk, "questions_mentions": questions_mentions, "questions_relevance": questions_relevance, "questions_find": questions_find, "answers_bulk": answers_bulk,
     "answers_local_bulk": answers_local, "answers_context_bulk": answers_context_bulk, "store_versions": store_versions, "store_upserted": store_upserted,
+    "scan_events": scan_events, "ffill_unkeyed": ffill_unkeyed, "range_long": range_long, "edges_from_model": edges_from_model,
 }
 ORACLES = {
     "questions_topk": _graph("SELECT * FROM top", _QUESTIONS, _TOPK),
@@ -191,6 +228,12 @@ ORACLES = {
     "answers_bulk": rich._sql(_ANSWERS, rich._PARAMETERS, rich._RULES, _INTENTS),
     "answers_local_bulk": _graph(_LOCAL, _LOOKUPS.replace("{q}", "trim(question)")),
     "answers_context_bulk": _graph(_CONTEXT, _QUESTIONS, _TOPK),
+    "scan_events": """SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER w AS last_error, CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) OVER w AS BIGINT) AS clicks, max(value) OVER w AS highest
+        FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "ffill_unkeyed": """SELECT seq, role, last_value(CASE WHEN role <> 'user' THEN role END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head
+        FROM (SELECT conv_id * 1000 + turn AS seq, min(role) AS role FROM conversations GROUP BY ALL)""",
+    "range_long": "SELECT s_name AS name, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS n FROM orders ASOF JOIN supplier ON o_orderkey >= s_suppkey * 70 GROUP BY ALL",
+    "edges_from_model": "SELECT 'R' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '自行榴弹炮' ELSE '火炮' END AS source, 'USES_CHASSIS' AS relation, '模型底盘' AS target, 'llm' AS method FROM part WHERE p_partkey % 9 = 0 AND NOT contains(CAST(p_partkey AS VARCHAR), '3')",
     "store_versions": f"WITH {GRAPH_SQL}{_VERSIONS}",
     "store_upserted": _graph("SELECT label, name, 'v' || CASE WHEN seq % 3 = 0 THEN 3 WHEN seq % 2 = 0 THEN 2 ELSE 1 END || ' ' || caliber AS caliber, model, page FROM ent WHERE label = 'Artillery'"),
 }

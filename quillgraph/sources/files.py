@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +53,35 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return read_object(spark, path, schemas.GRAPH_FILE).select(F.explode("entities").alias("label", "names")).select("label", F.explode("names").alias("name"))
 
 
-def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path; made and written first if it is not there."""
-    if not exists(spark, path):
-        make().write.parquet(path)
+def fingerprint(spark: SparkSession, inputs: list[str], parameters: dict | None = None) -> str:
+    """Digest of all files under the inputs (path, size, time) and of parameters; a missing input counts as such."""
+    conf, seen = spark._jsc.hadoopConfiguration(), []
+    for path in inputs:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            seen.append((path, None, None))
+            continue
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps([sorted(seen, key=str), parameters or {}], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame], inputs: list[str] | None = None, parameters: dict | None = None) -> DataFrame:
+    """The table at path. It is made where none is, where its write has not ended, and where it was made of other inputs or by
+    other parameters than these: beside it, with their fingerprint in it, and renamed when all is written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, now = at.getFileSystem(spark._jsc.hadoopConfiguration()), fingerprint(spark, inputs or [], parameters)
+    if not (exists(spark, f"{path}/_SUCCESS") and exists(spark, f"{path}/_made_of_{now}")):
+        draft = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        make().write.parquet(draft)
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{draft}/_made_of_{now}"), True).close()
+        fs.delete(at, True)
+        fs.mkdirs(at.getParent())
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), at):
+            raise OSError(f"{draft} could not be renamed to {path}")
     return spark.read.parquet(path)
 
 
