@@ -244,7 +244,7 @@ class ByteBPE:
     def measured(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of text, code points of its longest prefix of at most ``budget`` tokens), from one split into pieces and
         their stored counts. Counts at ends of pieces only rise, so the search looks into pieces from the last that
-        starts within the budget."""
+        starts within the budget, or from one behind it that white space joins to it: there counts fall again."""
         if self.special_re is not None and self.special_re.search(text):
             n = self.count(text)
             return n, len(text) if n <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1]) if budget > 0 else 0
@@ -256,7 +256,10 @@ class ByteBPE:
         if budget <= 0:
             return n, 0
         starts = list(accumulate(sizes, initial=0))
-        for k in range(bisect_right(starts, budget, hi=len(pieces)) - 1, -1, -1):
+        last = bisect_right(starts, budget, hi=len(pieces)) - 1
+        while last + 1 < len(pieces) and pieces[last].isspace() and pieces[last + 1][:1].isspace():
+            last += 1
+        for k in range(last, -1, -1):
             own = self._piece_prefixes(pieces[k], pieces[k - 1] if k else "")
             fits = [j for j, c in enumerate(own, 1) if starts[k] + c <= budget]
             if fits:

@@ -38,6 +38,22 @@ def test_every_prefix(library):
             assert bpe.longest_fit(text, budget) == max(k for k, c in enumerate(want) if c <= budget)
 
 
+def test_every_budget_in_white_space(library):
+    bpe = byte_bpe(PATH)
+    rng = random.Random(11)
+    parts = [" ", "\xa0", "\u3000", "\n", "\t", "x", "'ll", "'re", "'", " \xa0", "ab"]
+    some = [" \xa0 \xa0x"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    known = {}
+    for text in some:
+        want = []
+        for k in range(len(text) + 1):
+            if text[:k] not in known:
+                known[text[:k]] = len(ids(library, text[:k]))
+            want.append(known[text[:k]])
+        for budget in range(want[-1] + 1):
+            assert bpe.measured(text, budget) == (want[-1], max(k for k, c in enumerate(want) if c <= budget)), (text, budget)
+
+
 def test_every_byte_and_long_pieces(library):
     bpe = byte_bpe(PATH)
     rng = random.Random(3)
