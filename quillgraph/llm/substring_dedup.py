@@ -385,9 +385,9 @@ class FingerprintIndex:
         for earlier in self.runs:
             for old in self._places(earlier):
                 for new in mine:
-                    met = old.join(new.select("gram"), "gram", "left_semi")
+                    met = old.join(new.select("gram").distinct(), "gram", "left_semi")  # a gram of a third of all documents is one row
                     places.append(met.withColumn("new", F.lit(False)))
-                    repeated = repeated.unionByName(met.select("gram"))
+                    repeated = repeated.unionByName(met.select("gram").distinct())
         repeated = repeated.distinct()
         places += [new.join(repeated, "gram", "left_semi").withColumn("new", F.lit(True)) for new in mine]
         found = places[0]

@@ -108,3 +108,13 @@ def test_index_is_taken_up_again(spark, tmp_path):
             spark.sql(f"DROP TABLE {run.wholes}")
     assert sorted(out, key=repr) == plain(rows, 7)
     assert len(index.runs) == 1 and len(list((tmp_path / "index").glob("wholes_*"))) == 1 and len(list((tmp_path / "index").glob("grams_*"))) == 1
+
+
+def test_one_gram_in_a_third_of_all_documents(spark):
+    rng = random.Random(9)
+    hot = " ".join(f"h{k}" for k in range(60))
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(20)) + (f" {hot}" if k % 3 == 0 else "")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r[0]: r for r in plain(rows)}
+    assert sum(r[2] for r in want.values()) == 999 * 60
+    assert got(repeated_passages(df, hot=50)) == sorted(want.values(), key=repr)
