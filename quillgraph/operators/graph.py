@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
@@ -116,12 +116,17 @@ def relation_groups(g: Graph, name: str) -> DataFrame:
     return out.unionByName(back).groupBy("relation_label").agg(F.sort_array(F.collect_set("m")).alias("members"))
 
 
+def _rank(priority: list[str]) -> Column:
+    at = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("relation")).cast("int"), F.lit(0))
+    return F.when(at > 0, at).otherwise(99)
+
+
 def one_hop(g: Graph, center: str, most: int = 14, priority: list[str] = v.PRIORITY) -> Graph:
     """A node with its neighbours, ``most`` nodes at most: neighbours are taken in as their edges come, by priority of the
     relation, then target, then source; all edges to those taken in stay. A self loop shows twice, once for each end."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("relation")).cast("int"), F.lit(0))
-    sides = [g.edges.where(F.col(e) == center).withColumn("other", F.col(o)).withColumn("side", F.lit(k)) for k, (e, o) in enumerate((("source", "target"), ("target", "source")))]
-    rows = sides[0].unionByName(sides[1]).withColumn("rank", F.when(rank > 0, rank).otherwise(99))
+    ends = [F.when(F.col(e) == center, F.struct(F.col(o).alias("other"), F.lit(k).alias("side"))) for k, (e, o) in enumerate((("source", "target"), ("target", "source")))]
+    rows = g.edges.where((F.col("source") == center) | (F.col("target") == center)).withColumn("_end", F.explode(F.array(*ends))).where("_end is not null")
+    rows = rows.select(*g.edges.columns, "_end.other", "_end.side", _rank(priority).alias("rank"))
     place = F.struct("rank", "target", "source", "side", "seq")
     firsts = rows.where(F.col("other") != center).groupBy("other").agg(F.min(place).alias("first")).orderBy("first").limit(most - 1)
     taken = firsts.select("other").unionByName(g.nodes.sparkSession.range(1).select(F.lit(center).alias("other")))
@@ -129,6 +134,23 @@ def one_hop(g: Graph, center: str, most: int = 14, priority: list[str] = v.PRIOR
     return Graph(g.nodes.join(taken.withColumnRenamed("other", "name"), "name", "left_semi"), edges)
 
 
+def neighbourhoods(g: Graph, centers: DataFrame, most: int = 14, priority: list[str] = v.PRIORITY, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(center and the nodes, center and the edges) of ``one_hop`` around each of many centers. centers: name.
+
+    A neighbour's first edge is a combining minimum. The best neighbours are chosen twice: of each center's share in each
+    of ``salts`` parts, then of these few, so a hub is not one task's; only edges to those taken are looked up again."""
+    asked = centers.select(F.col("name").alias("center")).where("center is not null").distinct()
+    ends = F.explode(F.array(*(F.struct(F.col(e).alias("center"), F.col(o).alias("other"), F.lit(k).alias("side")) for k, (e, o) in enumerate((("source", "target"), ("target", "source"))))))
+    rows = g.edges.withColumn("_end", ends).select(*g.edges.columns, "_end.*", _rank(priority).alias("rank")).join(asked, "center", "left_semi")
+    firsts = rows.where(F.col("other") != F.col("center")).groupBy("center", "other").agg(F.min(F.struct("rank", "target", "source", "side", "seq")).alias("first"))
+    firsts = firsts.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(salts)))
+    for keys in (["center", "salt"], ["center"]):
+        firsts = firsts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first"))).where(F.col("place") < most)
+    taken = firsts.select("center", "other").unionByName(asked.select("center", F.col("center").alias("other")))
+    edges = rows.join(taken, ["center", "other"], "left_semi").select("center", *g.edges.columns)
+    return g.nodes.join(taken.withColumnRenamed("other", "name"), "name").select("center", *g.nodes.columns), edges
+
+
 def related(g: Graph, name: str, label: str = "Artillery") -> DataFrame:
     """Names of a label next to a node, in either direction, sorted."""
     to = g.edges.where((F.col("source") == name) & (F.col("target_type") == label)).select(F.col("target").alias("name"))

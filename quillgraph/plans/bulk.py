@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..operators import answers, assign, clean, edges, lookup, outline, scan
+from ..operators import answers, assign, clean, edges, graph, lookup, outline, scan
 from ..sources import versions
 from ..sources.held import shared_dir
 from ..sources.replies import Replies
@@ -112,6 +112,12 @@ def store_upserted(spark: SparkSession, sf: str) -> DataFrame:
     return kept.read()[0].select("label", "name", "caliber", "model", "page")
 
 
+def neighbourhoods(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges around all nations at once, and around one part in each hundred."""
+    n, p = table(spark, sf, "nation").select(F.col("n_name").alias("name")), table(spark, sf, "part").where("p_partkey % 100 = 0").select(star.part().alias("name"))
+    return graph.neighbourhoods(star.build(spark, sf).held(), n.unionByName(p))[1].select("center", "source", "relation", "target")
+
+
 def scan_events(spark: SparkSession, sf: str) -> DataFrame:
     """Of all events in one order: the last error's value so far, how many clicks, the highest value, with no key to part them by."""
     kind = F.col("event_type")
@@ -218,7 +224,7 @@ _VERSIONS = """, b AS (SELECT *, ((seq % 3) + (seq // 1000000000) % 3) % 3 + 1 A
 QUERIES = {
     "questions_topk": questions_topk, "questions_mentions": questions_mentions, "questions_relevance": questions_relevance, "questions_find": questions_find, "answers_bulk": answers_bulk,
     "answers_local_bulk": answers_local, "answers_context_bulk": answers_context_bulk, "store_versions": store_versions, "store_upserted": store_upserted,
-    "scan_events": scan_events, "ffill_unkeyed": ffill_unkeyed, "range_long": range_long, "edges_from_model": edges_from_model,
+    "neighbourhoods": neighbourhoods, "scan_events": scan_events, "ffill_unkeyed": ffill_unkeyed, "range_long": range_long, "edges_from_model": edges_from_model,
 }
 ORACLES = {
     "questions_topk": _graph("SELECT * FROM top", _QUESTIONS, _TOPK),
@@ -228,6 +234,11 @@ ORACLES = {
     "answers_bulk": rich._sql(_ANSWERS, rich._PARAMETERS, rich._RULES, _INTENTS),
     "answers_local_bulk": _graph(_LOCAL, _LOOKUPS.replace("{q}", "trim(question)")),
     "answers_context_bulk": _graph(_CONTEXT, _QUESTIONS, _TOPK),
+    "neighbourhoods": _graph("SELECT center, source, relation, target FROM num WHERE other = center OR (center, other) IN (SELECT (center, other) FROM tk)", """c AS (SELECT n_name AS center FROM nation UNION ALL SELECT 'part#' || p_partkey FROM part WHERE p_partkey % 100 = 0),
+    hop AS (SELECT *, CASE relation WHEN 'DEVELOPED_IN' THEN 1 WHEN 'IS_TYPE_OF' THEN 2 WHEN 'DESIGNED_BY' THEN 3 WHEN 'EQUIPPED_BY' THEN 7 ELSE 99 END AS rk
+            FROM (SELECT center, e.*, target AS other, 0 AS side FROM e JOIN c ON source = center UNION ALL SELECT center, e.*, source, 1 FROM e JOIN c ON target = center)),
+    num AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY rk, target, source, side, seq) AS rn FROM hop),
+    tk AS (SELECT center, other FROM num WHERE other <> center GROUP BY center, other QUALIFY row_number() OVER (PARTITION BY center ORDER BY min(rn)) <= 13)"""),
     "scan_events": """SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER w AS last_error, CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) OVER w AS BIGINT) AS clicks, max(value) OVER w AS highest
         FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "ffill_unkeyed": """SELECT seq, role, last_value(CASE WHEN role <> 'user' THEN role END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head
