@@ -42,7 +42,7 @@ def general(x: Column) -> Column:
 
 def tokens(x: Column, stop_words: list[str] = v.STOP_WORDS) -> Column:
     """Latin words and runs of two and more Chinese characters, in order, without stop words."""
-    found = F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9][A-Za-z0-9\-]*|[一-龥]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(x, F.lit(v.TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(stop_words)) if stop_words else found
 
 

@@ -282,5 +282,7 @@ UNSUPPORTED = "暂不支持该问法。可尝试：`二战中使用了哪些克
 IRRELEVANT = "这个问题与当前知识库没有明显关联，我只能回答已构建火炮知识图谱范围内的问题。"
 ONLY_FOUND = "已找到相关知识库内容，但没有可用的语言模型，因此只能给出检索摘要：\n"
 
+#: A word of a question: Latin letters and digits, or two and more Chinese characters.
+TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-]*|[一-龥]{2,}"
 #: A number, as a measured value gives it.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

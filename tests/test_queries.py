@@ -10,7 +10,7 @@ import pytest
 from quillgraph.plans.oracles import ORACLES
 from quillgraph.plans.queries import QUERIES
 
-#: A table function has no form in SQL; its rows are checked in test_derive.
+#: A table function has no form in SQL; its rows are checked in test_rules.
 NO_SQL = {"derivative_table"}
 
 
