@@ -12,7 +12,8 @@ backslash of the output says by the letter behind it what was there.
 
 No conversation is gathered to cut it. Turns are dealt by ranges of their order, so that a long conversation lies in many
 tasks; numbers are places in a range plus what earlier ranges have. Spans are then chosen inside chunks of ``CHUNK`` turns
-from token counts alone: a window ends with its chunk, and history does not reach over it. Only ``read_back``, which is asked
+from prefix sums alone: a span's end and the beginning of its history are searched for in the chunk's sums, by halves. A window
+ends with its chunk, and history does not reach over it. Only ``read_back``, which is asked
 for a digest of each conversation, brings the turns of one together.
 """
 
@@ -89,33 +90,50 @@ def _numbered(placed: DataFrame) -> DataFrame:
     return slim.join(parts, ["c", "part"]).select("c", (F.col("first") + F.col("at") - F.col("low")).alias("n"), "at", "tokens", "system")
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """c, chunk, t: array of n, at, before (tokens of the chunk's turns before this one), all: tokens of the chunk."""
+    rows = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK))
+    before = F.sum("tokens").over(Window.partitionBy("c", "chunk").orderBy("n")) - F.col("tokens")  # CHUNK rows at most
+    rows = rows.select("c", "chunk", "n", "at", "tokens", before.alias("before"))
+    return rows.groupBy("c", "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "at", "before"))).alias("t"), F.sum("tokens").alias("all"))
+
+
 def _spans(chunks: DataFrame, budget: int, history: int) -> DataFrame:
-    """Adds spans to chunks (chunk, t: array of n, at, tokens; system_at, system_tokens): for each window the index of its first
-    turn, how many turns before it are repeated, whether the system turn is."""
-    tok = F.transform("t", lambda x: x["tokens"])
+    """Adds spans to chunks (those of ``_chunks``; system_at, system_tokens): for each window the index of its first turn, how
+    many turns before it are repeated, whether the system turn is, the index behind its last turn."""
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(CHUNK.bit_length()))))
     has = F.col("system_at").isNotNull()
     least = F.when((F.col("chunk") == 0) & has, 1).otherwise(0)  # history does not repeat the system turn
 
-    def repeated(i: Column, room: Column) -> Column:
-        low = F.greatest(least, i - HISTORY_TURNS)
-        none = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("turns"), F.lit(True).alias("on"))
-        more = lambda s, x: F.when(s["on"] & (s["sum"] + x <= room), F.struct((s["sum"] + x).alias("sum"), (s["turns"] + 1).alias("turns"), F.lit(True).alias("on"))).otherwise(F.struct(s["sum"].alias("sum"), s["turns"].alias("turns"), F.lit(False).alias("on")))
-        return F.aggregate(F.reverse(F.slice(tok, low + 1, F.greatest(i - low, F.lit(0)))), none, more)
+    def upto(i: Column) -> Column:
+        return F.coalesce(F.get("t", i)["before"], F.col("all"))
+
+    def furthest(most: Column, fits) -> Column:
+        """The largest number from 0 to ``most`` that fits, where each smaller one fits too."""
+        return F.aggregate(halves, F.lit(0), lambda k, d: F.when((k + d <= most) & fits(k + d), k + d).otherwise(k))
+
+    def bound(x: Column, then) -> Column:
+        """``then`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(x), then), 0)
+
+    def opened(i: Column) -> Column:
+        own = upto(i + 1) - upto(i)
+        kept = has & ~((F.col("chunk") == 0) & (i == 0)) & (F.col("system_tokens") + own <= budget)
+        room = F.lit(budget).cast("long") - F.when(F.coalesce(kept, F.lit(False)), F.col("system_tokens")).otherwise(0)
+
+        def spanned(r: Column, back: Column) -> Column:
+            further = furthest(F.size("t") - i - 1, lambda k: upto(i + 1 + k) - upto(i - back) <= r["room"])
+            return F.struct(i.alias("first"), back.alias("back"), r["kept"].alias("kept"), (i + 1 + further).alias("end"))
 
-    def opened(a: Column, i: Column) -> Column:
-        x = F.get(tok, i)
-        kept = has & ~((F.col("chunk") == 0) & (i == 0)) & (F.col("system_tokens") + x <= budget)
-        own = x + F.when(kept, F.col("system_tokens")).otherwise(0)
-        back = repeated(i, F.least(F.lit(history).cast("long"), budget - own))
-        span = F.struct(i.alias("first"), back["turns"].alias("back"), kept.alias("kept"))
-        return F.struct(F.concat(a["spans"], F.array(span)).alias("spans"), (own + back["sum"]).alias("used"))
+        def repeated(r: Column) -> Column:
+            spare = F.least(F.lit(history).cast("long"), r["room"] - own)
+            return furthest(F.least(F.lit(HISTORY_TURNS), i - least), lambda k: upto(i) - upto(i - k) <= spare)
 
-    def step(a: Column, i: Column) -> Column:
-        x = F.get(tok, i)
-        return F.when((i > 0) & (a["used"] + x <= budget), F.struct(a["spans"].alias("spans"), (a["used"] + x).alias("used"))).otherwise(opened(a, i))
+        return bound(F.struct(F.coalesce(kept, F.lit(False)).alias("kept"), room.alias("room")), lambda r: bound(repeated(r), lambda back: spanned(r, back)))
 
-    start = F.struct(F.array().cast("array<struct<first:int,back:int,kept:boolean>>").alias("spans"), F.lit(0).cast("long").alias("used"))
-    return chunks.withColumn("spans", F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), start, step)["spans"])
+    none = F.array().cast("array<struct<first:int,back:int,kept:boolean,end:int>>")
+    step = lambda a, i: F.when(i == F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)), F.concat(a, F.array(opened(i)))).otherwise(a)
+    return chunks.withColumn("spans", F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), none, step))
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -132,10 +150,8 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     placed = _ordered(turns, conv, turn, role, text, tokens)
     rows = written(_numbered(placed), "numbered")
     system = rows.where("n = 0 and system").select("c", F.col("at").alias("system_at"), F.col("tokens").alias("system_tokens"))
-    chunks = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK)).groupBy("c", "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "at", "tokens"))).alias("t"))
-    cut = _spans(chunks.join(system, "c", "left"), budget, history)
-    ends = F.transform("spans", lambda s, k: F.struct(s["first"].alias("first"), s["back"].alias("back"), s["kept"].alias("kept"), F.coalesce(F.get("spans", k + 1)["first"], F.size("t")).alias("end")))
-    each = cut.withColumn("s", F.explode(ends))
+    cut = _spans(_chunks(rows).join(system, "c", "left"), budget, history)
+    each = cut.withColumn("s", F.explode("spans"))
     of = lambda kind, n, at: F.struct(F.lit(kind).alias("kind"), n.alias("n"), at.alias("at"))
     own = F.transform(F.slice("t", F.col("s.first") + 1, F.col("s.end") - F.col("s.first")), lambda x: of(2, x["n"], x["at"]))
     back = F.transform(F.slice("t", F.col("s.first") - F.col("s.back") + 1, F.col("s.back")), lambda x: of(1, x["n"], x["at"]))
