@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..operators import answers, assign, clean, edges, graph, lookup, outline, scan
+from ..operators import answers, assign, clean, dictionaries, edges, graph, lookup, outline, scan
 from ..sources import versions
 from ..sources.held import shared_dir
 from ..sources.replies import Replies
@@ -28,6 +28,12 @@ def _index(spark: SparkSession, sf: str) -> lookup.Index:
     return lookup.index(star.build(spark, sf), star.texts(spark, sf))
 
 
+def dict_match_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of benchmark, six characters and more, that stand anywhere in a document."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("length(word) >= 6")
+    return dictionaries.matched(table(spark, sf, "documents"), words.select(F.col("word").alias("name"), "word"))
+
+
 def questions_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.candidates(_index(spark, sf), _questions(spark, sf))
 
@@ -222,11 +228,13 @@ _VERSIONS = """, b AS (SELECT *, ((seq % 3) + (seq // 1000000000) % 3) % 3 + 1 A
     UNION ALL SELECT version, 'import', 'unmatched', count(batch) FILTER (NOT ok) FROM v LEFT JOIN m ON batch = version GROUP BY version"""
 
 QUERIES = {
+    "dict_match_items": dict_match_items,
     "questions_topk": questions_topk, "questions_mentions": questions_mentions, "questions_relevance": questions_relevance, "questions_find": questions_find, "answers_bulk": answers_bulk,
     "answers_local_bulk": answers_local, "answers_context_bulk": answers_context_bulk, "store_versions": store_versions, "store_upserted": store_upserted,
     "neighbourhoods": neighbourhoods, "scan_events": scan_events, "ffill_unkeyed": ffill_unkeyed, "range_long": range_long, "edges_from_model": edges_from_model,
 }
 ORACLES = {
+    "dict_match_items": "WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE length(word) >= 6) SELECT DISTINCT doc_id, word AS name FROM documents, w WHERE contains(text, word)",
     "questions_topk": _graph("SELECT * FROM top", _QUESTIONS, _TOPK),
     "questions_mentions": _graph("SELECT * FROM men", _QUESTIONS, _MENTIONS),
     "questions_relevance": _graph("SELECT id, CAST(coalesce(s, 0) + 2 * coalesce(m, 0) AS BIGINT) AS score, coalesce(s, 0) + 2 * coalesce(m, 0) >= 3 AS is_relevant FROM q LEFT JOIN (SELECT id, sum(score) AS s FROM top GROUP BY id) USING (id) LEFT JOIN (SELECT id, count(*) AS m FROM men GROUP BY id) USING (id)", _QUESTIONS, _TOPK, _MENTIONS),
