@@ -182,7 +182,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: i
 
     Texts are equal if they are after white-space runs became single spaces; null counts as empty. keep_id is the smallest
     key of the group (null if it has none), kept whether the row's key is it. Of rows that repeat the smallest key all are
-    kept; a row with a null key is kept only where its whole group has none. An empty table gives none."""
+    kept; a row with a null key is kept only where its whole group has none. A column whose name the key has gets a ``_`` behind
+    its own. An empty table gives none."""
     df = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out, key, text = key, "key", "text"
     first = StructType([df.schema[key]]).add("rep", "string").add("size", "long").add("body", "binary").add("sha", "string").add("of", "string")
@@ -234,7 +235,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: i
     if not again.isEmpty():
         rows = rows.join(again, "rep", "left").select("own", F.coalesce("of", "rep").alias("rep"), "text_sha256")
     kept = F.coalesce(F.col("own") == F.col("keep_id"), F.col("keep_id").isNull())
-    return rows.join(decided, "rep").select(F.col("own").alias(out), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    given = {"keep_id": F.col("keep_id"), "group_size": F.col("group_size"), "kept": kept, "text_sha256": F.col("text_sha256")}
+    return rows.join(decided, "rep").select(F.col("own").alias(out), *(c.alias(f"{n}_" if n == out.lower() else n) for n, c in given.items()))
 
 
 def _in_batches(entries: Iterator[tuple[bytes, list]]) -> Iterator[list[tuple[bytes, list]]]:

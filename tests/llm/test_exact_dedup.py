@@ -72,3 +72,11 @@ def test_many_copies_of_one_text_in_a_small_trie():
     for k in range(20_000):
         trie.insert(b"x" * 50 + (b"" if k % 2 else b"%d" % (k % 50)), [k, 1, [k]])
     assert sum(e[1] for _, e in trie.entries()) == 20_000
+
+
+def test_key_named_like_a_result(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "keep_id long, kept string")
+    got = exact_groups(df, "keep_id", "kept")
+    assert got.columns == ["keep_id", "keep_id_", "group_size", "kept", "text_sha256"]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
+    assert exact_groups(df.withColumnRenamed("keep_id", "KEPT_"), "KEPT_", "kept").columns[0] == "KEPT_"

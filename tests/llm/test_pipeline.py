@@ -74,3 +74,20 @@ def test_ids_and_run(stages, spark, sf):
         assert bytes(r.ids) == ids.tobytes() and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(docs[k].text.encode()).hexdigest()
     assert {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()} == {(k, r.ids_sha256) for k, r in got.items()}
+
+
+def test_odd_rows(spark, sf):
+    """Nulls in every column, empty texts, repeated rows, columns with names that stages use themselves, and no rows at all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0), (900002, "", "en", "s", 0), (None, "a few words", None, "s", None)], docs.schema)
+    more = docs.unionByName(odd).selectExpr("*", "1 AS key", "'x' AS score", "doc_id AS fingerprint", "text AS ids")
+    for rows, left in ((more, 1), (more.limit(0), 0)):
+        kept = written(rows, "odd")
+        n = kept.count()
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            after = written(stage(spark, kept, sf), name)
+            assert after.columns == rows.columns and after.count() <= n
+            assert after.select("doc_id").subtract(kept.select("doc_id")).count() == 0
+            kept, n = after, after.count()
+        ids = corpus_pipeline.STAGES[4][1](spark, kept, sf)
+        assert ids.count() == n >= left
