@@ -6,7 +6,9 @@ is necessary. Shingles are ordered by rarity, counted over all documents, so eac
 fewest documents' words give. A place where that shingle stands fixes where the window would start; the positional bound
 is that this is not before the document, the length bound that it ends inside, and then all its words are compared.
 
-The prefix table is broadcast only up to a fixed number of bytes. Beyond it the same join runs as a shuffle on the shingle.
+The prefix table is broadcast only up to a fixed number of bytes. Beyond it the same join runs as a shuffle on the shingle, to
+which only places go whose shingle a Bloom filter of the prefixes holds. The filter's size is bounded; where it is full, more
+places are shuffled and the join drops them, so rows are the same.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -28,6 +32,8 @@ WINDOW = 10
 SHINGLE = 3
 #: Bytes of windows up to which they and their prefixes are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bits of a Bloom filter for each shingle at least, bits of one at most (32 MB, which go through the driver), bits that a shingle sets.
+BITS_EACH, FILTER_BITS, HASHES = 16, 1 << 28, 3
 
 # a byte of words as it is, or lower-cased; all others become spaces
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -72,8 +78,38 @@ def _positioned(found: DataFrame) -> DataFrame:
     return found.withColumn("s", F.explode(shingle)).select("*", "s.shingle", "s.offset").drop("s")
 
 
+def positions(shingles: list[bytes], bits: int) -> np.ndarray:
+    """The bits that shingles set in a filter of so many, a power of two: a row for each of HASHES."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+    turns = np.arange(HASHES, dtype=np.uint64)[:, None]
+    return ((h + turns * (h >> np.uint64(32) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom(shingles: DataFrame) -> np.ndarray:
+    """A Bloom filter of the one column of shingles, as words of 64 bits. Its bits are set in tasks and united by an aggregate."""
+    own = shingles.distinct()
+    bits = min(FILTER_BITS, 1 << max(10, (BITS_EACH * own.count() - 1).bit_length()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = positions(batch.column(0).to_pylist(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bits"])
+
+    rows = own.mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return held
+
+
+def may_hold(held: np.ndarray, shingles: list[bytes]) -> np.ndarray:
+    """Whether the filter has each of the shingles: true for all of its own, and for few others."""
+    at = positions(shingles, len(held) << 6)
+    return (held[at >> 6] >> (at & 63) & 1).astype(bool).all(0)
+
+
 def _emitted(texts: DataFrame, wanted, sizes: list[int]) -> DataFrame:
-    """shingle, n: how often each stands in texts, summed for each task. wanted: a broadcast set, or None for all."""
+    """shingle, n: how often each stands in texts, summed for each task. wanted: a broadcast set, or a broadcast filter, which lets
+    a few others pass."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -81,10 +117,11 @@ def _emitted(texts: DataFrame, wanted, sizes: list[int]) -> DataFrame:
             for raw in batch.column(0):
                 words = words_of(raw.as_py())
                 for size in sizes:
-                    if wanted is None:
-                        seen.update(shingles_of(words, size))
-                    else:
+                    if isinstance(wanted.value, frozenset):
                         seen.update(filter(wanted.value.__contains__, shingles_of(words, size)))
+                    else:
+                        for _, own, at in _sliced(words, size, wanted.value):
+                            seen.update(own[k] for k in at)
                 if len(seen) > 200_000:
                     yield _counts(seen)
                     seen.clear()
@@ -93,6 +130,13 @@ def _emitted(texts: DataFrame, wanted, sizes: list[int]) -> DataFrame:
     return texts.mapInArrow(count, "shingle binary, n long")
 
 
+def _sliced(words: list[bytes], size: int, held: np.ndarray, slice_: int = 2_000) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(start, shingles, those that the filter may hold) of slices of a text's words."""
+    for a in range(0, len(words), slice_):
+        if own := list(shingles_of(words[a : a + slice_ + size - 1], size)):
+            yield a, own, np.flatnonzero(may_hold(held, own)).tolist()
+
+
 def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["shingle", "n"])
 
@@ -123,10 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     whole = docs.select(as_bytes(F.col(text)).alias("text"))
 
     positioned = _positioned(bench)
-    vocabulary = None
-    if bounded:
-        held = positioned.select(F.col("shingle").cast("binary")).distinct().toArrow()
-        vocabulary = docs.sparkSession.sparkContext.broadcast(frozenset(held.column(0).to_pylist()))
+    own = positioned.select(F.col("shingle").cast("binary"))
+    held = frozenset(own.distinct().toArrow().column(0).to_pylist()) if bounded else bloom(own)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(held)
     rarity = _emitted(whole, vocabulary, sizes).groupBy("shingle").agg(F.sum("n").alias("n_docs_words"))
     counted = positioned.withColumn("shingle", F.col("shingle").cast("binary")).join(rarity, "shingle", "left")
     order = F.struct(F.coalesce("n_docs_words", F.lit(0)).alias("rarity"), "shingle", "offset")
@@ -177,23 +220,25 @@ def _probed(docs: DataFrame, prefix: DataFrame, key: str, text: str, sizes: list
 
 
 def _shuffled(docs: DataFrame, prefix: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
-    """The join by shuffle: document shingles with their surroundings against prefixes.
+    """The join by shuffle: document shingles that may be prefixes, with their surroundings, against prefixes.
 
     A frequent shingle's rows are salted; the prefix table, of at most one row for each window, is repeated for each salt."""
     schema, salts = _result(key, docs), 16
     numbered = written(docs.select(F.col(key).alias("key"), as_bytes(F.col(text)).alias("text"), F.expr("uuid()").alias("row")), "rows")
     reach = prefix.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(prefix.select("shingle")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(raw)
                 for size in sizes:
-                    for a in range(0, len(words), 2_000):
-                        some = [(s, k) for k, s in enumerate(shingles_of(words[a : a + 2_000 + size - 1], size), a)]
-                        if some:
-                            near = [(max(0, k - reach), b" ".join(words[max(0, k - reach) : k + reach])) for _, k in some]
-                            columns = [pa.array([row] * len(some)), pa.array([s for s, _ in some], pa.binary()), pa.array([k for _, k in some], pa.int32()), pa.array([x for x, _ in near], pa.int32()), pa.array([x.decode() for _, x in near])]
+                    for a, own, at in _sliced(words, size, shared.value):
+                        if at:
+                            k = [a + x for x in at]
+                            near = [max(0, x - reach) for x in k]
+                            some = [b" ".join(words[f : x + reach]).decode() for f, x in zip(near, k, strict=True)]
+                            columns = [pa.array([row] * len(at)), pa.array([own[x] for x in at], pa.binary()), pa.array(k, pa.int32()), pa.array(near, pa.int32()), pa.array(some)]
                             yield pa.RecordBatch.from_arrays(columns, names=["row", "shingle", "k", "from", "near"])
 
     stands = numbered.select("row", "text").mapInArrow(places, "row string, shingle binary, k int, from int, near string")
