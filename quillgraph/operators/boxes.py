@@ -75,23 +75,25 @@ def main_pictures(pages: DataFrame, blocks: DataFrame, areas: DataFrame, ink: Da
     (page_density_crop, eight to ninety-two hundredths of the width where no columns stand out); else sixteen to sixty-eight
     hundredths of the height (page_density_fallback). pages: page, width, height of the layout, pixel_width, pixel_height.
     blocks: page, seq, kind, x0, y0, x1, y1. areas: page, seq, x, y, w, h, area, spread. ink: page, y, x, n dark pixels there."""
+    # every table grows with the pages, and Spark takes them for as small as their packed files: none is to be broadcast
+    pages, blocks, areas, ink = (df.hint("merge") for df in (pages, blocks, areas, ink))
     size, whole = pages.select("page", "pixel_width", "pixel_height"), lambda c: c.cast("int")
     c = F.col
     scored = blocks.where(c("kind") == PICTURE).join(pages, "page").withColumn("score", block_score(c("x0"), c("y0"), c("x1"), c("y1"), c("width"), c("height")))
-    block = best(scored, ["page"]).select("page", F.struct(F.lit("image_block").alias("method"), *(c(x).cast("double").alias(x) for x in CORNERS)).alias("block"))
+    block = best(scored, ["page"]).select("page", F.struct(F.lit("image_block").alias("method"), *(c(x).cast("double").alias(x) for x in CORNERS)).alias("block")).hint("merge")
     scored = areas.join(size, "page").withColumn("score", area_score(c("x"), c("y"), c("w"), c("h"), c("area"), c("spread"), c("pixel_width"), c("pixel_height"))).where("score > -1")
     scored = best(scored, ["page"], least=-1.0).withColumn("p", padded(c("x"), c("y"), c("w"), c("h"), c("pixel_width"), c("pixel_height")))
-    area = scored.select("page", F.struct(F.lit("page_photo_component").alias("method"), *(c(f"p.{x}").cast("double").alias(x) for x in CORNERS)).alias("area"))
-    left = size.join(block, "page", "left_anti").join(area, "page", "left_anti")
+    area = scored.select("page", F.struct(F.lit("page_photo_component").alias("method"), *(c(f"p.{x}").cast("double").alias(x) for x in CORNERS)).alias("area")).hint("merge")
+    left = size.join(block, "page", "left_anti").join(area, "page", "left_anti").hint("merge")
     dark = ink.join(left, "page")
     rows = dark.groupBy("page", "y", "pixel_height").agg(F.sum("n").alias("value")).withColumn("least", F.greatest(F.lit(120), whole(F.floor(c("pixel_height") / 8))))
-    rows = dense_bands(rows, 0.34, "least", ["page"], "y")
-    band = left.join(rows, "page").select(left["*"], F.greatest(c("first") - 20, F.lit(0)).alias("y0"), F.least(c("last") + 20, c("pixel_height")).alias("y1"))
+    rows = dense_bands(rows, 0.34, "least", ["page"], "y").hint("merge")
+    band = left.join(rows, "page").select(left["*"], F.greatest(c("first") - 20, F.lit(0)).alias("y0"), F.least(c("last") + 20, c("pixel_height")).alias("y1")).hint("merge")
     columns = ink.join(band, "page").where((c("y") >= c("y0")) & (c("y") < c("y1"))).groupBy("page", "x", "pixel_width").agg(F.sum("n").alias("value"))
-    columns = dense_bands(columns.withColumn("least", F.greatest(F.lit(120), whole(F.floor(c("pixel_width") / 5)))), 0.22, "least", ["page"], "x")
+    columns = dense_bands(columns.withColumn("least", F.greatest(F.lit(120), whole(F.floor(c("pixel_width") / 5)))), 0.22, "least", ["page"], "x").hint("merge")
     x0 = F.coalesce(F.greatest(c("first") - 20, F.lit(0)), whole(c("pixel_width") * 0.08))
     x1 = F.coalesce(F.least(c("last") + 20, c("pixel_width")), whole(c("pixel_width") * 0.92))
-    crop = band.join(columns, "page", "left").select("page", F.struct(F.lit("page_density_crop").alias("method"), *(x.cast("double").alias(n) for n, x in zip(CORNERS, (x0, c("y0"), x1, c("y1")), strict=True))).alias("crop"))
+    crop = band.join(columns, "page", "left").select("page", F.struct(F.lit("page_density_crop").alias("method"), *(x.cast("double").alias(n) for n, x in zip(CORNERS, (x0, c("y0"), x1, c("y1")), strict=True))).alias("crop")).hint("merge")
     rest = (F.lit(0), whole(c("pixel_height") * 0.16), c("pixel_width"), whole(c("pixel_height") * 0.68))
     rest = F.struct(F.lit("page_density_fallback").alias("method"), *(x.cast("double").alias(n) for n, x in zip(CORNERS, rest, strict=True)))
     found = size.join(block, "page", "left").join(area, "page", "left").join(crop, "page", "left")

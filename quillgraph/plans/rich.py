@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import text
 from ..operators import boxes, clean, edges, graph, retrieve
+from ..sources.held import spread, written
 from .star import table
 
 
@@ -34,7 +35,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """seq, name, k, text, parameters."""
+    """seq, name, k, text, parameters. A part is a few bytes of its file and a text with a thousand keywords to look for."""
     numbers = F.concat(
         F.lit("口径："), _text(_k() % 240 + 20), F.lit("毫米，射程:1,"), _text(_k() % 900 + 100), F.lit("米，重量 9,"), _text(_k() % 900 + 100), F.lit("千克；射速："), _text(_k() % 9 + 1), F.lit("发／分，全长：9."), _text(_k() % 10), F.lit("米"),
         F.when(_k() % 2 == 0, F.concat(F.lit("，炮管长:5."), _text(_k() % 7), F.lit("米，全宽：3米，全高：2.5米"))).otherwise(""),
@@ -44,7 +45,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         _pick(v.CHASSIS, _k()), F.lit("；"), _pick(v.AMMUNITION, _k()), F.lit("；"), _pick(v.SUBTYPES, _k()), F.lit("。"), numbers,
         F.lit("\n衍生型号\nR"), _text(_k()), F.lit("A  改进\nR"), _text(_k() + 1), F.lit("B\t说明\n火炮"), _text(_k()), F.lit("  无\nR"), _text(_k()), F.lit("  基型\n服役记录 "), _pick(v.NATIONS, _k()), F.lit("，"), _pick(v.BRANCHES, _k()),
     )
-    rows = entities(spark, sf).withColumn("text", body)
+    rows = spread(entities(spark, sf), "k").withColumn("text", body)
     return rows.select("seq", "name", "k", "text", text.parameters(F.col("text")).alias("parameters"))
 
 
@@ -85,7 +86,7 @@ def clean_entities_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str) -> graph.Graph:
-    return graph.build(entities(spark, sf).select("seq", "name", "label", "caliber"), _kept(spark, sf)).held()
+    return graph.build(entities(spark, sf).select("seq", "name", "label", "caliber"), _kept(spark, sf), once=True)
 
 
 QUESTIONS = {
@@ -114,12 +115,16 @@ def nodes_repeated(spark: SparkSession, sf: str) -> DataFrame:
     return graph.merged_nodes(numbered[0].unionByName(numbered[1]).unionByName(numbered[2]).drop("k")).select("name", "label", "caliber")
 
 
+#: Pages of ink in a partition, 800 rows each.
+PAGES = 2000
+
+
 def main_picture(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of ten parts each: every fourth has a picture block, an area, a band of ink, or none of these."""
     d = lambda x: x.cast("double")
     p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("page"), F.col("p_partkey").alias("seq"), "p_size")
     size = {"width": F.lit(600.0), "height": F.lit(800.0), "pixel_width": F.lit(600), "pixel_height": F.lit(800)}
-    pages = p.select("page").distinct().withColumns(size)
+    pages = spread(p.select("page").distinct(), "page", parts=p.count() // 10 // PAGES).withColumns(size)
     boxed = p.select("page", "seq", "p_size", (F.col("seq") % 300).alias("x"), (F.col("seq") % 500).alias("y"), (F.col("p_size") * 8).alias("w"), (F.col("p_size") * 6).alias("h"))
     blocks = boxed.where("page % 4 = 0").select("page", "seq", (F.col("seq") % 2).alias("kind"), d(F.col("x")).alias("x0"), d(F.col("y")).alias("y0"), d(F.col("x") + F.col("w")).alias("x1"), d(F.col("y") + F.col("h")).alias("y1"))
     areas = boxed.where("page % 4 = 1").select("page", "seq", "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), d(F.col("p_size")).alias("spread"))
