@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ _PROSE = re.compile(r"[一-龥]{3}")
 _NAMED = re.compile(r"[A-Za-z0-9一-鿿]")
 
 
+#: Lines that are Python objects at once.
+LINES = 1 << 15
+
+
 def _is_model(line: str) -> bool:
     return len(line) <= 30 and bool(_MODEL.search(line)) and not _PROSE.match(line)
 
@@ -50,17 +55,30 @@ def table_rows(rows: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def sliced(batch: pa.RecordBatch, lines: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose second column, a list, has about ``lines`` elements; a row stays whole."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
+    first = held = 0
+    for k, n in enumerate(sizes):
+        if held and held + n > lines:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    yield batch.slice(first)
+
+
 def derivatives(docs: DataFrame, key: str = "name", body: str = "text") -> DataFrame:
     """key, ord, derivative, description: rows of the derivative table of each text that has one; null text has none."""
     source = docs.select(F.col(key).alias("key"), text.lines(text.section(F.col(body))).alias("rows")).where("rows is not null")
     kind = docs.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(k, n, *row) for k, rows in enumerate(batch.column(1).to_pylist()) for n, row in enumerate(table_rows(rows))]
-            at, n, name, note = zip(*found, strict=True) if found else ((), (), (), ())
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int32()), pa.array(name, pa.string()), pa.array(note, pa.string())], names=["key", "ord", "derivative", "description"])
+        for whole in batches:
+            for batch in sliced(whole, LINES):
+                found = [(k, n, *row) for k, rows in enumerate(batch.column(1)) for n, row in enumerate(table_rows(rows.as_py()))]
+                at, n, name, note = zip(*found, strict=True) if found else ((), (), (), ())
+                keys = batch.column(0).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int32()), pa.array(name, pa.string()), pa.array(note, pa.string())], names=["key", "ord", "derivative", "description"])
 
     found = source.mapInArrow(read, f"key {kind}, ord int, derivative string, description string")
     return found.where(valid.derivative_row(F.col("derivative"))).withColumnRenamed("key", key)
