@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import valid
+from ..sources.held import written
 from .edges import first_wins
 
 
@@ -20,6 +21,7 @@ def clean_edges(base: DataFrame, deep: DataFrame, known: DataFrame, homes: DataF
     derived, fought, rides = (F.col("relation") == r for r in ("DERIVED_FROM", "PARTICIPATED_IN", "USES_CHASSIS"))
     rows = rows.where(~derived | (valid.derivative_in_clean(F.col("source")) & ~F.contains("target", F.col("source"))))
     rows = rows.where((~fought | F.col("target").isin(wars)) & (~rides | valid.chassis(F.col("target"))))
+    rows = written(rows, "deep-edges")  # two relations are looked at apart below; what made the edges must not run for each
     names = known.select(F.col("name").alias("target")).distinct()
     rows = rows.where(~derived).unionByName(rows.where(derived).join(names, "target", "left_semi"))
     home = homes.groupBy(F.col("name").alias("source")).agg(F.max_by("home", "seq").alias("home"))  # the last one holds
@@ -30,6 +32,6 @@ def clean_edges(base: DataFrame, deep: DataFrame, known: DataFrame, homes: DataF
 
 def clean_entities(kept_deep: DataFrame) -> DataFrame:
     """label, name of the ends of kept deep edges: no Artillery and no Category, and a Country only as target."""
-    ends = [kept_deep.select(F.col(f"{e}_type").alias("label"), F.col(e).alias("name")) for e in ("source", "target")]
-    found = ends[0].where("label <> 'Country'").unionByName(ends[1])
+    ends = [F.struct(F.lit(e).alias("end"), F.col(f"{e}_type").alias("label"), F.col(e).alias("name")) for e in ("source", "target")]
+    found = kept_deep.select(F.inline(F.array(*ends))).where("end = 'target' or label <> 'Country'").select("label", "name")  # one pass
     return found.where(~F.col("label").isin("Artillery", "Category") & (F.col("name") != "")).distinct()
