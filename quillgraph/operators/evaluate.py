@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..sources.held import dealt
 
 ENTITY, RELATION = ["label", "name"], ["source", "relation", "target"]
 
 
-def normalised(edges: DataFrame) -> DataFrame:
-    """source, relation, target without white space around them, each triple once, incomplete ones left out."""
+def triples(edges: DataFrame) -> DataFrame:
+    """source, relation, target without white space around them, a row for each edge, incomplete ones left out."""
     rows = edges.select(*(stripped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in RELATION))
-    return rows.where("source <> '' and relation <> '' and target <> ''").distinct()
+    return rows.where("source <> '' and relation <> '' and target <> ''")
+
+
+def normalised(edges: DataFrame) -> DataFrame:
+    """The triples, each once."""
+    return triples(edges).distinct()
 
 
 def gold_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,11 +48,16 @@ def _scored(rows: DataFrame, digits: int) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("tp", "gold_count", "machine_count")], *shown, "tp", (F.col("machine_count") - F.col("tp")).alias("fp"), (F.col("gold_count") - F.col("tp")).alias("fn"), "gold_count", "machine_count")
 
 
+def _both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row of either set once, with g and m: whether it is in a and in b. One shuffle, no join."""
+    sides = [df.select(*keys, F.lit(g).alias("g"), F.lit(m).alias("m")) for df, g, m in ((a, 1, 0), (b, 0, 1))]
+    return dealt(sides[0].unionByName(sides[1]), *keys).groupBy(*keys).agg(F.max("g").alias("g"), F.max("m").alias("m"))
+
+
 def compare(gold: DataFrame, machine: DataFrame, keys: list[str], by: str | None = None, digits: int = 4) -> DataFrame:
     """precision, recall, f1, tp, fp, fn, gold_count, machine_count over the sets of rows by ``keys``, for each value of one of
     them with ``by``; 0 where a ratio has no denominator."""
-    sides = [df.select(*keys).distinct().withColumn("g", F.lit(g)).withColumn("m", F.lit(m)) for df, g, m in ((gold, 1, 0), (machine, 0, 1))]
-    both = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("g").alias("g"), F.max("m").alias("m"))  # one shuffle, no join
+    both = _both(gold, machine, keys)
     sums = [F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in ((F.col("g") * F.col("m"), "tp"), (F.col("g"), "gold_count"), (F.col("m"), "machine_count"))]
     return _scored((both.groupBy(by) if by else both).agg(*sums), digits)
 
@@ -58,8 +69,8 @@ def large_enough(gold: DataFrame, edges: DataFrame, entities: int = 200, relatio
 
 
 def common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.select(*keys).intersect(b.select(*keys))
+    return _both(a, b, keys).where("g = 1 and m = 1").select(*keys)
 
 
 def only_in(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.select(*keys).subtract(b.select(*keys))
+    return _both(a, b, keys).where("g = 1 and m = 0").select(*keys)

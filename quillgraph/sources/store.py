@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import PROPERTIES
+from .held import dealt
 
 
 def upserted_nodes(rows: DataFrame) -> DataFrame:
@@ -17,11 +18,14 @@ def upserted_nodes(rows: DataFrame) -> DataFrame:
 
 def upserted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """source_type, source, relation, target_type, target, each once, of edges whose typed ends are nodes."""
-    rows = edges.where("source <> '' and relation <> '' and target <> ''")
-    for e in ("source", "target"):
-        ends = nodes.select(F.col("label").alias(f"{e}_type"), F.col("name").alias(e)).distinct()
-        rows = rows.join(ends, [f"{e}_type", e], "left_semi")
-    return rows.select("source_type", "source", "relation", "target_type", "target").distinct()
+    columns = ["source_type", "source", "relation", "target_type", "target"]
+    rows = edges.where("source <> '' and relation <> '' and target <> ''").select(*columns)
+    rows = dealt(rows.withColumn("_h", F.xxhash64(*columns)), "_h").distinct()
+    for e in ("source", "target"):  # sorted by a hash before the texts
+        names = [f"{e}_type", e]
+        ends = nodes.select(F.col("label").alias(names[0]), F.col("name").alias(e)).distinct().withColumn("_h", F.xxhash64(*names))
+        rows = rows.withColumn("_h", F.xxhash64(*names)).join(ends, ["_h", *names], "left_semi")
+    return rows.select(*columns)
 
 
 def import_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:

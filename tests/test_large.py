@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import boxes, clean, derive, graph, lookup
-from quillgraph.plans import rich
+from quillgraph.operators import boxes, clean, derive, edges, evaluate, graph, lookup
+from quillgraph.plans import rich, star
 from quillgraph.sources import held
 
 
@@ -80,3 +80,20 @@ def test_large_written_tables_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" in plan(spark.range(10).join(small, "id"))
     monkeypatch.setattr(held, "BROADCAST", 10)
     assert "Broadcast" not in plan(spark.range(10).join(held.written(rows, "t"), "id"))
+
+
+def test_partitions_grow_with_the_files(spark, sf):
+    rows = star.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    few, many = (held.dealt(rows, "l_partkey", part=n) for n in (1 << 30, 1000))
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 50 < many.rdd.getNumPartitions()
+    assert many.exceptAll(rows).count() == 0 and many.count() == rows.count()
+    for df in (edges.first_wins(star.edges(spark, sf)), star.edges(spark, sf), evaluate.common(*[evaluate.triples(star.edges(spark, sf))] * 2, evaluate.RELATION)):
+        assert "REPARTITION_BY_NUM" in plan(df)
+
+
+def test_sets_are_compared_in_one_shuffle(spark):
+    a, b = (spark.createDataFrame(rows, "source string, relation string, target string") for rows in ([("a", "r", None), ("a", "r", None), ("b", "r", "x")], [("a", "r", None), ("c", "r", "x")]))
+    both, only = (f(a, b, evaluate.RELATION) for f in (evaluate.common, evaluate.only_in))
+    assert [tuple(r) for r in both.collect()] == [("a", "r", None)] and [tuple(r) for r in only.collect()] == [("b", "r", "x")]
+    for df in (evaluate.common(a, b, evaluate.RELATION), evaluate.only_in(a, b, evaluate.RELATION)):
+        assert plan(df).count("Exchange hashpartitioning") == 1
