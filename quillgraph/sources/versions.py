@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 from ..operators.graph import PROPERTIES
 
+#: Tasks that write a bucket, each a file of it.
+SHARES = 4
 EDGE = ["source_type", "source", "relation", "target_type", "target"]
 
 
@@ -135,10 +137,13 @@ class Store:
         touched_nodes = self._write(v, new, "nodes", batch, given, ["label", "name"])
 
         whole = F.coalesce((F.col("source") != "") & (F.col("relation") != "") & (F.col("target") != ""), F.lit(False))
-        rows = edges.select(*EDGE, whole.alias("whole"))
+        given_at = f"{self.folder}/data/{batch}/given"  # looked at three times, made once
+        edges.select(*EDGE, whole.alias("whole")).write.option("compression", "zstd").parquet(given_at)
+        rows = self.spark.read.schema(edges.select(*EDGE, whole.alias("whole")).schema).parquet(given_at)
         if rows.isEmpty():
             new.counts = {"success": 0, "failed": 0, "unmatched": 0, "touched_nodes": touched_nodes, "touched_edges": 0}
             self._publish(new)
+            self._fs.delete(self._path(given_at), True)
             return new.number
         for k, e in enumerate(("source", "target")):
             rows = rows.withColumn(f"b{k}", _bucket(count, f"{e}_type", e))
@@ -157,7 +162,8 @@ class Store:
         touched_edges = self._write(v, new, "edges", batch, kept, EDGE)
         new.counts = {"success": c[0], "failed": c[1], "unmatched": c[2], "touched_nodes": touched_nodes, "touched_edges": touched_edges}
         self._publish(new)
-        self._fs.delete(self._path(at), True)
+        for path in (at, given_at):
+            self._fs.delete(self._path(path), True)
         return new.number
 
     def _write(self, v: Version, new: Version, kind: str, batch: str, given: DataFrame, key: list[str]) -> int:
@@ -169,7 +175,7 @@ class Store:
         if old is not None:
             old = old.join(given.select("bucket", *key), ["bucket", *key], "left_anti")
             given = given.unionByName(old, allowMissingColumns=True)
-        rows = given.repartition("bucket")
+        rows = given.repartition("bucket", F.pmod(F.shiftright(F.xxhash64(*key), 20), F.lit(SHARES)))
         rows.write.partitionBy("bucket").parquet(f"{self.folder}/data/{batch}/{kind}")
         held = StructType.fromJson(json.loads(new.schemas[kind])) if kind in new.schemas else StructType()
         have = {f.name for f in held}

@@ -92,3 +92,19 @@ def test_empty_store(spark, tmp_path):
     kept = Store(spark, str(tmp_path))
     assert kept.read()[0].count() == 0 and kept.read()[1].count() == 0 and kept.history().count() == 0
     assert kept.upsert(nodes_of(spark, []), edges_of(spark, [])) == 1 and kept.read()[0].count() == 0
+
+
+def test_edges_of_a_batch_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "source_type string, source string, relation string, target_type string, target string"
+    edges = spark.createDataFrame([("A", "x", "r", "A", "y"), ("A", "x", "r", "B", "none"), ("A", "", "r", "A", "y")], schema).mapInArrow(count, schema)
+    store = Store(spark, f"file://{tmp_path}/once", 2)
+    store.upsert(spark.createDataFrame([(1, "A", "x"), (2, "A", "y")], "seq long, label string, name string"), edges)
+    assert made.value == 3 and store.read()[1].count() == 1
+    assert [(r.success, r.failed, r.unmatched) for r in store.history().collect()] == [(2, 1, 1)]
