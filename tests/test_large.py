@@ -97,3 +97,10 @@ def test_sets_are_compared_in_one_shuffle(spark):
     assert [tuple(r) for r in both.collect()] == [("a", "r", None)] and [tuple(r) for r in only.collect()] == [("b", "r", "x")]
     for df in (evaluate.common(a, b, evaluate.RELATION), evaluate.only_in(a, b, evaluate.RELATION)):
         assert plan(df).count("Exchange hashpartitioning") == 1
+
+
+def test_graph_of_several_looks_is_made_once(spark, sf):
+    from quillgraph.plans import queries
+
+    for name in ("edge_midpoints", "degree", "retrieve_context"):
+        assert "lineitem" not in plan(queries.QUERIES[name](spark, sf))
