@@ -7,7 +7,9 @@ afterwards.
 
 Before that, words are counted exactly and neighbouring words by hash bucket. A suffix ends where two neighbours fall into
 a bucket of fewer than ``least`` occurrences: no longer phrase can be frequent there, so nothing is lost, whatever falls
-together in a bucket. Words of a few hundredths of all suffixes are dealt out by their second word too; pairs as frequent as
+together in a bucket. Runs of three words and more whose neighbours all pass are counted by bucket likewise, and a suffix ends
+before the first run that stays under ``least``: what leaves a slice is a row for each frequent phrase in it, not for each
+different run of frequent pairs. Words of a few hundredths of all suffixes are dealt out by their second word too; pairs as frequent as
 that by their whole suffix, and their prefixes' counts are added up afterwards.
 """
 
@@ -29,7 +31,7 @@ from .wordhash import mix
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of texts that are counted together before they leave a task, and of those that are taken apart into words at once.
 SLICE_BYTES, TEXT_BYTES = 32 << 20, 2 << 20
-#: Bits of the hash of two neighbours: the filter has at most 2**28 bits, 32 MB, and 2**20 at least.
+#: Bits of the hash of two neighbours: each filter has at most 2**28 bits, 32 MB, and 2**20 at least.
 MIN_BITS, MAX_BITS = 20, 28
 #: A word or pair is dealt out finer if it has more than one in so many of the words that the texts' bytes stand for.
 HOT, WORD_BYTES = 256, 6
@@ -66,16 +68,37 @@ class Slice:
     def whole(self) -> Slice:
         self.number()
         self.ids, self.words, self.parts = np.concatenate(self.parts), list(self.numbers), []
+        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
+        self.own = mix(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words)))
         return self
 
     def buckets(self, bits: int) -> np.ndarray:
         """Bucket of each place and the next as a pair, -1 where a piece ends; one less than places."""
-        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
-        own = mix(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words)))
         left, right = self.ids[:-1], self.ids[1:]
-        pair = mix(own[left] * np.uint64(3) + own[right])
+        pair = mix(self.own[left] * np.uint64(3) + self.own[right])
         return np.where((left > 0) & (right > 0), (pair >> np.uint64(64 - bits)).astype(np.int64), -1)
 
+    def frequent(self, bucket: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Whether each place starts a pair of a frequent bucket; MAX_WORDS longer than places."""
+        on = np.zeros(len(self.ids) + MAX_WORDS, bool)
+        on[: len(bucket)] = (bucket >= 0) & _in(known, bucket)
+        return on
+
+    def runs(self, on: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 3 to MAX_WORDS words the places that start so many of which all neighbours are on, and the runs' buckets."""
+        place = np.flatnonzero(on)
+        run = self.own[self.ids[place]]
+        for k in range(1, MAX_WORDS):
+            stays = on[place + k - 1]
+            place, run = place[stays], run[stays]
+            run = mix(run * np.uint64(3) + self.own[self.ids[place + k]])
+            if k > 1:
+                yield place, (run >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _in(known: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return known[bucket >> 3] >> (7 - (bucket & 7)) & 1 > 0
+
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     """Slices of the rows (lang, bytes of the text)."""
@@ -102,9 +125,19 @@ def _rows(df: DataFrame, lang: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), as_bytes(F.col(text)).alias("text"))
 
 
+def _blocks(found: np.ndarray, bits: int) -> list[pa.Array]:
+    """block, places, counts of buckets."""
+    width = min(16, bits - 8)
+    bucket, count = np.unique(found, return_counts=True)
+    block, first = np.unique(bucket >> width, return_index=True)
+    cut = [*first.tolist(), len(bucket)]
+    place, count = (bucket & ((1 << width) - 1)).astype("<u2"), count.astype("<u4")
+    parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (place, count)]
+    return [pa.array(block, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)]
+
+
 def _counted(rows: DataFrame, bits: int) -> DataFrame:
     """Rows of two kinds: lang, word, n; and block, places (uint16), counts (uint32) of the pairs' buckets."""
-    width = min(16, bits - 8)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
@@ -113,23 +146,30 @@ def _counted(rows: DataFrame, bits: int) -> DataFrame:
             if not some:
                 continue
             found = s.buckets(bits)
-            bucket, count = np.unique(found[found >= 0], return_counts=True)
-            block, first = np.unique(bucket >> width, return_index=True)
-            cut = [*first.tolist(), len(bucket)]
-            place, count = (bucket & ((1 << width) - 1)).astype("<u2"), count.astype("<u4")
             none = lambda k, t: pa.nulls(k, t)  # noqa: E731, B023
             words = [pa.array([s.lang] * some), pa.array(s.words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), none(some, pa.int32()), none(some, pa.binary()), none(some, pa.binary())]
             names = ["lang", "word", "n", "block", "places", "counts"]
             yield pa.RecordBatch.from_arrays(words, names=names)
-            k = len(block)
-            parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (place, count)]
-            yield pa.RecordBatch.from_arrays([none(k, pa.string()), none(k, pa.string()), none(k, pa.int64()), pa.array(block, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=names)
+            blocks = _blocks(found[found >= 0], bits)
+            k = len(blocks[0])
+            yield pa.RecordBatch.from_arrays([none(k, pa.string()), none(k, pa.string()), none(k, pa.int64()), *blocks], names=names)
 
     return rows.mapInArrow(counted, "lang string, word string, n long, block int, places binary, counts binary")
 
 
+def _counted_runs(rows: DataFrame, bits: int, frequent) -> DataFrame:
+    """block, places, counts of the buckets of runs of three words and more, all lengths together."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _slices(batches):
+            found = [bucket for _, bucket in s.runs(s.frequent(s.buckets(bits), frequent.value), bits)]
+            yield pa.RecordBatch.from_arrays(_blocks(np.concatenate(found), bits), names=["block", "places", "counts"])
+
+    return rows.mapInArrow(counted, "block int, places binary, counts binary")
+
+
 def _filter(blocks: DataFrame, bits: int, least: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of the buckets with at least ``least`` pairs, numbers of those with at least ``hot``)."""
+    """(bits of the buckets with at least ``least`` pairs or runs, numbers of those with at least ``hot``)."""
     width = min(16, bits - 8)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +199,7 @@ def _filter(blocks: DataFrame, bits: int, least: int, hot: int) -> tuple[np.ndar
     return out, np.array(sorted(hots), np.int64)
 
 
-def _suffixes(rows: DataFrame, bits: int, frequent, hot_pairs: np.ndarray, hot_words: set[tuple[str, str]]) -> DataFrame:
+def _suffixes(rows: DataFrame, bits: int, frequent, frequent_runs, hot_pairs: np.ndarray, hot_words: set[tuple[str, str]]) -> DataFrame:
     """lang, first, part, depth, suffix, n: suffixes of two words and more, counted within a slice. A suffix ends each of
     its words by a space, so those that begin with the same words stand together in any order of strings. The first
     ``depth`` words decide where it goes, the whole suffix if that is over ``MAX_WORDS``."""
@@ -170,16 +210,16 @@ def _suffixes(rows: DataFrame, bits: int, frequent, hot_pairs: np.ndarray, hot_w
             if len(s.ids) < 2:
                 continue
             bucket = s.buckets(bits)
-            on = np.zeros(len(s.ids) + MAX_WORDS, bool)
-            on[: len(bucket)] = (bucket >= 0) & (known[bucket >> 3] >> (7 - (bucket & 7)) & 1 > 0)
+            on = s.frequent(bucket, known)
             place = np.flatnonzero(on)
             if not len(place):
                 continue
-            wide = np.concatenate((s.ids, np.zeros(MAX_WORDS, np.int32)))
-            column, going = [wide[place]], np.ones(len(place), bool)
-            for k in range(1, MAX_WORDS):
-                going = going & on[place + k - 1]
-                column.append(np.where(going, wide[place + k], 0))
+            size = np.where(on, 2, 0).astype(np.int8)  # words of the suffix that starts here
+            for k, (at, run) in enumerate(s.runs(on, bits), 3):
+                at = at[_in(frequent_runs.value, run)]
+                size[at[size[at] == k - 1]] = k
+            wide, size = np.concatenate((s.ids, np.zeros(MAX_WORDS, np.int32))), size[place]
+            column = [wide[place], *(np.where(size > k, wide[place + k], 0) for k in range(1, MAX_WORDS))]
             hot = np.isin(bucket[place], hot_pairs)
             order = np.lexsort(column[::-1])
             column, hot = [c[order] for c in column], hot[order]
@@ -250,8 +290,8 @@ def _prefixes(suffixes: DataFrame, least: int) -> DataFrame:
 def frequencies(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n of all phrases of 1 to 5 words that occur ``least`` times or more; lang, n of all words), written.
 
-    Null lang is ``und``, null text empty; other columns are not read. What goes through the driver is bounded: the filter's
-    bits, and words and pairs that are each a few thousandths of all."""
+    Null lang is ``und``, null text empty; other columns are not read. What goes through the driver is bounded: the
+    filters' bits, and words and pairs that are each a few thousandths of all."""
     spark, rows = df.sparkSession, _rows(df, lang, text)
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(size // WORD_BYTES // 4).bit_length()))
@@ -261,7 +301,8 @@ def frequencies(df: DataFrame, lang: str = "lang", text: str = "text", least: in
     known, hot_pairs = _filter(counted.where("block is not null"), bits, least, hot)
     hot_words = {(r.lang, r.phrase) for r in words.where(F.col("n") >= hot).collect()}  # at most HOT * WORD_BYTES of them
     frequent = spark.sparkContext.broadcast(known)
-    parts = _prefixes(_suffixes(rows, bits, frequent, hot_pairs, hot_words), least)
+    frequent_runs = spark.sparkContext.broadcast(_filter(_counted_runs(rows, bits, frequent), bits, least, 1 << 62)[0])
+    parts = _prefixes(_suffixes(rows, bits, frequent, frequent_runs, hot_pairs, hot_words), least)
     longer = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return written(longer.unionByName(words.where(F.col("n") >= least)), "phrases"), totals

@@ -73,6 +73,18 @@ def test_few_buckets(spark, monkeypatch):
     assert {r.lang: r.n for r in totals.collect()} == {k: c for k, c in n.items() if c}
 
 
+def test_suffixes_end_before_rare_runs(spark, monkeypatch):
+    """Frequent pairs in ever new runs leave a slice as pairs: a row for each frequent phrase, whatever the number of runs."""
+    rng, seen = random.Random(5), []
+    words = [f"w{k}" for k in range(10)]
+    text = " ".join(rng.choice(words) for _ in range(4000))  # each pair some 40 times, each run of three some 4 times
+    monkeypatch.setattr(phrases, "_prefixes", lambda suffixes, least, own=phrases._prefixes: (seen.append(suffixes.count()), own(suffixes, least))[1])
+    known, _ = phrases.frequencies(frame(spark, [("en", text)]), least=20)
+    f, _ = counted([("en", text)])
+    assert {(r.lang, r.phrase): r.n for r in known.collect()} == {(k, p): c for k in f for p, c in f[k].items() if c >= 20}
+    assert 80 <= seen[0] <= 120  # 100 pairs, not thousands of runs
+
+
 def test_no_rows(spark):
     assert phrases.collocations(frame(spark, [("en", None)]).limit(0)).count() == 0
     assert phrases.collocations(frame(spark, [("en", None), (None, " .\n")])).count() == 0
