@@ -8,14 +8,16 @@ afterwards.
 Before that, words are counted exactly and neighbouring words by hash bucket. A suffix ends where two neighbours fall into
 a bucket of fewer than ``least`` occurrences: no longer phrase can be frequent there, so nothing is lost, whatever falls
 together in a bucket. Runs of three words and more whose neighbours all pass are counted by bucket likewise, and a suffix ends
-before the first run that stays under ``least``: what leaves a slice is a row for each frequent phrase in it, not for each
-different run of frequent pairs. Words of a few hundredths of all suffixes are dealt out by their second word too; pairs as frequent as
+before the first run that stays under ``least``: what is left of a slice is a row for each frequent phrase in it, not for each
+different run of frequent pairs. A task adds up the suffixes of its slices and takes several files, so a frequent phrase leaves it
+once, not once a slice. Words of a few hundredths of all suffixes are dealt out by their second word too; pairs as frequent as
 that by their whole suffix, and their prefixes' counts are added up afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .wordhash import mix
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of texts that are counted together before they leave a task, and of those that are taken apart into words at once.
 SLICE_BYTES, TEXT_BYTES = 32 << 20, 2 << 20
+#: Bytes of texts whose suffixes one task counts, slice by slice, and different suffixes that it holds before it lets them go.
+TASK_BYTES, HELD = 256 << 20, 1 << 18
 #: Bits of the hash of two neighbours: each filter has at most 2**28 bits, 32 MB, and 2**20 at least.
 MIN_BITS, MAX_BITS = 20, 28
 #: A word or pair is dealt out finer if it has more than one in so many of the words that the texts' bytes stand for.
@@ -200,12 +204,24 @@ def _filter(blocks: DataFrame, bits: int, least: int, hot: int) -> tuple[np.ndar
 
 
 def _suffixes(rows: DataFrame, bits: int, frequent, frequent_runs, hot_pairs: np.ndarray, hot_words: set[tuple[str, str]]) -> DataFrame:
-    """lang, first, part, depth, suffix, n: suffixes of two words and more, counted within a slice. A suffix ends each of
+    """lang, first, part, depth, suffix, n: suffixes of two words and more, counted within a task. A suffix ends each of
     its words by a space, so those that begin with the same words stand together in any order of strings. The first
     ``depth`` words decide where it goes, the whole suffix if that is over ``MAX_WORDS``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
+        held: dict[tuple[str, bytes], list[int]] = {}  # count, depth and part of each suffix
+
+        def gone() -> Iterator[pa.RecordBatch]:
+            some = iter(held.items())
+            while rows := list(islice(some, 50_000)):
+                lang, text = ([key[k] for key, _ in rows] for k in (0, 1))
+                n, depth, part = ([own[k] for _, own in rows] for k in (0, 1, 2))
+                first, text = (pa.array(x, pa.binary()).cast(pa.string()) for x in ([t[: t.index(b" ")] for t in text], text))
+                columns = [pa.array(lang, pa.string()), first, pa.array(part, pa.int64()), pa.array(depth, pa.int32()), text, pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "first", "part", "depth", "suffix", "n"])
+            held.clear()
+
         for s in _slices(batches):
             if len(s.ids) < 2:
                 continue
@@ -231,13 +247,14 @@ def _suffixes(rows: DataFrame, bits: int, frequent, frequent_runs, hot_pairs: np
             text = [b"".join(map(word.__getitem__, r)) for r in np.stack([c[first] for c in column], 1).tolist()]
             hot_first = np.isin(column[0][first], [k for k, w in enumerate(s.words) if k and (s.lang, w.decode()) in hot_words])
             depth = np.where(hot[first], MAX_WORDS + 1, np.where(hot_first, 2, 1))
-            part = np.zeros(len(first), np.int64)
-            for k in np.flatnonzero(depth > 1).tolist():
-                part[k] = xxhash.xxh3_64_intdigest(text[k] if depth[k] > 2 else s.words[column[1][first[k]]]) >> 1
-            head = pa.array([s.words[k] for k in column[0][first].tolist()], pa.binary()).cast(pa.string())
-            columns = [pa.array([s.lang] * len(first)), head, pa.array(part), pa.array(depth, pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
-            whole = pa.RecordBatch.from_arrays(columns, names=["lang", "first", "part", "depth", "suffix", "n"])
-            yield from (whole.slice(k, 50_000) for k in range(0, len(first), 50_000))
+            for t, m, d in zip(text, n.tolist(), depth.tolist(), strict=True):
+                if (own := held.get((s.lang, t))) is not None:
+                    own[0] += m
+                else:
+                    held[s.lang, t] = [m, d, 0 if d == 1 else xxhash.xxh3_64_intdigest(t if d > 2 else t.split(b" ", 2)[1]) >> 1]
+            if len(held) >= HELD:
+                yield from gone()
+        yield from gone()
 
     return rows.mapInArrow(found, "lang string, first string, part long, depth int, suffix string, n long")
 
@@ -302,7 +319,8 @@ def frequencies(df: DataFrame, lang: str = "lang", text: str = "text", least: in
     hot_words = {(r.lang, r.phrase) for r in words.where(F.col("n") >= hot).collect()}  # at most HOT * WORD_BYTES of them
     frequent = spark.sparkContext.broadcast(known)
     frequent_runs = spark.sparkContext.broadcast(_filter(_counted_runs(rows, bits, frequent), bits, least, 1 << 62)[0])
-    parts = _prefixes(_suffixes(rows, bits, frequent, frequent_runs, hot_pairs, hot_words), least)
+    tasks = max(-(-size // TASK_BYTES), spark.sparkContext.defaultParallelism)
+    parts = _prefixes(_suffixes(rows.coalesce(tasks), bits, frequent, frequent_runs, hot_pairs, hot_words), least)
     longer = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return written(longer.unionByName(words.where(F.col("n") >= least)), "phrases"), totals

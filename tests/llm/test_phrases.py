@@ -85,6 +85,22 @@ def test_suffixes_end_before_rare_runs(spark, monkeypatch):
     assert 80 <= seen[0] <= 120  # 100 pairs, not thousands of runs
 
 
+@pytest.mark.parametrize("held", [1 << 18, 7])
+def test_suffixes_of_slices_are_added_up(spark, monkeypatch, held):
+    """A frequent phrase leaves a task once, however many slices and files the task goes through, unless it holds too many."""
+    rng, seen = random.Random(6), []
+    words = [f"w{k}" for k in range(10)]
+    rows = [(lang, " ".join(rng.choice(words) for _ in range(100))) for _ in range(100) for lang in ("en", "de")]
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 500)
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "_prefixes", lambda suffixes, least, own=phrases._prefixes: (seen.append((suffixes.count(), suffixes.rdd.getNumPartitions())), own(suffixes, least))[1])
+    known, _ = phrases.frequencies(frame(spark, rows).repartition(40), least=40)
+    f, _ = counted(rows)
+    assert {(r.lang, r.phrase): r.n for r in known.collect()} == {(k, p): c for k in f for p, c in f[k].items() if c >= 40}
+    most = spark.sparkContext.defaultParallelism
+    assert seen[0][1] <= most and (held < 10 or seen[0][0] <= 250 * most)  # 100 pairs of each language in each task, and a few by chance
+
+
 def test_no_rows(spark):
     assert phrases.collocations(frame(spark, [("en", None)]).limit(0)).count() == 0
     assert phrases.collocations(frame(spark, [("en", None), (None, " .\n")])).count() == 0
