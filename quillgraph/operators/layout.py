@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..sources.held import written
 
+#: Placed targets of edges up to which they are broadcast.
+FEW = 100_000
+
 
 def numbered(rows: DataFrame, by: str, order: str, out: str = "idx") -> DataFrame:
     """Adds the place of each row in its group, from 0. The rows are dealt by ranges of (group, order) and numbered inside
@@ -49,8 +52,10 @@ def positions(nodes: DataFrame, center: str | None = None, order: list[str] = v.
 
 
 def segments(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """source, relation, target and x0, y0, x1, y1, mid_x, mid_y of edges whose ends are placed."""
+    """source, relation, target and x0, y0, x1, y1, mid_x, mid_y of edges whose ends are placed. Edges stay where they lie for their
+    targets, as long as few nodes are targets, so a target of most edges is no hot key."""
     ends = [placed.select(F.col("name").alias(e), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k, e in enumerate(("source", "target"))]
-    rows = edges.select("source", "relation", "target").join(ends[0], "source").join(ends[1], "target")
+    hit = written(ends[1].join(edges.select("target").distinct(), "target", "left_semi"), "targets-placed")
+    rows = edges.select("source", "relation", "target").join(ends[0], "source").join(F.broadcast(hit) if hit.count() <= FEW else hit, "target")
     mid = lambda c: ((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(f"mid_{c}")
     return rows.select("source", "relation", "target", "x0", "y0", "x1", "y1", mid("x"), mid("y"))

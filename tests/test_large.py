@@ -104,3 +104,20 @@ def test_graph_of_several_looks_is_made_once(spark, sf):
 
     for name in ("edge_midpoints", "degree", "retrieve_context"):
         assert "lineitem" not in plan(queries.QUERIES[name](spark, sf))
+
+
+def test_few_targets_and_candidates_are_sent_to_the_edges(spark, sf, monkeypatch):
+    """Edges aren't shuffled by their few targets nor for four candidates, whatever the size of the tables."""
+    from quillgraph.operators import layout, retrieve
+    from quillgraph.plans import queries, star
+
+    monkeypatch.setattr(held, "BROADCAST", 10)
+    g, t = star.build(spark, sf, once=True), star.texts(spark, sf)
+    chosen = spark.createDataFrame([("part#7", 9)], "name string, score long")
+    assert plan(retrieve.blocks(g, t, chosen)).count("Join [source") == plan(retrieve.blocks(g, t, chosen)).count("BroadcastHashJoin [source") == 1
+    assert sorted(retrieve.blocks(g, t, chosen).collect()) == sorted(retrieve.blocks(g, t, chosen, few=False).collect())
+    rows = queries.edge_midpoints(g)
+    assert "BroadcastHashJoin [target" in plan(rows) and rows.count() == g.edges.count()
+    monkeypatch.setattr(layout, "FEW", 0)
+    other = queries.edge_midpoints(g)
+    assert "BroadcastHashJoin [target" not in plan(other) and rows.exceptAll(other).count() == other.exceptAll(rows).count() == 0
