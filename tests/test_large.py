@@ -121,3 +121,24 @@ def test_few_targets_and_candidates_are_sent_to_the_edges(spark, sf, monkeypatch
     monkeypatch.setattr(layout, "FEW", 0)
     other = queries.edge_midpoints(g)
     assert "BroadcastHashJoin [target" not in plan(other) and rows.exceptAll(other).count() == other.exceptAll(rows).count() == 0
+
+
+def test_mentions_write_no_edges(spark, sf, monkeypatch):
+    from quillgraph.plans import bulk, star
+
+    made, own = [], held.written
+    for module in (graph, lookup):
+        monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or own(df, name))
+    got = bulk.questions_mentions(spark, sf)
+    assert made == ["names"] and got.count() > 0
+    a, b = star.build(spark, sf), star.build(spark, sf, once=True)
+    assert a.nodes.exceptAll(b.nodes).count() == b.nodes.exceptAll(a.nodes).count() == 0
+
+
+def test_nodes_without_deduplication(spark):
+    """Nodes are the same whether edges of a kind go before or after, also where repeated edges name other types."""
+    ent = spark.createDataFrame([(1, "a", "Artillery")], "seq long, name string, label string")
+    rows = [(k, f"n{k % 3}", f"S{k % 2}", "USES_AMMO", f"n{k % 4}", f"T{k % 5}") for k in range(40, 0, -1)]
+    e = spark.createDataFrame(rows, "seq long, source string, source_type string, relation string, target string, target_type string")
+    a, b = (graph.build(ent, e, "full", once=once).nodes for once in (False, True))
+    assert a.count() == 5 and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
