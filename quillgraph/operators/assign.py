@@ -42,11 +42,14 @@ def pages_of(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None) -
     return numbered.join(pages.withColumnRenamed("page", "page_no"), [*by, "page_no"])
 
 
-def texts(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """name, text: the entity's pages in order, a line feed between, empty pages left out; empty without any."""
-    rows = pages_of(ranged, pages.where("text <> ''"), by).groupBy(*(by or []), "seq", "name").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+def texts(ranged: DataFrame, pages: DataFrame, by: list[str] | None = None, blank: bool = False, order: list[str] | None = None) -> DataFrame:
+    """name, text: the entity's pages in order, a line feed between, empty pages left out; empty without any. With ``blank`` empty
+    pages count, and an entity without a text has null. order: columns of pages by which those with one number stand, before their texts."""
+    shown = pages.where(F.col("text").isNotNull() if blank else F.col("text") != "")
+    rows = pages_of(ranged, shown, by).groupBy(*(by or []), "seq", "name").agg(F.array_sort(F.collect_list(F.struct("page_no", *(order or []), "text"))).alias("p"))
     joined = rows.select(*(by or []), "seq", "name", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
-    return ranged.select(*(by or []), "seq", "name").join(joined, [*(by or []), "seq", "name"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    out = ranged.select(*(by or []), "seq", "name").join(joined, [*(by or []), "seq", "name"], "left")
+    return out if blank else out.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def with_texts(found: DataFrame, by_name: DataFrame) -> DataFrame:
