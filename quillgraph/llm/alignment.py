@@ -28,6 +28,8 @@ from .pieces import BITS, Merges, PieceModel, piece_model
 
 #: Code points of texts in a block (a longer text is a block of its own).
 BLOCK_CHARS = 2 << 20
+#: Blocks in a row group of their table, and blocks that a task joins with what the corpus knows, on average.
+GROUP, JOINED = 4, 8
 #: Chunks of texts, and their code points, that a worker keeps before it starts anew.
 KEPT_CHUNKS, KEPT_CHARS = 250_000, 4_000_000
 
@@ -241,10 +243,12 @@ def align(df: DataFrame, byte_tokenizer: str, piece_tokenizer: str, key: str = "
     other columns are not read.
 
     Nothing is keyed by document or by place: shuffles carry a group once a block, a pair once a block, and each block once.
-    The highest counts of A-ids are broadcast, a row for each id of the vocabulary at most."""
+    Blocks are joined a few in a task, however many there are. The highest counts of A-ids are broadcast, a row for each id of the
+    vocabulary at most."""
     if key in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"):
         raise ValueError(f"a key named {key} would clash with a column of the result")
-    made = written(blocks(df, byte_tokenizer, piece_tokenizer, key, text), "token-blocks")
+    made = written(blocks(df, byte_tokenizer, piece_tokenizer, key, text), "token-blocks", rows=GROUP)
+    parts = max(-(-made.count() // JOINED), df.sparkSession.sparkContext.defaultParallelism)
     counts = written(pair_counts(made), "token-pairs")
     best = counts.groupBy("a").agg(F.max("docs").alias("most"))
     links = group_links(made, byte_tokenizer, piece_tokenizer).join(counts, ["a", "b"]).join(F.broadcast(best), "a")
@@ -252,7 +256,7 @@ def align(df: DataFrame, byte_tokenizer: str, piece_tokenizer: str, key: str = "
         F.count("*").alias("links"), F.sum((F.col("docs") == F.col("most")).cast("long")).alias("best"), F.sum("docs").alias("sum")
     )
     entries = made.select("block", F.posexplode("dictionary").alias("place", "g")).select("block", "place", F.col("g.a").alias("group_a"), F.col("g.b").alias("group_b"))
-    found = entries.join(known, ["group_a", "group_b"]).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "links", "best", "sum"))).alias("known"))  # as many as a block has groups
+    found = entries.join(known, ["group_a", "group_b"]).repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "links", "best", "sum"))).alias("known"))  # as many as a block has groups
     out = df.select(F.col(key)).schema
     for name in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"):
         out = out.add(name, "long")
@@ -263,7 +267,7 @@ def align(df: DataFrame, byte_tokenizer: str, piece_tokenizer: str, key: str = "
             for k in range(batch.num_rows):
                 yield _documents(batch.column(0)[k].values, batch.column(1)[k].values, batch.column(2)[k], out.names)
 
-    rows = made.select("block", "docs", "dictionary").join(found, "block", "left").select("docs", "dictionary", "known")
+    rows = made.select("block", "docs", "dictionary").repartition(parts, "block").join(found, "block", "left").select("docs", "dictionary", "known")
     return rows.mapInArrow(summed, out)
 
 
